@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontamination, quality_rules, sentencepiece_codec
+from skein.llm import decontamination, near_dedup, quality_rules, sentencepiece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +37,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_quality_rules, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
