@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec
+from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op9_near_dedup, op10_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
