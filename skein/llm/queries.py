@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec
+from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -50,7 +54,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op9_near_dedup, op10_bloom_lm)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op8_suffix_dedup, op9_near_dedup, op10_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
