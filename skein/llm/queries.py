@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec, suffix_dedup
+from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -54,7 +63,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op8_suffix_dedup, op9_near_dedup, op10_bloom_lm)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op6_url_filter, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
