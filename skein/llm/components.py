@@ -14,11 +14,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = spool(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = spool(labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
-        up = step.select(F.col("node").alias("up"), F.col("label").alias("top"))
+        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        up = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
         jumped = spool(step.join(up, step.label == up.up).select("node", "was", F.least("label", "top").alias("label")), "labels")
         moved = not jumped.filter("was <> label").isEmpty()
-        drop(labels, step)
+        drop(labels)
         labels = jumped.select("node", "label")
         labels._spooled = jumped._spooled
         if not moved:

@@ -7,11 +7,12 @@ arrival could be first anywhere. Two registers agree with the texts' probability
 a band of registers are candidates and are verified exactly; documents linked by a similarity of 0.8 or more,
 directly or through others, are one class.
 
-Copies never make pairs: texts with the same weighted shingles are one node. In a bucket of many nodes only the pairs
-with its leader are verified; nodes it has not joined to the leader's class are looked at again, among each other and, if
-the triangle inequality (one minus the similarity is a metric) leaves it open, with the leader's class. So no link that
-banding finds is lost, and pairs do not grow with the square of a group. With 28 bands of 5 registers a
-pair at 0.8 is missed with probability 2e-5.
+Copies never make pairs: texts with the same weighted shingles are one node. Nodes of a small bucket are compared with
+one another, those of a larger one with its leader. A large bucket whose nodes are then still in several classes is
+banded anew, within itself, by an independent signature (like nodes meet there again, unlike ones that share a common
+passage hardly do), and after LEVELS - 1 of these steps what is in several classes is compared pair by pair. So pairs
+do not grow with the square of a group of like texts, and no link is given up: with 28 bands of 5 registers a
+pair at 0.8 is missed with probability 2e-5 at each level.
 
 Defined results: a document is its (doc_id, text): repeated rows are copies of one another; null texts and texts
 without words are in no class but their own; a class's id is its least doc_id (null ids count as absent: a class of
@@ -34,7 +35,7 @@ from skein.llm.text import ALNUM, LOWER, Rolling, blocks, grams, mix, spans
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Buckets of up to so many nodes are compared pair by pair, larger ones with their leader.
-SMALL = 8
+SMALL, LEVELS = 8, 3
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,15 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((1 / ((sa[k] + only_a) / ca + (sb[-1] - sb[k] + only_b) / cb)).sum())
 
 
+def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of each signature."""
+    sig = sig.reshape(len(sig), bands, rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
+    for k in range(rows):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+    return out
+
+
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, h, node and band keys of each document; node is null without words."""
     m = bands * rows
@@ -109,10 +119,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for _, _, buf, off in blocks(b.column("text")):
                 n = len(off) - 1
                 key, row, weight = weighted(*shingles(buf, off, words))
-                sig = signatures(key, row, weight, n, m).reshape(n, bands, rows)
-                band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
-                for k in range(rows):
-                    band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+                band = _bands(signatures(key, row, weight, n, m), bands, rows)
                 both = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
                 for k in range(2):
                     np.add.at(both[k], row, mix(mix(key + np.uint64(k * 77 + 1)) + weight.astype(np.uint64)))
@@ -167,66 +174,57 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return spool(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary, similarity double"), "verified")
 
 
-def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, small: int) -> DataFrame | None:
-    """Links (a, b) among nodes that share a bucket (key, node), until every bucket's open pairs are settled."""
-    links, labels, temporary = [], None, []
-    open_ = buckets
-    while not open_.isEmpty():
-        if labels is None:
-            named = open_.withColumn("label", F.col("node"))
-        else:
-            named = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = spool(named, "named")
-        heads = spool(named.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "heads")
-        temporary += [named, heads]
-        if heads.isEmpty():
-            break
-        lead_label = heads.join(named.select("key", F.col("node").alias("lead"), F.col("label").alias("lead_label")), ["key", "lead"])
-        stars = spool(named.join(lead_label, "key").filter(F.col("n") > small), "stars")
-        few = named.join(heads.filter(F.col("n") <= small).select("key"), "key")
-        few = spool(few, "few")
-        temporary += [stars, few]
+def _resigned(contents: DataFrame, seed: int, bands: int, rows: int) -> DataFrame:
+    """(node, bands): band keys of a further, independent signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_unpacked(k.as_py(), w.as_py()) for k, w in zip(b.column("shingles"), b.column("weights"), strict=True)]
+            key = mix(np.concatenate([g[0] for g in got]) + np.uint64(seed * 0x51B54A32D192ED03)) if got else np.zeros(0, np.uint64)
+            row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]) if got else np.zeros(0, np.int64)
+            weight = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
+            sig = _bands(signatures(key, row, weight, len(got), bands * rows), bands, rows)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sig.view(np.int64).tolist(), pa.list_(pa.int64()))], ["node", "bands"])
+
+    return contents.mapInArrow(run, "node binary, bands array<long>")
+
+
+def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, bands: int, rows: int, small: int) -> DataFrame | None:
+    """(node, label) of the nodes with links among those that share a bucket (key, node); None without any bucket."""
+    links, labels, temporary, open_ = [], None, [], buckets
+    for level in range(LEVELS):
+        named = open_.withColumn("label", F.col("node")) if labels is None else spool(open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
+        stats = spool(named.groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "stats")
+        tagged = spool(named.join(stats, "key"), "tagged")
+        temporary += [stats, tagged] + ([] if labels is None else [named])
+        few, star = tagged.filter(F.col("n") <= small), tagged.filter(F.col("n") > small)
+        if level == LEVELS - 1:
+            few, star = tagged, tagged.filter("false")
         mates = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-        pairs = few.withColumnRenamed("node", "a").join(mates, "key").filter("a < b AND label <> other").select("a", "b")
-        pairs = pairs.union(stars.filter("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))).distinct()
+        pairs = few.select("key", F.col("node").alias("a"), "label").join(mates, "key").filter("a < b AND label <> other").select("a", "b")
+        pairs = pairs.union(star.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
         got = _verified(pairs, contents)
         temporary.append(got)
         links.append(got.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b"))
-        labels = _labels(links, labels)
-        # buckets with a leader: what is outside its class goes on, and so do the doubtful pairs with that class
-        after = spool(_relabelled(stars.select("key", "node", "lead"), labels).join(got.select(F.col("a").alias("lead"), F.col("b").alias("node"), "similarity"), ["lead", "node"], "left"), "after")
-        temporary.append(after)
-        outside = after.filter("label <> lead_label")
-        shell = outside.filter(F.col("similarity") >= 1 - 2 * (1 - similarity)).select("key", F.col("node").alias("x"), F.col("similarity").alias("sx"))
-        ball = after.filter("label = lead_label AND node <> lead").select("key", F.col("node").alias("y"), F.col("similarity").alias("sy"))
-        doubtful = shell.join(ball, "key").filter(f"sy IS NULL OR abs(sx - sy) <= {1 - similarity + 1e-9}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        doubtful = spool(doubtful, "doubtful")
-        temporary.append(doubtful)
-        if not doubtful.isEmpty():
-            more = _verified(doubtful, contents)
-            temporary.append(more)
-            links.append(more.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b"))
-            labels = _labels(links, labels)
-        open_ = spool(outside.select("key", "node"), "open")
-        temporary.append(open_)
+        every = links[0]
+        for x in links[1:]:
+            every = every.union(x)
+        if labels is not None:
+            drop(labels)
+        labels = components(every)
+        left = spool(star.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "left")
+        mixed = spool(left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key"), "mixed")
+        open_ = spool(left.join(mixed, "key").select("key", "node"), "open")
+        temporary += [left, mixed, open_]
+        if open_.isEmpty():
+            break
+        again = spool(_resigned(contents.join(open_.select("node").distinct(), "node", "left_semi"), level + 1, bands, rows), "again")
+        open_ = spool(open_.join(again, "node").select(F.explode("bands").alias("band"), "key", "node").select(F.xxhash64("key", "band").alias("key"), "node"), "open")
+        temporary += [again, open_]
     drop(*temporary)
     return labels
 
 
-def _labels(links: list[DataFrame], old: DataFrame | None) -> DataFrame:
-    if old is not None:
-        drop(old)
-    every = links[0]
-    for x in links[1:]:
-        every = every.union(x)
-    return components(every)
-
-
-def _relabelled(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    lead = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-    return stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(lead, "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
-
-
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """(doc_id, h, class_id, kept) for every row of docs: h is xxhash64(text), class_id the class's least doc_id, and
     kept marks the class's first (doc_id, h)."""
@@ -243,7 +241,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("d")) & (docs.h == F.col("g"))).select("node", "text")
     contents = spool(_contents(texts.dropDuplicates(["node"]) if _repeats(signed) else texts, words), "contents")
-    labels = _linked(buckets, contents, similarity, small)
+    labels = _linked(buckets, contents, similarity, bands, rows, small)
     named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else own.withColumn("label", F.col("node"))
     named = spool(named, "classes")
     heads = spool(named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("first").alias("head")), "heads")
