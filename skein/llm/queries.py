@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, url_filter
+from skein.llm import bloom_lm, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -63,8 +67,8 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_line_dedup, op5_quality_rules, op6_url_filter, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_bloom_lm)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_warc, op4_line_dedup, op5_quality_rules, op6_url_filter, op7_quality_classifier, op8_suffix_dedup, op9_near_dedup, op10_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL}
+    return {"op3_warc": warc.SQL, "op4_line_dedup": line_dedup.SQL}
