@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("dataset",)
+MODULES: tuple[str, ...] = ("dataset", "tables")
 
 
 def load() -> None:
