@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("dataset", "tables")
+MODULES: tuple[str, ...] = ("dataset", "tables", "kv", "objects", "metrics", "relational")
 
 
 def load() -> None:
