@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.spool import arrow_batches, drop, spool
+from skein.llm.spool import arrow_batches, drop, spool, text_bytes
 from skein.llm.text import LOWER, NON_SPACE, Rolling, blocks, mix, spans
 
 FOLDS, HELD_OUT = 7, 2
@@ -51,10 +51,6 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at, END), np.insert(row, at, np.arange(n))
 
 
-def _sized(docs: DataFrame) -> int:
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _prepared(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % FOLDS == HELD_OUT
     number = F.floor(F.col("doc_id") / CHUNK_DOCS) if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
@@ -250,7 +246,7 @@ def scores(docs: DataFrame, *, share: float = SHARE, bits: int = BITS) -> DataFr
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = _prepared(docs)
-    buckets = max(16, -(-_sized(docs) // BUCKET_BYTES))
+    buckets = max(16, -(-text_bytes(docs) // BUCKET_BYTES))
     counted = spool(_counted(docs, buckets), "counted")
     total = counted.agg(F.sum("tokens")).first()[0] or 0
     totals = spool(_totals(counted, share * total), "totals")

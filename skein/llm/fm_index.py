@@ -79,6 +79,8 @@ class Wavelet:
 
 
 class FMIndex:
+    """Over a sequence that ends with a separator."""
+
     def __init__(self, text: np.ndarray, sigma: int, step: int = 16):
         order = suffix_array(text)
         self.n = len(text)

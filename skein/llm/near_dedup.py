@@ -9,10 +9,11 @@ directly or through others, are one class.
 
 Copies never make pairs: texts with the same weighted shingles are one node. Nodes of a small bucket are compared with
 one another, those of a larger one with its leader. A large bucket whose nodes are then still in several classes is
-banded anew, within itself, by an independent signature (like nodes meet there again, unlike ones that share a common
-passage hardly do), and after LEVELS - 1 of these steps what is in several classes is compared pair by pair. So pairs
-do not grow with the square of a group of like texts, and no link is given up: with 28 bands of 5 registers a
-pair at 0.8 is missed with probability 2e-5 at each level.
+banded anew, within itself, by AGAIN bands of an independent signature, until every bucket is small or of one class
+(should LEVELS of these steps not do it, the rest is compared pair by pair). Like nodes meet again at each step, while of
+nodes that only share a common passage a small part does; so the work does not grow with the square of a group, and
+no candidate is given up. With 28 bands of 5 registers a pair at 0.8 is missed with probability 2e-5, and with
+3e-5 more if all its buckets have to be banded anew twice.
 
 Defined results: a document is its (doc_id, text): repeated rows are copies of one another; null texts and texts
 without words are in no class but their own; a class's id is its least doc_id (null ids count as absent: a class of
@@ -35,7 +36,7 @@ from skein.llm.text import ALNUM, LOWER, Rolling, blocks, grams, mix, spans
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Buckets of up to so many nodes are compared pair by pair, larger ones with their leader.
-SMALL, LEVELS = 8, 3
+SMALL, LEVELS, AGAIN = 8, 12, 4
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,22 +190,22 @@ def _resigned(contents: DataFrame, seed: int, bands: int, rows: int) -> DataFram
     return contents.mapInArrow(run, "node binary, bands array<long>")
 
 
-def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, bands: int, rows: int, small: int) -> DataFrame | None:
+def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, rows: int, small: int) -> DataFrame | None:
     """(node, label) of the nodes with links among those that share a bucket (key, node); None without any bucket."""
-    links, labels, temporary, open_ = [], None, [], buckets
-    for level in range(LEVELS):
+    links, kept, labels, temporary, open_, level = [], [], None, [], buckets, 0
+    while True:
         named = open_.withColumn("label", F.col("node")) if labels is None else spool(open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
         stats = spool(named.groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "stats")
         tagged = spool(named.join(stats, "key"), "tagged")
         temporary += [stats, tagged] + ([] if labels is None else [named])
         few, star = tagged.filter(F.col("n") <= small), tagged.filter(F.col("n") > small)
-        if level == LEVELS - 1:
+        if level == LEVELS:
             few, star = tagged, tagged.filter("false")
         mates = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
         pairs = few.select("key", F.col("node").alias("a"), "label").join(mates, "key").filter("a < b AND label <> other").select("a", "b")
         pairs = pairs.union(star.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
         got = _verified(pairs, contents)
-        temporary.append(got)
+        kept.append(got)
         links.append(got.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b"))
         every = links[0]
         for x in links[1:]:
@@ -216,12 +217,15 @@ def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, bands: i
         mixed = spool(left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key"), "mixed")
         open_ = spool(left.join(mixed, "key").select("key", "node"), "open")
         temporary += [left, mixed, open_]
+        drop(*temporary[:-1])
+        temporary = [open_]
         if open_.isEmpty():
             break
-        again = spool(_resigned(contents.join(open_.select("node").distinct(), "node", "left_semi"), level + 1, bands, rows), "again")
+        level += 1
+        again = spool(_resigned(contents.join(open_.select("node").distinct(), "node", "left_semi"), level, AGAIN, rows), "again")
         open_ = spool(open_.join(again, "node").select(F.explode("bands").alias("band"), "key", "node").select(F.xxhash64("key", "band").alias("key"), "node"), "open")
         temporary += [again, open_]
-    drop(*temporary)
+    drop(*temporary, *kept)
     return labels
 
 
@@ -241,7 +245,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("d")) & (docs.h == F.col("g"))).select("node", "text")
     contents = spool(_contents(texts.dropDuplicates(["node"]) if _repeats(signed) else texts, words), "contents")
-    labels = _linked(buckets, contents, similarity, bands, rows, small)
+    labels = _linked(buckets, contents, similarity, rows, small)
     named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else own.withColumn("label", F.col("node"))
     named = spool(named, "classes")
     heads = spool(named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("first").alias("head")), "heads")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.decontamination import merged
-from skein.llm.spool import arrow_batches, drop, spool
+from skein.llm.spool import arrow_batches, drop, spool, text_bytes
 from skein.llm.text import Rolling, blocks, strings
 
 LENGTH, TRIGGER = 100, 32
@@ -285,7 +285,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     """Keyed documents, and (kind, chunk, blob) of the byte spans to remove from them, by chunk; a spooled table."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = max(16, -(-int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BUCKET_BYTES))
+    buckets = max(16, -(-text_bytes(docs.select("doc_id", "text")) // BUCKET_BYTES))
     docs = _keyed(docs)
     first = spool(_bucketed(_parsed(docs, buckets, length), length), "first")
     more = _compared(_answered(docs, first.filter(f"kind = {_ASKS}"), buckets, length), length)
