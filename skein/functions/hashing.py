@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,7 +49,6 @@ def slot(key: Column, slots: int):
     """xxh64 (seed 0) of binary keys, masked to a power of two of slots; Arrow batches, for Spark's own hash has another seed."""
     if slots & (slots - 1) or slots <= 0:
         raise ValueError("slots must be a power of two")
-    import pandas as pd
 
     @F.pandas_udf("long")
     def of(keys: pd.Series) -> pd.Series:

@@ -10,7 +10,10 @@ from skein.operators import dataset as D
 from skein.registry import query
 
 FIELDS = ["text", "lang", "source"]
-ID = F.col("sample_id").cast("string").alias("id")
+
+
+def _id():
+    return F.col("sample_id").cast("string").alias("id")
 
 
 def _docs(spark, sf):
@@ -20,7 +23,7 @@ def _docs(spark, sf):
 def _selected(name, predicate, where):
     @query(name, f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE {where}")
     def run(spark, sf):
-        return D.select(_docs(spark, sf), predicate, FIELDS).select(ID)
+        return D.select(_docs(spark, sf), predicate, FIELDS).select(_id())
 
 
 V = "CAST(doc_id AS VARCHAR)"
@@ -37,12 +40,12 @@ _selected("ds_and_or_not", (FieldMatch("lang", b"en") | FieldMatch("lang", b"fr"
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
     samples = docs.select(F.col("doc_id").cast("string").cast("binary").alias("sample_id"), F.col("toxic").cast("string").cast("binary").alias("toxic"))
-    return D.select(samples, Not(FieldMatch("toxic", b"1")), ["toxic"]).select(ID)
+    return D.select(samples, Not(FieldMatch("toxic", b"1")), ["toxic"]).select(_id())
 
 
 @query("ds_projection", "SELECT CAST(doc_id AS VARCHAR) AS id, lang, source FROM documents WHERE source = 'src3'")
 def _(spark, sf):
-    return D.select(_docs(spark, sf), FieldMatch("source", b"src3"), FIELDS).select(ID, *(F.col(c).cast("string").alias(c) for c in D.projection(["lang", "source"])))
+    return D.select(_docs(spark, sf), FieldMatch("source", b"src3"), FIELDS).select(_id(), *(F.col(c).cast("string").alias(c) for c in D.projection(["lang", "source"])))
 
 
 LAYERS = """
@@ -73,14 +76,14 @@ def _layers(spark, sf):
 
 @query("ds_overlay", LAYERS + "SELECT id, field, kind, md5(value) AS digest FROM e")
 def _(spark, sf):
-    return D.effective(*_layers(spark, sf)).select(ID, "field", "kind", F.md5(F.coalesce("value", F.lit("").cast("binary"))).alias("digest"))
+    return D.effective(*_layers(spark, sf)).select(_id(), "field", "kind", F.md5(F.coalesce("value", F.lit("").cast("binary"))).alias("digest"))
 
 
 @query("ds_overlay_select", LAYERS + "SELECT id FROM e WHERE field = 'lang' AND NOT (kind = 'inline' AND value = 'en')")
 def _(spark, sf):
     overlay = D.effective(*_layers(spark, sf))
     samples = overlay.groupBy("sample_id").agg(D.visible("lang", overlay))
-    return D.select(samples, Not(FieldMatch("lang", b"en")), ["lang"]).select(ID)
+    return D.select(samples, Not(FieldMatch("lang", b"en")), ["lang"]).select(_id())
 
 
 MATRIX = "SELECT id, max(kind) FILTER (field = 'text') AS text, max(kind) FILTER (field = 'lang') AS lang, max(kind) FILTER (field = 'source') AS source FROM e"
@@ -89,14 +92,14 @@ MATRIX = "SELECT id, max(kind) FILTER (field = 'text') AS text, max(kind) FILTER
 @query("ds_projection_matrix", f"{LAYERS} {MATRIX} GROUP BY id")
 def _(spark, sf):
     members, fields, chain = _layers(spark, sf)
-    return D.matrix(members, D.effective(members, fields, chain), FIELDS).select(ID, *FIELDS)
+    return D.matrix(members, D.effective(members, fields, chain), FIELDS).select(_id(), *FIELDS)
 
 
 @query("ds_exact_matrix", f"{LAYERS} {MATRIX} WHERE id IN ('0', '7', '15', '35', '42') GROUP BY id")
 def _(spark, sf):
     members, fields, chain = _layers(spark, sf)
     few = members.filter(F.col("sample_id").isin([F.lit(x) for x in (b"0", b"7", b"15", b"35", b"42")]))
-    return D.matrix(few, D.effective(few, fields.join(F.broadcast(few.select("sample_id")), "sample_id", "left_semi"), chain), FIELDS).select(ID, *FIELDS)
+    return D.matrix(few, D.effective(few, fields.join(F.broadcast(few.select("sample_id")), "sample_id", "left_semi"), chain), FIELDS).select(_id(), *FIELDS)
 
 
 @query("ds_contains", "SELECT p AS probe, EXISTS (SELECT 1 FROM documents WHERE CAST(doc_id AS VARCHAR) = p) AS found FROM (VALUES ('5'), ('0005'), ('99999999')) v(p)")
@@ -108,12 +111,12 @@ def _(spark, sf):
 
 @query("ds_preview", "SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)[1:16]) AS head, octet_length(encode(text))::BIGINT AS length, md5(text) AS md5, 'present' AS state, octet_length(encode(text)) > 16 AS truncated FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select(ID, D.preview(F.col("text"), 16).alias("p")).select("id", F.hex("p.bytes").alias("head"), "p.length", "p.md5", "p.state", "p.truncated")
+    return _docs(spark, sf).select(_id(), D.preview(F.col("text"), 16).alias("p")).select("id", F.hex("p.bytes").alias("head"), "p.length", "p.md5", "p.state", "p.truncated")
 
 
 @query("ds_page", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE CAST(doc_id AS VARCHAR) > '42' ORDER BY 1 LIMIT 20")
 def _(spark, sf):
-    return D.page(_docs(spark, sf), "sample_id", bytearray(b"42"), 20).select(ID)
+    return D.page(_docs(spark, sf), "sample_id", bytearray(b"42"), 20).select(_id())
 
 
 @query("ds_ancestors", "WITH RECURSIVE s(id, parent) AS (VALUES ('a', NULL), ('b', 'a'), ('c', 'b'), ('d', 'b'), ('e', 'd')), w AS (SELECT id, parent, 0 AS depth FROM s WHERE id = 'e' UNION ALL SELECT s.id, s.parent, depth + 1 FROM w JOIN s ON s.id = w.parent) SELECT id, depth FROM w")
@@ -144,12 +147,12 @@ SQL_SNAP = "".join(f"\\x{b:02X}" for b in SNAP)
 
 @query("ds_shuffle_group", f"WITH g AS (SELECT CAST(doc_id AS VARCHAR) AS id, (row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1) // 64 AS grp FROM documents) SELECT id, grp AS \"group\", grp * 64 + row_number() OVER (PARTITION BY grp ORDER BY md5('\\x07\\x00\\x00\\x00\\x00\\x00\\x00\\x00{SQL_SNAP}'::BLOB || encode(id)), id) - 1 AS ordinal FROM g")
 def _(spark, sf):
-    return D.group_shuffle(_docs(spark, sf).select("sample_id"), 7, SNAP, 64).select(ID, "group", "ordinal")
+    return D.group_shuffle(_docs(spark, sf).select("sample_id"), 7, SNAP, 64).select(_id(), "group", "ordinal")
 
 
 @query("ds_shuffle_global", f"SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY md5('\\x07\\x00\\x00\\x00\\x00\\x00\\x00\\x00\\x02\\x00\\x00\\x00\\x00\\x00\\x00\\x00{SQL_SNAP}'::BLOB || encode(CAST(doc_id AS VARCHAR))), CAST(doc_id AS VARCHAR)) - 1 AS ordinal FROM documents")
 def _(spark, sf):
-    return D.global_shuffle(_docs(spark, sf).select("sample_id"), 7, 2, SNAP).select(ID, "ordinal")
+    return D.global_shuffle(_docs(spark, sf).select("sample_id"), 7, 2, SNAP).select(_id(), "ordinal")
 
 
 @query("ds_prefix_groups", "SELECT split_part(source || '-' || doc_id, '-', 1) AS prefix, count(*) AS n, min(source || '-' || doc_id) AS first FROM documents GROUP BY 1")
@@ -161,7 +164,7 @@ def _(spark, sf):
 @query("ds_worker_partition", "SELECT CAST(doc_id AS VARCHAR) AS id, n AS ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n FROM documents WHERE lang = 'en') WHERE n % 6 = 3")
 def _(spark, sf):
     samples = D.select(_docs(spark, sf), FieldMatch("lang", b"en"), FIELDS).select("sample_id")
-    return D.shard(D.numbered(samples, "sample_id"), 1, 3, 1, 2).select(ID, "ordinal")
+    return D.shard(D.numbered(samples, "sample_id"), 1, 3, 1, 2).select(_id(), "ordinal")
 
 
 @query("ds_batches", "SELECT n // 100 AS batch, count(*) AS n, min(n) AS first, max(n) + 1 AS \"end\" FROM (SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n FROM documents) GROUP BY 1")
@@ -173,7 +176,7 @@ def _(spark, sf):
 @query("ds_window_top", "SELECT id, n AS ordinal FROM (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n FROM documents) WHERE n BETWEEN 50 AND 79")
 def _(spark, sf):
     few = _docs(spark, sf).select("sample_id").orderBy("sample_id").offset(50).limit(30)
-    return D.numbered(few, "sample_id").select(ID, (F.col("ordinal") + 50).alias("ordinal"))
+    return D.numbered(few, "sample_id").select(_id(), (F.col("ordinal") + 50).alias("ordinal"))
 
 
 def split_sql(total: int, seed: int = 7) -> str:
@@ -188,7 +191,7 @@ SPLIT = f"CASE WHEN {split_sql(10)} < 8 THEN 'train' WHEN {split_sql(10)} < 9 TH
 
 @query("ds_weighted_split", f"SELECT CAST(doc_id AS VARCHAR) AS id, {split_sql(4294967295)} AS bucket, {SPLIT} AS split FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).select(ID, hashing.split_bucket(F.col("sample_id"), 7, 2**32 - 1).alias("bucket"), D.weighted_split(F.col("sample_id"), WEIGHTS, 7).alias("split"))
+    return _docs(spark, sf).select(_id(), hashing.split_bucket(F.col("sample_id"), 7, 2**32 - 1).alias("bucket"), D.weighted_split(F.col("sample_id"), WEIGHTS, 7).alias("split"))
 
 
 def _members(spark, sf):
@@ -222,7 +225,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = _docs(spark, sf)
     frozen = docs.filter(D.weighted_split(F.col("sample_id"), WEIGHTS, 7) == "test").select("sample_id")
-    return D.select(docs, FieldMatch("lang", b"en"), FIELDS).join(frozen, "sample_id", "left_semi").select(ID)
+    return D.select(docs, FieldMatch("lang", b"en"), FIELDS).join(frozen, "sample_id", "left_semi").select(_id())
 
 
 @query("ds_compose_upsert_remove", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 = 3 THEN 'xx' ELSE lang END AS lang, source FROM documents WHERE (lang = 'en' OR doc_id % 10 = 3) AND doc_id % 11 <> 0 OR doc_id % 10 = 3 AND doc_id % 11 <> 0 UNION ALL SELECT 'new', 'yy', 'src'")
@@ -232,7 +235,7 @@ def _(spark, sf):
     upserts = parent.filter((n % 10 == 3) & (n % 11 != 0)).select("sample_id", F.lit("xx").cast("binary").alias("lang"), F.lit(None).cast("binary").alias("source"))
     upserts = upserts.union(spark.createDataFrame([(bytearray(b"new"), bytearray(b"yy"), bytearray(b"src"))], upserts.schema))
     out = D.compose(D.select(parent, FieldMatch("lang", b"en"), ["lang", "source"]), parent, upserts, parent.filter(n % 11 == 0).select("sample_id"), ["lang", "source"])
-    return out.select(ID, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return out.select(_id(), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
 @query("ds_snapshot_summary", f"{LAYERS} SELECT count(DISTINCT field) AS fields, count(DISTINCT id) AS samples, count(*) AS locators FROM e")
@@ -246,7 +249,7 @@ def _(spark, sf):
     df = _docs(spark, sf)
     n = F.col("sample_id").cast("string").cast("long")
     length = F.octet_length("text") + F.when(n % 9 == 0, 1).otherwise(0)
-    return df.select(ID, hashing.verified(F.col("text"), F.md5("text"), length).alias("ok"))
+    return df.select(_id(), hashing.verified(F.col("text"), F.md5("text"), length).alias("ok"))
 
 
 @query("ds_snapshot_alias", "SELECT * FROM (VALUES ('latest', 'l'), ('stable', 's'), ('0123456789abcdef0123456789abcdef', '0123456789abcdef0123456789abcdef'), ('0123456789ABCDEF0123456789ABCDEF', ''), ('x', '')) v(name, id)")
@@ -268,11 +271,11 @@ def _read(spark, sf):
 
 @query("ds_read_page", f"{READ} SELECT CAST(doc_id AS VARCHAR) AS id, ordinal, ordinal // 8 AS batch, lang, source FROM o WHERE ordinal % 2 = 0")
 def _(spark, sf):
-    return D.batches(_read(spark, sf), 8).select(ID, "ordinal", "batch", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return D.batches(_read(spark, sf), 8).select(_id(), "ordinal", "batch", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
 @query("ds_flagship", f"WITH m AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n FROM documents WHERE lang = 'en' AND NOT contains(text, 'casino') AND NOT contains(source, 'casino') AND {SPLIT} = 'train') SELECT CAST(doc_id AS VARCHAR) AS id, n AS ordinal, lang, source FROM m WHERE n % 2 = 0")
 def _(spark, sf):
     samples = D.select(_docs(spark, sf), FieldMatch("lang", b"en") & ~Keyword(b"casino"), FIELDS).filter(D.weighted_split(F.col("sample_id"), WEIGHTS, 7) == "train")
     rows = D.shard(D.numbered(samples.select("sample_id", "lang", "source"), "sample_id"), 0, 1, 0, 2)
-    return rows.select(ID, "ordinal", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return rows.select(_id(), "ordinal", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))

@@ -16,13 +16,14 @@ def _journal(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("slot"), F.lpad(F.col("user_id").cast("string"), 8, "0").cast("binary").alias("key"), F.col("event_type").cast("binary").alias("value"), (F.col("event_type") == "purchase").alias("is_delete"))
 
 
-KEY = F.col("key").cast("string").alias("key")
+def _key():
+    return F.col("key").cast("string").alias("key")
 
 
 def _range(name, where, tail="", **bounds):
     @query(name, f"SELECT c_name AS key, c_custkey AS slot FROM customer WHERE {where} ORDER BY c_name {tail}")
     def run(spark, sf):
-        return K.scan(_items(spark, sf), **bounds).select(KEY, "slot")
+        return K.scan(_items(spark, sf), **bounds).select(_key(), "slot")
 
 
 A, B = b"Customer#000000100", b"Customer#000000500"
@@ -33,7 +34,7 @@ _range("kv_scan_prefix", "starts_with(c_name, 'Customer#0000000') AND c_name > '
 
 @query("kv_keys_only", "SELECT c_name AS key FROM customer WHERE starts_with(c_name, 'Customer#00000012')")
 def _(spark, sf):
-    return K.scan(_items(spark, sf), prefix=b"Customer#00000012", keys_only=True).select(KEY)
+    return K.scan(_items(spark, sf), prefix=b"Customer#00000012", keys_only=True).select(_key())
 
 
 @query("kv_count", "SELECT count(*) AS n FROM customer WHERE starts_with(c_name, 'Customer#00000')")
@@ -43,7 +44,7 @@ def _(spark, sf):
 
 @query("kv_page_bytes", "SELECT key, used FROM (SELECT c_name AS key, CAST(sum(octet_length(encode(c_name)) + 8) OVER (ORDER BY c_name) AS BIGINT) AS used FROM customer) WHERE used <= 1000 ORDER BY key LIMIT 200")
 def _(spark, sf):
-    return K.byte_page(_items(spark, sf), (F.octet_length("key") + 8).cast("long"), 1000, 200).select(KEY, "used")
+    return K.byte_page(_items(spark, sf), (F.octet_length("key") + 8).cast("long"), 1000, 200).select(_key(), "used")
 
 
 PROBES = ["Customer#000000000", "Customer#000000007", "Customer#000000100x", "A", "z"]
@@ -67,7 +68,7 @@ STATE = "SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS key, event_type AS val
 
 
 def _shown(df):
-    return df.select(KEY, F.col("value").cast("string").alias("value"), "slot")
+    return df.select(_key(), F.col("value").cast("string").alias("value"), "slot")
 
 
 @query("kv_journal_state", STATE.format("true"))
@@ -82,12 +83,12 @@ def _(spark, sf):
 
 @query("kv_journal_range", "SELECT slot, key, true AS truncated, max(slot) OVER () AS last_op_slot FROM (SELECT event_id AS slot, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key FROM events WHERE event_id BETWEEN 100 AND 9000 ORDER BY 1 LIMIT 250)")
 def _(spark, sf):
-    return K.journal_page(_journal(spark, sf), 100, 9000, 250).select("slot", KEY, "truncated", "last_op_slot")
+    return K.journal_page(_journal(spark, sf), 100, 9000, 250).select("slot", _key(), "truncated", "last_op_slot")
 
 
 @query("kv_journal_replay", "SELECT event_id AS slot, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key FROM events WHERE event_id >= 9000")
 def _(spark, sf):
-    return K.replay_from(_journal(spark, sf), 9000).select("slot", KEY)
+    return K.replay_from(_journal(spark, sf), 9000).select("slot", _key())
 
 
 def _requests(spark, sf, bad):
@@ -99,17 +100,17 @@ def _requests(spark, sf, bad):
 
 @query("kv_conditional", "SELECT c_name AS key, c_custkey <> 107 AS applied FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT 'fresh', true")
 def _(spark, sf):
-    return K.conditional(*_requests(spark, sf, 107)).select(KEY, "applied")
+    return K.conditional(*_requests(spark, sf, 107)).select(_key(), "applied")
 
 
 @query("kv_cas_batch", "SELECT c_name AS key, CASE WHEN c_custkey % 200 = 7 THEN 9999 ELSE c_custkey END AS slot FROM customer WHERE c_custkey % 200 <> 107 UNION ALL SELECT 'fresh', 9999")
 def _(spark, sf):
-    return K.cas_batch(*_requests(spark, sf, -1), 9999).select(KEY, "slot")
+    return K.cas_batch(*_requests(spark, sf, -1), 9999).select(_key(), "slot")
 
 
 @query("kv_cas_batch_refused", "SELECT c_name AS key, c_custkey AS slot FROM customer")
 def _(spark, sf):
-    return K.cas_batch(*_requests(spark, sf, 107), 9999).select(KEY, "slot")
+    return K.cas_batch(*_requests(spark, sf, 107), 9999).select(_key(), "slot")
 
 
 @query("kv_range_routing", "SELECT CASE WHEN c_name >= 'Customer#000001000' THEN 'c' WHEN c_name >= 'Customer#000000300' THEN 'b' ELSE 'a' END AS partition, count(*) AS n FROM customer GROUP BY 1")

@@ -17,7 +17,10 @@ WITH v AS (SELECT event_type, user_id, CAST(floor(value * 1000) AS BIGINT) AS ns
 b AS (SELECT *, CASE WHEN ns < 256 THEN ns WHEN ns >= 1099511627776 THEN 4352 ELSE 256 + (length(bin(ns)) - 9) * 128 + (ns >> (length(bin(ns)) - 8)) - 128 END AS bucket FROM v),
 h AS (SELECT event_type, bucket, count(*) AS count, CAST(sum(ns) AS BIGINT) AS sum, min(ns) AS min, max(ns) AS max FROM b GROUP BY ALL)
 """
-NS = F.floor(F.col("value") * 1000).cast("long")
+
+
+def _ns():
+    return F.floor(F.col("value") * 1000).cast("long")
 
 
 def _events(spark, sf):
@@ -26,18 +29,18 @@ def _events(spark, sf):
 
 @query("mx_histogram", BUCKETS + "SELECT * FROM h")
 def _(spark, sf):
-    return M.histogram(_events(spark, sf), NS, "event_type")
+    return M.histogram(_events(spark, sf), _ns(), "event_type")
 
 
 @query("mx_quantiles", BUCKETS + ", c AS (SELECT *, sum(count) OVER (PARTITION BY event_type) AS n, max(max) OVER (PARTITION BY event_type) AS top, sum(count) OVER (PARTITION BY event_type ORDER BY bucket) AS seen FROM h) SELECT event_type, CAST(sum(count) AS BIGINT) AS count, CAST(sum(sum) AS BIGINT) AS sum, min(min) AS min, max(max) AS max, " + ", ".join(f"CAST(min(CASE WHEN seen >= ceil(n * {q} / 1000.0) THEN CASE WHEN bucket = 4352 THEN 18446744073709551615 WHEN bucket < 256 THEN bucket ELSE least(top, ((bucket - 256) % 128 + 129) * CAST(pow(2, (bucket - 256) // 128 + 1) AS BIGINT) - 1) END END) AS BIGINT) AS {n}" for n, q in M.QUANTILES.items()) + " FROM c GROUP BY event_type")
 def _(spark, sf):
-    out = M.quantiles(M.histogram(_events(spark, sf), NS, "event_type"), "event_type")
+    out = M.quantiles(M.histogram(_events(spark, sf), _ns(), "event_type"), "event_type")
     return out.select("event_type", "count", "sum", "min", "max", *(F.col(q).cast("long").alias(q) for q in M.QUANTILES))
 
 
 @query("mx_merge", BUCKETS + "SELECT bucket, CAST(sum(count) AS BIGINT) AS count, CAST(sum(sum) AS BIGINT) AS sum, min(min) AS min, max(max) AS max FROM h GROUP BY bucket")
 def _(spark, sf):
-    return M.merge(M.histogram(_events(spark, sf), NS, "event_type"))
+    return M.merge(M.histogram(_events(spark, sf), _ns(), "event_type"))
 
 
 @query("mx_bandwidth", "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS count, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY 1) SELECT start, count, bytes, bytes // count AS average, bytes / 3600 AS rate, CAST(sum(bytes) OVER (ORDER BY start) AS BIGINT) AS total FROM w")
