@@ -176,7 +176,6 @@ def normalise(spark, source: str, target: str) -> DataFrame:
 def read(spark, at: str) -> DataFrame:
     """Every record of normalised archives, by the offsets of their indexes: archive, offset, page_id (text), record_type,
     payload_bytes, payload_digest and refers_to (text)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,index}").load(at)
     name = F.regexp_extract("path", r"([^/]*)\.(?:warc\.gz|index)$", 1)
     index = F.col("path").endswith(".index")
