@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from skein.llm.spool import arrow_batches
 from skein.llm.text import NON_SPACE, Rolling, blocks, grams, mix, spans
 
-#: n-gram length: largest share of a text's word characters inside its duplicated n-grams.
-LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: n-gram length: largest share of a text's word characters inside its duplicated n-grams. It is the base rule's share at
+#: every length: a text of average length with one paragraph twice is still a clean one.
+LIMITS = {n: 0.20 for n in (5, 6, 7, 8, 9, 10)}
 #: Largest share of lines, and of line characters, that are copies of earlier lines of the text.
 LINE_LIMITS = (0.30, 0.20)
 MIN_WORDS, REPEAT_SHARE = 10, 20
