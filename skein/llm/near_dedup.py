@@ -181,7 +181,7 @@ def _resigned(contents: DataFrame, seed: int, bands: int, rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [_unpacked(k.as_py(), w.as_py()) for k, w in zip(b.column("shingles"), b.column("weights"), strict=True)]
-            key = mix(np.concatenate([g[0] for g in got]) + np.uint64(seed * 0x51B54A32D192ED03)) if got else np.zeros(0, np.uint64)
+            key = mix(np.concatenate([g[0] for g in got]) + np.uint64(seed * 0x51B54A32D192ED03 % 2**64)) if got else np.zeros(0, np.uint64)
             row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]) if got else np.zeros(0, np.int64)
             weight = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
             sig = _bands(signatures(key, row, weight, len(got), bands * rows), bands, rows)
