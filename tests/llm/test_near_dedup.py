@@ -76,3 +76,11 @@ def test_odd_rows(spark):
     out = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in out) == ["2", "3", "4", "4", "None"]
     assert N.classes(H.empty(spark)).count() == 0 and N.deduplicate(H.empty(spark)).count() == 0
+
+
+def test_every_level_has_a_signature_of_its_own(spark):
+    key = np.arange(1, 41, dtype=np.uint64)
+    packed = bytearray(np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+    df = spark.createDataFrame([(bytearray(b"n"), packed, bytearray(b""))], "node binary, shingles binary, weights binary")
+    bands = [tuple(N._resigned(df, level, N.AGAIN, N.ROWS).first().bands) for level in range(1, N.LEVELS + 1)]
+    assert len(set(bands)) == N.LEVELS and all(len(b) == N.AGAIN for b in bands)
