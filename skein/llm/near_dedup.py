@@ -8,12 +8,14 @@ a band of registers are candidates and are verified exactly; documents linked by
 directly or through others, are one class.
 
 Copies never make pairs: texts with the same weighted shingles are one node. Nodes of a small bucket are compared with
-one another, those of a larger one with its leader. A large bucket whose nodes are then still in several classes is
-banded anew, within itself, by AGAIN bands of an independent signature, until every bucket is small or of one class
-(should LEVELS of these steps not do it, the rest is compared pair by pair). Like nodes meet again at each step, while of
-nodes that only share a common passage a small part does; so the work does not grow with the square of a group, and
-no candidate is given up. With 28 bands of 5 registers a pair at 0.8 is missed with probability 2e-5, and with
-3e-5 more if all its buckets have to be banded anew twice.
+one another, those of a larger one with its leader. Nodes of large buckets that are then still in several classes are
+settled exactly: all shingles have one order, roughly the rarest first, and of shares A and B of two texts' weights that
+are not in common follows a similarity of at most `bound(A, B)`; so the first common shingle of a similar pair has at
+most 1 - similarity of either text before it, and only nodes that share such a shingle, with a bound that is high enough,
+are pairs. Lists of a shingle work as buckets do: the larger ones first send the node with the least share before the
+shingle, which is the original of a group of variants, to all others; what is then still of several classes is compared
+pair by pair. Texts that only share a passage have rare shingles of their own, so that they meet in no list. No candidate
+is given up: with 28 bands of 5 registers a pair at 0.8 is missed with probability 2e-5.
 
 Defined results: a document is its (doc_id, text): repeated rows are copies of one another; null texts and texts
 without words are in no class but their own; a class's id is its least doc_id (null ids count as absent: a class of
@@ -37,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Buckets of up to so many nodes are compared pair by pair, larger ones with their leader.
 SMALL, LEVELS, AGAIN = 8, 12, 4
+#: Rounds of leaders in the lists of shingles; counters of the order of shingles (collisions only make it less apt).
+LEADERS, SLOTS = 2, 1 << 20
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,20 +194,73 @@ def _resigned(contents: DataFrame, seed: int, bands: int, rows: int) -> DataFram
     return contents.mapInArrow(run, "node binary, bands array<long>")
 
 
+def bound(a, b):
+    """The highest similarity of texts with shares a and b of their weights not in common, as a Column."""
+    return F.least(1 / (1 / (1 - a) + b / (1 - b)), 1 / (a / (1 - a) + 1 / (1 - b)))
+
+
+def _slots(key: np.ndarray) -> np.ndarray:
+    return (mix(key) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _common(contents: DataFrame) -> np.ndarray:
+    """How many nodes have a shingle, by slot."""
+    width = SLOTS // 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(SLOTS, np.uint32)
+        for b in batches:
+            for k in b.column("shingles"):
+                np.add.at(got, _slots(_unpacked(k.as_py(), b"")[0]), 1)
+        if got.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([got[i * width : (i + 1) * width].tobytes() for i in range(16)], pa.binary())], ["part", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        got = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in rows.column("counts"))
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([np.minimum(got, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    parts = contents.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(bytes(r.counts), np.uint32) for r in sorted(parts)])
+
+
+def _prefixes(contents: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, before): each shingle with at most 1 - similarity of its node's weight before it in the common order."""
+    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, nodes, before = [np.zeros(0, np.uint64)], [], [np.zeros(0)]
+            for i in range(b.num_rows):
+                key, weight = _unpacked(b.column("shingles")[i].as_py(), b.column("weights")[i].as_py())
+                order = np.lexsort((key, common.value[_slots(key)]))
+                to = np.cumsum(weight[order].astype(np.int64))
+                share = (to - weight[order]) / to[-1]
+                n = int(np.searchsorted(share, 1 - similarity + 1e-9, "right"))
+                keys.append(key[order[:n]])
+                before.append(share[:n])
+                nodes += [b.column("node")[i].as_py()] * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(before))], ["key", "node", "before"])
+
+    return contents.mapInArrow(run, "key long, node binary, before double")
+
+
 def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, rows: int, small: int) -> DataFrame | None:
     """(node, label) of the nodes with links among those that share a bucket (key, node); None without any bucket."""
-    links, kept, labels, temporary, open_, level = [], [], None, [], buckets, 0
+    links, kept, labels, temporary, level = [], [], None, [], 0
+    open_ = buckets.withColumn("before", F.lit(0.0))
     while True:
-        named = open_.withColumn("label", F.col("node")) if labels is None else spool(open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
-        stats = spool(named.groupBy("key").agg(F.min(F.struct("node", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "stats")
+        named = open_.withColumn("label", F.col("node")) if labels is None else spool(open_.join(labels, "node", "left").select("key", "node", "before", F.coalesce("label", "node").alias("label")), "named")
+        stats = spool(named.groupBy("key").agg(F.min(F.struct("before", "node", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "stats")
         tagged = spool(named.join(stats, "key"), "tagged")
         temporary += [stats, tagged] + ([] if labels is None else [named])
         few, star = tagged.filter(F.col("n") <= small), tagged.filter(F.col("n") > small)
-        if level == LEVELS:
+        if level > LEADERS:
             few, star = tagged, tagged.filter("false")
-        mates = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-        pairs = few.select("key", F.col("node").alias("a"), "label").join(mates, "key").filter("a < b AND label <> other").select("a", "b")
-        pairs = pairs.union(star.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
+        near = bound(F.col("x"), F.col("y")) >= similarity - 1e-9
+        mates = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("before").alias("y"))
+        pairs = few.select("key", F.col("node").alias("a"), "label", F.col("before").alias("x")).join(mates, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & near).select("a", "b")
+        led = star.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.before").alias("x"), F.col("before").alias("y")).filter(near)
+        pairs = pairs.union(led.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
         got = _verified(pairs, contents)
         kept.append(got)
         links.append(got.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b"))
@@ -213,18 +270,20 @@ def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, rows: in
         if labels is not None:
             drop(labels)
         labels = components(every)
-        left = spool(star.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "left")
+        rest = star.filter("node <> lead.node")  # the leader has met all the others
+        left = spool((star if level == 0 else rest).select("key", "node", "before").join(labels, "node", "left").select("key", "node", "before", F.coalesce("label", "node").alias("label")), "left")
         mixed = spool(left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key"), "mixed")
-        open_ = spool(left.join(mixed, "key").select("key", "node"), "open")
+        open_ = spool(left.join(mixed, "key").select("key", "node", "before"), "open")
         temporary += [left, mixed, open_]
         drop(*temporary[:-1])
         temporary = [open_]
         if open_.isEmpty():
             break
         level += 1
-        again = spool(_resigned(contents.join(open_.select("node").distinct(), "node", "left_semi"), level, AGAIN, rows), "again")
-        open_ = spool(open_.join(again, "node").select(F.explode("bands").alias("band"), "key", "node").select(F.xxhash64("key", "band").alias("key"), "node"), "open")
-        temporary += [again, open_]
+        if level == 1:
+            some = spool(contents.join(open_.select("node").distinct(), "node", "left_semi"), "some")
+            open_ = spool(_prefixes(some, similarity), "open")
+            temporary += [some, open_]
     drop(*temporary, *kept)
     return labels
 

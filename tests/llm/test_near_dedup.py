@@ -84,3 +84,35 @@ def test_every_level_has_a_signature_of_its_own(spark):
     df = spark.createDataFrame([(bytearray(b"n"), packed, bytearray(b""))], "node binary, shingles binary, weights binary")
     bands = [tuple(N._resigned(df, level, N.AGAIN, N.ROWS).first().bands) for level in range(1, N.LEVELS + 1)]
     assert len(set(bands)) == N.LEVELS and all(len(b) == N.AGAIN for b in bands)
+
+
+def variants(n=250, size=400, seed=3):
+    """An original and texts at 0.80 to 0.85 of it, less to one another."""
+    r = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(size)]
+    out = [" ".join(words)]
+    while len(out) <= n:
+        w = list(words)
+        for at in r.choice(size, 8, replace=False):
+            w[at] = f"v{len(out)}x{at}"
+        if 0.8 <= jp(shingles(out[0]), shingles(" ".join(w))) <= 0.85:
+            out.append(" ".join(w))
+    return out
+
+
+def test_variants_of_one_original(spark):
+    texts = variants()
+    ids = np.random.default_rng(4).permutation(len(texts)).tolist()
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert {r.class_id for r in N.classes(df).collect()} == {0}
+
+
+def test_bound(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for _ in range(100):
+        a, b = (Counter(r.integers(0, 12, r.integers(1, 25)).tolist()) for _ in range(2))
+        if any(x in b for x in a):
+            rows.append((sum(a[x] for x in a if x not in b) / sum(a.values()), sum(b[x] for x in b if x not in a) / sum(b.values()), jp(a, b)))
+    df = spark.createDataFrame(rows, "a double, b double, s double")
+    assert df.filter(N.bound(df.a, df.b) < df.s - 1e-9).isEmpty()
