@@ -3,14 +3,16 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end for each text. The model is a bigram model
 over the add-one unigram model (the base). A count c is quantised to 1 + floor(log_B(c)) and the n-gram is put into the
 filter once for each level up to that; a probe goes up the levels until one is missing, and the last level found gives the
-count back as the mean of its range. A word that makes up at least `share` of the training tokens is a context, so there
-are at most 1 / share of them, whatever the input; bigrams of two such words, and these words, are in the filter, and
-P(w | v) = L * count(v w) / count(v) + (1 - L) * base(w), with L = count(v) / (count(v) + K); after other
-words it is base(w). The filter's size is fixed by `bits`, and it is what is broadcast.
+count back as the mean of its range. All bigrams of the training texts are in the filter, and
+P(w | v) = L * count(v w) / count(v) + (1 - L) * base(w), with L = count(v) / (count(v) + K) and the exact count(v) of
+the base; after words not met in training it is base(w). The filter lies in buckets by bigram hash; each has bits for its
+own number of insertions, so that a bigram never met is found with probability RATE at most, at any size of the input.
 
 Exact base counts of all words, of which there is no bound, are never broadcast: documents are dealt into chunks of
 neighbouring ids, each chunk's distinct words are counted where they are read, packed by hash bucket, summed bucket by
-bucket, and the sums go back to the chunks they came from. So a hot word is one entry per chunk.
+bucket, and the sums go back to the chunks they came from. So a hot word is one entry per chunk. Bigrams travel alike: a
+chunk's distinct ones are sent to their buckets as probes, with their counts in training texts, of which the bucket makes
+its part of the filter; the levels found go back, a byte each, in the order of the bigrams. Nothing is broadcast.
 
 Defined results: a null text is an empty one and has one token, its end; rows are scored one by one, repeated rows
 alike; null ids are training rows (crc32 of no text is taken as 0); an empty table gives an empty table; other columns are
@@ -30,11 +32,13 @@ from skein.llm.spool import arrow_batches, drop, spool, text_bytes
 from skein.llm.text import LOWER, NON_SPACE, Rolling, blocks, mix, spans
 
 FOLDS, HELD_OUT = 7, 2
-SHARE, BITS, HASHES, BASE, K = 2e-5, 1 << 26, 3, 1.4, 2000.0
+HASHES, BASE, K = 3, 1.4, 2000.0
+#: False positives of a probe at most.
+RATE = 0.01
 CHUNK_DOCS = 1024
 #: Table bytes to one bucket of word counts.
 BUCKET_BYTES = 4 << 20
-#: Blocks of the filter; each n-gram lies in one.
+#: Blocks of a bucket's filter; each n-gram lies in one.
 BLOCKS = 256
 END = np.uint64(0x5DEECE66D1234567)
 #: Tokens that a task holds before it packs them.
@@ -117,75 +121,82 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, chunk long, n long, tokens long, blob binary")
 
 
-def _totals(counted: DataFrame, least: float) -> DataFrame:
+def _totals(counted: DataFrame) -> DataFrame:
     """For each chunk its words with their counts in all training texts (kind 0); for each bucket the number of words
-    met in training (kind 1, in n) and those counted `least` times or more."""
+    met in training (kind 1)."""
 
     def run(rows: pa.Table) -> pa.Table:
         sizes, keys, counts = _gather(rows)
         known, total = _summed(keys, counts)
         of = total[np.searchsorted(known, keys)]
         cut = np.r_[0, np.cumsum(sizes)].astype(int)
-        often = total >= max(1, least)
         chunks = [*rows.column("chunk").to_pylist(), 0]
-        blobs = [_pack(keys[lo:hi], of[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)] + [_pack(known[often], total[often])]
-        return pa.table({"kind": pa.array([0] * len(sizes) + [1], pa.int32()), "chunk": pa.array(chunks, pa.int64()), "n": pa.array([*sizes, int(often.sum())], pa.int64()), "words": pa.array([0] * len(sizes) + [int((total > 0).sum())], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        blobs = [_pack(keys[lo:hi], of[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)] + [b""]
+        return pa.table({"kind": pa.array([0] * len(sizes) + [1], pa.int32()), "chunk": pa.array(chunks, pa.int64()), "n": pa.array([*sizes, 0], pa.int64()), "words": pa.array([0] * len(sizes) + [int((total > 0).sum())], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return counted.groupBy("bucket").applyInArrow(run, "kind int, chunk long, n long, words long, blob binary")
 
 
-class Contexts:
-    """The frequent words, by hash."""
+def _bigrams(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The code, of 48 bits, of each token with the one before it; a text's first token follows an end."""
+    before = np.r_[END, h[:-1]][: len(h)]
+    before[np.r_[True, row[1:] != row[:-1]][: len(h)]] = END
+    return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(16)
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Numbers from 1, 0 for other words."""
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at + 1, 0)
+def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct, rising codes by bucket, the buckets that there are, and where each begins, with the end."""
+    bucket = (codes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(codes) else np.zeros(1, int)
+    return order, bucket[cut[:-1]], cut
 
-    def grams(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The bigram code of each token with the one before it; a text's first token follows an end. 0: not both frequent."""
-        own = self.of(h)
-        end = self.of(np.array([END]))[0]
-        before = np.r_[end, own[:-1]][: len(own)]
-        first = np.r_[True, row[1:] != row[:-1]][: len(own)]
-        before[first] = end
-        return np.where((own > 0) & (before > 0), before * (len(self.keys) + 1) + own, 0)
 
+def _packed_bigrams(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    kind = np.uint8 if counts.max(initial=0) < 2**8 else np.uint64
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + counts.astype(kind).tobytes()
 
-def _bigrams(docs: DataFrame, contexts) -> DataFrame:
-    """(block, n, blob): counts of frequent words (codes below their number) and bigrams in training texts."""
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        block = mix(codes.astype(np.uint64)) % np.uint64(BLOCKS)
-        order = np.argsort(block, kind="stable")
-        codes, counts, block = codes[order], counts[order], block[order]
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(codes) else np.zeros(1, int)
-        rows = list(zip(cut[:-1], cut[1:], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([int(block[lo]) for lo, _ in rows], pa.int32()), pa.array([hi - lo for lo, hi in rows], pa.int64()), pa.array([_pack(codes[lo:hi], counts[lo:hi]) for lo, hi in rows], pa.binary())], ["block", "n", "blob"])
+def _unpacked_bigrams(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
+    return wide.view(np.uint64).ravel(), np.frombuffer(blob, np.uint8 if len(blob) == 7 * n else np.uint64, n, 6 * n).astype(np.int64)
+
+
+def _probes(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, n, blob): the distinct bigrams of a chunk with their counts in training texts."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        code, chunk, train = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.argsort(chunk, kind="stable")
+        code, chunk, train = code[order], chunk[order], train[order]
+        out = [[], [], [], []]
+        ends = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+        for first, last in zip(ends[:-1], ends[1:], strict=True):
+            codes, counts = _summed(code[first:last], train[first:last].astype(np.int64))
+            order, bucket, cut = _dealt(codes, buckets)
+            codes, counts = codes[order], counts[order]
+            for b, lo, hi in zip(bucket, cut[:-1], cut[1:], strict=True):
+                for column, x in zip(out, (int(b), int(chunk[first]), hi - lo, _packed_bigrams(codes[lo:hi], counts[lo:hi])), strict=True):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["bucket", "chunk", "n", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, words = [], 0, contexts.value
+        held, size = [], 0
         for b in batches:
-            out = b.column("held_out").to_numpy(zero_copy_only=False)
+            chunk, out = b.column("chunk").to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
             for lo, _, buf, off in blocks(b.column("text")):
                 h, row = tokens(buf, off)
-                train = ~out[row + lo]
-                both, one = words.grams(h, row)[train], words.of(h[train])
-                held += [both[both > 0], one[one > 0]]
-                size += len(held[-1]) + len(held[-2])
-            if size >= 2 * HELD:
-                yield packed(held)
+                held.append((_bigrams(h, row), chunk[row + lo], ~out[row + lo]))
+                size += len(h)
+            if size >= HELD:
+                yield from packed(held)
                 held, size = [], 0
-        if held:
-            yield packed(held)
+        if size:
+            yield from packed(held)
 
-    return docs.mapInArrow(run, "block int, n long, blob binary")
+    return docs.mapInArrow(run, "bucket int, chunk long, n long, blob binary")
 
 
 def _places(codes: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
@@ -199,20 +210,49 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _filter(bigrams: DataFrame, bits: int) -> DataFrame:
-    """(block, bytes): each block of the filter."""
+def _filter(codes: np.ndarray, counts: np.ndarray, bits: int | None) -> Filter:
+    """The filter of distinct codes: of `bits` bits, else of as many as keep the false positives under RATE."""
+    up = level(counts)
+    block = -(-bits // BLOCKS) if bits else int(up.sum()) * HASHES // BLOCKS * 4 + 64
+    base = mix(codes) % np.uint64(BLOCKS)
+    while True:
+        block = -(-block // 8) * 8
+        out = np.zeros(BLOCKS * block, bool)
+        for q in range(1, int(up.max(initial=0)) + 1):
+            mine = up >= q
+            for at in _places(codes[mine], q, block):
+                out[base[mine] * np.uint64(block) + at] = True
+        rate = float((out.reshape(BLOCKS, block).mean(1) ** HASHES).mean())
+        if rate <= RATE:
+            raw = np.packbits(out, bitorder="little").tobytes()
+            return Filter({b: raw[b * block // 8 : (b + 1) * block // 8] for b in range(BLOCKS)}, block)
+        if bits:
+            raise ValueError(f"a filter of {bits} bits for a bucket of {len(codes)} bigrams has {rate:.3f} false positives, over {RATE}")
+        block = block * 5 // 4
+
+
+def _levels(probes: DataFrame, bits: int | None) -> DataFrame:
+    """(chunk, bucket, n, blob): the filter's level, a byte, of each distinct bigram of a chunk in a bucket, in their order."""
 
     def run(rows: pa.Table) -> pa.Table:
-        _, codes, counts = _gather(rows)
-        codes, counts = _summed(codes, counts)
-        up = level(counts)
-        out = np.zeros(bits, bool)
-        for q in range(1, int(up.max(initial=0)) + 1):
-            for at in _places(codes[up >= q], q, bits):
-                out[at] = True
-        return pa.table({"block": rows.column("block").slice(0, 1).cast(pa.int32()), "bytes": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+        got = [_unpacked_bigrams(b.as_py(), n.as_py()) for b, n in zip(rows.column("blob"), rows.column("n"), strict=True)]
+        codes, counts = _summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        met = counts > 0
+        found = _filter(codes[met], counts[met], bits).levels(codes).astype(np.uint8)
+        of = {}
+        for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
+            of.setdefault(chunk, []).append(g[0])
+        mine = [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in of.values()]
+        blobs = [found[np.searchsorted(codes, x)].tobytes() for x in mine]
+        return pa.table({"chunk": pa.array(list(of), pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(of), pa.int32()), "n": pa.array([len(x) for x in mine], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return probes.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n long, blob binary")
 
-    return bigrams.groupBy("block").applyInArrow(run, "block int, bytes binary")
+
+def mean_count(up: np.ndarray) -> np.ndarray:
+    """The mean of the counts of a level; none at level 0."""
+    lo, hi = np.ceil(BASE ** (up - 1.0) - 1e-6), np.ceil(BASE ** up.astype(float) - 1e-6) - 1
+    return np.where(up > 0, (lo + np.maximum(hi, lo)) / 2, 0.0)
 
 
 class Filter:
@@ -231,61 +271,64 @@ class Filter:
             found &= (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return found
 
-    def counts(self, codes: np.ndarray) -> np.ndarray:
+    def levels(self, codes: np.ndarray) -> np.ndarray:
         up, live, q = np.zeros(len(codes), np.int64), np.arange(len(codes)), 1
         while len(live) and q < 200:
             live = live[self.has(codes[live], q)]
             up[live] = q
             q += 1
-        lo, hi = np.ceil(BASE ** (up - 1) - 1e-6), np.ceil(BASE**up - 1e-6) - 1
-        return np.where(up > 0, (lo + np.maximum(hi, lo)) / 2, 0.0)
+        return up
 
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        return mean_count(self.levels(codes))
 
-def scores(docs: DataFrame, *, share: float = SHARE, bits: int = BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+
+def scores(docs: DataFrame, *, share: float = 0.0, bits: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. A caller may leave bigrams
+    of words under a share of the training tokens to the base, and may set the filter's bits, which fails if they are too few."""
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = _prepared(docs)
     buckets = max(16, -(-text_bytes(docs) // BUCKET_BYTES))
     counted = spool(_counted(docs, buckets), "counted")
     total = counted.agg(F.sum("tokens")).first()[0] or 0
-    totals = spool(_totals(counted, share * total), "totals")
+    totals = spool(_totals(counted), "totals")
     drop(counted)
     words = totals.agg(F.sum("words")).first()[0] or 0
-    often = totals.filter("kind = 1").select("n", "blob").toLocalIterator()  # 1 / share entries in all, at most
-    contexts = Contexts(np.concatenate([np.zeros(0, np.uint64), *(_unpack(bytes(r.blob), r.n)[0] for r in often)]))
-    shared = spark.sparkContext.broadcast(contexts)
-    block = bits // BLOCKS
-    parts = {r.block: bytes(r.bytes) for r in _filter(_bigrams(docs, shared), block).toLocalIterator()}
-    lm = spark.sparkContext.broadcast(Filter(parts, block))
+    levels = spool(_levels(_probes(docs, buckets), bits and -(-bits // buckets)), "levels")
     bottom = np.log10(total + words + 1) if total + words else 0.0
+    least = share * total
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, known, counts = _gather(right)
+        of = right.column("bucket").to_numpy()
+        _, known, counts = _gather(right.filter(pa.array(of < 0)))
         order = np.argsort(known)
         known, counts = known[order], counts[order]
         ids, held = left.column("doc_id").combine_chunks(), left.column("held_out").to_numpy()
-        out = [[], [], [], []]
-        for _, _, buf, off in blocks(left.column("text").combine_chunks()):
-            n = len(off) - 1
-            h, row = tokens(buf, off)
+        texts = [(len(off) - 1, *tokens(buf, off)) for _, _, buf, off in blocks(left.column("text").combine_chunks())]
+        codes = [_bigrams(h, row) for _, h, row in texts]
+        distinct, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+        order, bucket, cut = _dealt(distinct, buckets)
+        found = {b: x.as_py() for b, x in zip(of.tolist(), right.column("blob"), strict=True) if b >= 0}
+        up = np.zeros(len(distinct), np.int64)
+        up[order] = np.frombuffer(b"".join(found[int(b)] for b in bucket), np.uint8)
+        pairs = mean_count(up)
+        out, at = [[], [], [], []], 0
+        for (n, h, row), code in zip(texts, codes, strict=True):
             c = counts[np.searchsorted(known, h)]
             base = np.log10(c + 1.0) - bottom
-            code = shared.value.grams(h, row)
-            some = np.flatnonzero(code)
-            full = base.copy()
-            if len(some):
-                distinct, which = np.unique(code[some], return_inverse=True)
-                before, at = np.unique(distinct // (len(shared.value.keys) + 1), return_inverse=True)
-                context = np.maximum(lm.value.counts(before), 1.0)[at]
-                pair = np.minimum(lm.value.counts(distinct), context)
-                weight = context / (context + K)
-                full[some] = np.log10((weight * pair / context)[which] + (1 - weight)[which] * 10 ** base[some])
+            end = counts[np.searchsorted(known, END)]
+            context = np.r_[end, c[:-1]][: len(c)]
+            context[np.r_[True, row[1:] != row[:-1]][: len(c)]] = end
+            pair = np.minimum(pairs[which[at : at + len(code)]], context)
+            at += len(code)
+            use = (context > 0) & (context >= least) & (c >= least)
+            full = np.where(use, np.log10((pair + K * 10**base) / (context + K)), base)
             for column, x in zip(out, (np.bincount(row, minlength=n), np.bincount(row, c > 0, n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, full, n)), strict=True):
                 column.append(x)
         n_tokens, n_known, base, full = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"doc_id": ids, "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
 
-    sums = totals.filter("kind = 0").select("chunk", "n", "blob")
+    sums = totals.filter("kind = 0").select("chunk", F.lit(-1).alias("bucket"), "n", "blob").union(levels.select("chunk", "bucket", "n", "blob"))
     return docs.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

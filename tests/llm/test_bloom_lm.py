@@ -58,3 +58,35 @@ def test_held_out_is_better_than_the_base(spark):
     df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
     got = [x for x in B.scores(df).collect() if x.held_out]
     assert sum(x.score for x in got) > 0.75 * sum(x.base_score for x in got)
+
+
+def test_bigrams_of_rare_words(spark):
+    r = np.random.default_rng(12)
+    rows = [" ".join(f"c{x}" for x in r.integers(0, 50, 1500)) for _ in range(150)]
+    rows += [f"rare{k} word{k} after{k}" for k in range(300) for _ in range(3)]
+    rows = list(enumerate(rows))
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = [(d, [None, *t.split(" "), None]) for d, t in rows]
+    c = Counter(w for d, t in tokens if not held(d) for w in t[1:])
+    pairs = Counter(p for d, t in tokens if not held(d) for p in zip(t, t[1:]))
+    n, v = sum(c.values()), len(c)
+    mean = lambda x: float(B.mean_count(B.level(np.array([x])))[0]) if x else 0.0
+    want = {d: sum(math.log10((min(mean(pairs[a, b]), c[a]) + B.K * (c[b] + 1) / (n + v + 1)) / (c[a] + B.K)) for a, b in zip(t, t[1:])) for d, t in tokens}
+    got = B.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    off = max(abs(x.score / want[x.doc_id] - 1) for x in got if x.doc_id < 150)  # some of 1500 bigrams are false positives
+    assert len(got) == len(rows) and off < 5e-3
+    assert np.mean([abs(x.score - want[x.doc_id]) < 1e-6 for x in got if x.doc_id >= 150]) > 0.95
+    assert all(x.score > x.base_score + 0.1 for x in got if x.doc_id >= 150 and x.n_known > 1)  # rare words alone, met in training
+
+
+def test_filter_grows_with_what_is_in_it():
+    r = np.random.default_rng(13)
+    for n in (0, 10, 3000, 200000):
+        codes = np.unique(r.integers(1, 1 << 47, n).astype(np.uint64))
+        f = B._filter(codes, r.integers(1, 9, len(codes)), None)
+        assert np.mean(f.levels(r.integers(1 << 47, 1 << 48, 20000).astype(np.uint64)) > 0) < 1.3 * B.RATE
+    try:
+        B._filter(codes, np.ones(len(codes), np.int64), 1 << 16)
+        raise AssertionError("too small a filter passed")
+    except ValueError:
+        pass
