@@ -40,3 +40,11 @@ def test_stages_against_plain(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, columns, at).columns == columns.columns
         assert stage(spark, columns.filter("false"), at).count() == 0
+
+
+def test_one_of_a_large_group_of_variants_stays(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = N.variants(220, seed=6)
+    df = spark.createDataFrame([((7 * d) % 221, t, "en", "s", len(t)) for d, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [x.doc_id for x in P.near_duplicates(spark, df, str(tmp_path)).collect()] == [0]
