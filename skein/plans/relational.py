@@ -59,8 +59,8 @@ def _(spark, sf):
     from skein.sources.session import scratch
 
     at = scratch(spark, "avro")
-    avro.write(spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 50 = 0").select("o_orderkey", "o_orderstatus", "o_totalprice"), at)
-    return avro.read(spark, at, "o_orderkey long, o_orderstatus string, o_totalprice double").filter("o_orderkey % 100 = 0")
+    avro.write(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"), at)
+    return avro.read(spark, at, "o_orderkey long, o_orderstatus string, o_totalprice double").filter("o_orderkey % 50 = 0 AND o_orderkey % 100 = 0")
 
 
 @query("src_deletion_vector", "SELECT l_linenumber % 4 AS file, l_orderkey * 8 + l_linenumber AS pos FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL")

@@ -51,3 +51,14 @@ def test_field_ids(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.parquet.fieldId.read.enabled")
     assert (r.new, r.extra, r.s) == (1, None, "a")
+
+
+def test_avro_round_trip_writes_every_order(spark, tmp_path, monkeypatch):
+    from skein import registry
+    from skein.sources import avro
+
+    spark.range(1, 301).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus", "id / 2D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    written, write = [], avro.write
+    monkeypatch.setattr(avro, "write", lambda df, at: (written.append(df.count()), write(df, at)))
+    got = registry.queries()["src_avro_round_trip"](spark, str(tmp_path)).collect()
+    assert written == [300] and sorted(r.o_orderkey for r in got) == [100, 200, 300]
