@@ -8,14 +8,18 @@ a band of registers are candidates and are verified exactly; documents linked by
 directly or through others, are one class.
 
 Copies never make pairs: texts with the same weighted shingles are one node. Nodes of a small bucket are compared with
-one another, those of a larger one with its leader. Nodes of large buckets that are then still in several classes are
-settled exactly: all shingles have one order, roughly the rarest first, and of shares A and B of two texts' weights that
-are not in common follows a similarity of at most `bound(A, B)`; so the first common shingle of a similar pair has at
-most 1 - similarity of either text before it, and only nodes that share such a shingle, with a bound that is high enough,
-are pairs. Lists of a shingle work as buckets do: the larger ones first send the node with the least share before the
-shingle, which is the original of a group of variants, to all others; what is then still of several classes is compared
-pair by pair. Texts that only share a passage have rare shingles of their own, so that they meet in no list. No candidate
-is given up: with 28 bands of 5 registers a pair at 0.8 is missed with probability 2e-5.
+one another, those of a larger one with its leader, the node that is in most large buckets: the original of a group of
+variants. Where a leader's nodes are then in several classes, the rest is settled by what differs from the leader, exactly:
+let n be the leader's weight, r and u the weight that a node lacks of it and has beyond it, and k = s / (1 - s) for the
+similarity s (4). For two nodes of similarity s or more, the weight of differences that they share (both lack a shingle, or
+both have it) times 1 + 2k is at least m + m' - n, where m = (1 + k) r + k u, less (1 + k) for each count by which a common
+shingle differs and 1 for each repeat of a new one. (The similarity is at most C / (C + D), C the common shingles' larger
+counts and D all others; both follow from n, r, u and the shared differences.) Nodes that are not similar to the leader
+have m > n, so that they share more than m' / (1 + 2k) with any partner: the partner's rarest differences, up to that weight
+from the end, make short lists, and nodes that are not similar meet them with all of theirs. Independent edits meet in
+no list, since a shingle that no other node has is left out. The few nodes for which counts leave m below its bounds meet
+all the nodes of their leader. Lists work as buckets do: larger ones first send their least different node to all others.
+No candidate is given up: with 28 bands of 5 registers a pair at 0.8 is missed with probability 2e-5.
 
 Defined results: a document is its (doc_id, text): repeated rows are copies of one another; null texts and texts
 without words are in no class but their own; a class's id is its least doc_id (null ids count as absent: a class of
@@ -32,15 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.spool import arrow_batches, drop, spool
+from skein.llm.spool import arrow_batches, drop, spool, unused
 from skein.llm.text import ALNUM, LOWER, Rolling, blocks, grams, mix, spans
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
-#: Buckets of up to so many nodes are compared pair by pair, larger ones with their leader.
-SMALL, LEVELS, AGAIN = 8, 12, 4
-#: Rounds of leaders in the lists of shingles; counters of the order of shingles (collisions only make it less apt).
-LEADERS, SLOTS = 2, 1 << 20
+#: Buckets of up to so many nodes are compared pair by pair, larger ones with a leader.
+SMALL = 8
+#: Counters of shingles, a byte each, that go to every worker: a fixed size. Where they are too few, the lists of
+#: differences are longer, and as exact.
+SLOTS = 1 << 23
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +170,13 @@ def _unpacked(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return wide.view(np.uint64).ravel(), np.frombuffer(weights, np.uint32) if weights else np.ones(len(raw), np.uint32)
 
 
+def _beside(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the contents of both."""
+    left = contents.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
+    right = contents.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb")
+
+
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b); a spooled table."""
 
@@ -174,24 +186,7 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
             got = [probability_jaccard(*_unpacked(c["sa"][i].as_py(), c["wa"][i].as_py()), *_unpacked(c["sb"][i].as_py(), c["wb"][i].as_py())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
 
-    left = contents.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = contents.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return spool(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary, similarity double"), "verified")
-
-
-def _resigned(contents: DataFrame, seed: int, bands: int, rows: int) -> DataFrame:
-    """(node, bands): band keys of a further, independent signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [_unpacked(k.as_py(), w.as_py()) for k, w in zip(b.column("shingles"), b.column("weights"), strict=True)]
-            key = mix(np.concatenate([g[0] for g in got]) + np.uint64(seed * 0x51B54A32D192ED03 % 2**64)) if got else np.zeros(0, np.uint64)
-            row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]) if got else np.zeros(0, np.int64)
-            weight = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
-            sig = _bands(signatures(key, row, weight, len(got), bands * rows), bands, rows)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sig.view(np.int64).tolist(), pa.list_(pa.int64()))], ["node", "bands"])
-
-    return contents.mapInArrow(run, "node binary, bands array<long>")
+    return spool(_beside(pairs, contents).mapInArrow(run, "a binary, b binary, similarity double"), "verified")
 
 
 def bound(a, b):
@@ -199,92 +194,187 @@ def bound(a, b):
     return F.least(1 / (1 / (1 - a) + b / (1 - b)), 1 / (a / (1 - a) + 1 / (1 - b)))
 
 
-def _slots(key: np.ndarray) -> np.ndarray:
-    return (mix(key) % np.uint64(SLOTS)).astype(np.int64)
+def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (mix(key) % np.uint64(SLOTS)).astype(np.int64), (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _met(common: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """At least how many nodes, up to 255, have each shingle; never too few."""
+    one, two = _slots(key)
+    return np.minimum(common[one], common[two])
 
 
 def _common(contents: DataFrame) -> np.ndarray:
-    """How many nodes have a shingle, by slot."""
-    width = SLOTS // 16
+    """How many nodes have a shingle, by slot, up to 255."""
+    parts = 16
+    width = SLOTS // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(SLOTS, np.uint32)
+        got = np.zeros(SLOTS, np.uint8)
         for b in batches:
             for k in b.column("shingles"):
-                np.add.at(got, _slots(_unpacked(k.as_py(), b"")[0]), 1)
-        if got.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([got[i * width : (i + 1) * width].tobytes() for i in range(16)], pa.binary())], ["part", "counts"])
+                at, many = np.unique(np.concatenate(_slots(_unpacked(k.as_py(), b"")[0])), return_counts=True)
+                got[at] = np.minimum(got[at] + many, 255)
+        at = np.flatnonzero(got)
+        if len(at):
+            cut = np.searchsorted(at, np.arange(parts + 1) * width)
+            blobs = [(at[lo:hi] - i * width).astype(np.uint32).tobytes() + got[at[lo:hi]].tobytes() for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        got = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in rows.column("counts"))
-        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([np.minimum(got, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        got = np.zeros(width, np.uint8)
+        for x in rows.column("counts"):
+            raw = x.as_py()
+            at = np.frombuffer(raw, np.uint32, len(raw) // 5)
+            got[at] = np.minimum(got[at].astype(np.int64) + np.frombuffer(raw, np.uint8, len(raw) // 5, len(raw) // 5 * 4), 255)
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([got.tobytes()], pa.binary())})
+
+    got = np.zeros(SLOTS, np.uint8)
+    for r in contents.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        got[r.part * width : (r.part + 1) * width] = np.frombuffer(bytes(r.counts), np.uint8)
+    return got
+
+
+SHORT, FULL = 1, 2
+
+
+def difference(x: tuple[np.ndarray, np.ndarray], lead: tuple[np.ndarray, np.ndarray], similar: bool, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """The lists that a node joins for its differences from a leader: their shingles (0: the list of all), the weight of
+    the differences from each on, and its sides; the node's measure, and the share of its weight that no other node has."""
+    (key, weight), (lk, lw) = x, lead
+    k = similarity / (1 - similarity)
+    total = float(lw.sum())
+    met = _met(common, key)
+    own = float(weight[met <= 1].sum()) / float(weight.sum())
+    none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int8)
+    if 1 - own < similarity - 1e-9:
+        return *none, 0.0, own
+    _, ix, il = np.intersect1d(key, lk, assume_unique=True, return_indices=True)
+    added, gone = np.ones(len(key), bool), np.ones(len(lk), bool)
+    added[ix] = gone[il] = False
+    uneven = np.abs(weight[ix].astype(np.int64) - lw[il].astype(np.int64)).sum()
+    measure = float((1 + k) * lw[gone].sum() + k * added.sum() - (1 + k) * uneven - (weight[added].astype(np.int64) - 1).sum())
+    if measure < 0 or (not similar and measure <= total):
+        return np.zeros(1, np.uint64), np.full(1, np.inf), np.full(1, SHORT | FULL, np.int8), 0.0, own
+    lost = _met(common, lk[gone]).astype(np.int64)
+    keys = np.concatenate([key[added], lk[gone]])
+    sizes = np.concatenate([np.ones(int(added.sum())), lw[gone].astype(float)])
+    often = np.concatenate([met[added].astype(np.int64), 257 - lost])  # what many have, few have lost
+    order = np.lexsort((keys, often))
+    keys, often = keys[order], often[order]
+    left = np.cumsum(sizes[order][::-1])[::-1]
+    side = np.where((1 + 2 * k) * left >= measure - 1e-6, SHORT, 0)
+    if measure > total:
+        side |= np.where((1 + 2 * k) * left >= measure - total - 1e-6, FULL, 0)
+    use = (side > 0) & (often > 1)
+    return np.r_[keys[use], np.zeros(1, np.uint64)], np.r_[left[use], np.inf], np.r_[side[use], FULL].astype(np.int8), measure, own
+
+
+def _compared(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity, ...) of leaders a and nodes b, with the lists of b's differences from a; a spooled table."""
+    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
 
-    parts = contents.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(bytes(r.counts), np.uint32) for r in sorted(parts)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n) for n in ("sa", "wa", "sb", "wb")}
+            got, keys, left, sides, measure, own, total = [], [], [], [], [], [], []
+            for i in range(batch.num_rows):
+                lead, x = _unpacked(c["sa"][i].as_py(), c["wa"][i].as_py()), _unpacked(c["sb"][i].as_py(), c["wb"][i].as_py())
+                got.append(probability_jaccard(*lead, *x))
+                k, reach, side, g, q = difference(x, lead, got[-1] >= similarity - 1e-9, common.value, similarity)
+                for column, value in ((keys, k.view(np.int64).tolist()), (left, reach.tolist()), (sides, side.tolist()), (measure, g), (own, q), (total, float(lead[1].sum()))):
+                    column.append(value)
+            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(left, pa.list_(pa.float64())), pa.array(sides, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.float64()) for x in (got, measure, own, total)), *lists], ["a", "b", "similarity", "measure", "own", "total", "keys", "reach", "sides"])
+
+    out = _beside(pairs, contents).mapInArrow(run, "a binary, b binary, similarity double, measure double, own double, total double, keys array<long>, reach array<double>, sides array<tinyint>")
+    return spool(out, "compared")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+    """rows with the label of their node; a spooled table."""
+    if labels is None:
+        return spool(rows.withColumn("label", F.col("node")), name)
+    names = labels.select("node", F.col("label").alias("known"))
+    return spool(rows.join(names, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known"), name)
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The labels after further links (a, b): components of the links and of the labels so far."""
+    if links.isEmpty():
+        return labels
+    out = components(links if labels is None else links.union(labels.filter("node <> label").select("node", "label")))
+    if labels is not None:
+        drop(labels)
+    return out
 
 
-def _prefixes(contents: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, before): each shingle with at most 1 - similarity of its node's weight before it in the common order."""
-    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
+def _similar(found: DataFrame, similarity: float) -> DataFrame:
+    return found.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, nodes, before = [np.zeros(0, np.uint64)], [], [np.zeros(0)]
-            for i in range(b.num_rows):
-                key, weight = _unpacked(b.column("shingles")[i].as_py(), b.column("weights")[i].as_py())
-                order = np.lexsort((key, common.value[_slots(key)]))
-                to = np.cumsum(weight[order].astype(np.int64))
-                share = (to - weight[order]) / to[-1]
-                n = int(np.searchsorted(share, 1 - similarity + 1e-9, "right"))
-                keys.append(key[order[:n]])
-                before.append(share[:n])
-                nodes += [b.column("node")[i].as_py()] * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(before))], ["key", "node", "before"])
-
-    return contents.mapInArrow(run, "key long, node binary, before double")
-
-
-def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, rows: int, small: int) -> DataFrame | None:
-    """(node, label) of the nodes with links among those that share a bucket (key, node); None without any bucket."""
-    links, kept, labels, temporary, level = [], [], None, [], 0
-    open_ = buckets.withColumn("before", F.lit(0.0))
-    while True:
-        named = open_.withColumn("label", F.col("node")) if labels is None else spool(open_.join(labels, "node", "left").select("key", "node", "before", F.coalesce("label", "node").alias("label")), "named")
-        stats = spool(named.groupBy("key").agg(F.min(F.struct("before", "node", "label")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 1 AND l0 <> l1").select("key", "lead", "n"), "stats")
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, n) of the keys whose rows have two labels or more."""
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "n")
+
+
+def _met_by_lists(entries: DataFrame, contents: DataFrame, labels: DataFrame | None, similarity: float, small: int) -> DataFrame | None:
+    """The labels after all similar pairs of different labels that share a list are linked."""
+    k = similarity / (1 - similarity)
+    x, y = F.col("x"), F.col("y")
+    near = ((1 + 2 * k) * F.least(x["reach"], y["reach"]) >= x["measure"] + y["measure"] - x["total"] - 1e-6) & (bound(x["own"], y["own"]) >= similarity - 1e-9)
+    facts = F.struct("reach", "measure", "total", "own")
+    for led in (True, False):
+        named = _labelled(entries, labels, "named")
+        sides = F.max(F.col("side").bitwiseAND(SHORT)).alias("short"), F.max(F.col("side").bitwiseAND(FULL)).alias("full")
+        stats = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("measure", "node", "label", facts.alias("facts"))).alias("lead"), *sides)
+        stats = spool(stats.filter(f"l0 <> l1 AND short > 0 AND full > 0 AND ({'true' if not led else f'n > {small}'})").select("key", "lead"), "stats")
         tagged = spool(named.join(stats, "key"), "tagged")
-        temporary += [stats, tagged] + ([] if labels is None else [named])
-        few, star = tagged.filter(F.col("n") <= small), tagged.filter(F.col("n") > small)
-        if level > LEADERS:
-            few, star = tagged, tagged.filter("false")
-        near = bound(F.col("x"), F.col("y")) >= similarity - 1e-9
-        mates = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("before").alias("y"))
-        pairs = few.select("key", F.col("node").alias("a"), "label", F.col("before").alias("x")).join(mates, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & near).select("a", "b")
-        led = star.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.before").alias("x"), F.col("before").alias("y")).filter(near)
-        pairs = pairs.union(led.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-        got = _verified(pairs, contents)
-        kept.append(got)
-        links.append(got.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        if labels is not None:
-            drop(labels)
-        labels = components(every)
-        rest = star.filter("node <> lead.node")  # the leader has met all the others
-        left = spool((star if level == 0 else rest).select("key", "node", "before").join(labels, "node", "left").select("key", "node", "before", F.coalesce("label", "node").alias("label")), "left")
-        mixed = spool(left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key"), "mixed")
-        open_ = spool(left.join(mixed, "key").select("key", "node", "before"), "open")
-        temporary += [left, mixed, open_]
-        drop(*temporary[:-1])
-        temporary = [open_]
-        if open_.isEmpty():
-            break
-        level += 1
-        if level == 1:
-            some = spool(contents.join(open_.select("node").distinct(), "node", "left_semi"), "some")
-            open_ = spool(_prefixes(some, similarity), "open")
-            temporary += [some, open_]
-    drop(*temporary, *kept)
+        if led:  # the node with the least differences, which may be the original of a group of its own
+            pairs = tagged.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.facts").alias("x"), facts.alias("y")).filter(near).select("a", "b")
+        else:
+            one = tagged.filter(F.col("side").bitwiseAND(SHORT) > 0).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("side").alias("s"), facts.alias("x"))
+            two = tagged.filter(F.col("side").bitwiseAND(FULL) > 0).select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("side").alias("t"), facts.alias("y"))
+            once = ~((F.col("s") == SHORT | FULL) & (F.col("t") == SHORT | FULL) & (F.col("a") > F.col("b")))
+            pairs = one.join(two, "key").filter((F.col("la") != F.col("lb")) & once & near).select("a", "b")
+        found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), contents)
+        labels = _relabelled(labels, _similar(found, similarity))
+        drop(named, stats, tagged, found)
+    return labels
+
+
+def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, small: int) -> DataFrame | None:
+    """(node, label) of the nodes with links among those that share a bucket (key, node); None without any link."""
+    sizes = spool(buckets.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    tagged = spool(buckets.join(sizes, "key"), "tagged")
+    few = tagged.filter(F.col("n") <= small)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    found = _verified(pairs, contents)
+    labels = _relabelled(None, _similar(found, similarity))
+    drop(sizes, found)
+    large = _labelled(tagged.filter(F.col("n") > small).select("key", "node"), labels, "large")
+    mixed = spool(_mixed(large).select("key"), "mixed")
+    drop(tagged)
+    if mixed.isEmpty():
+        drop(large, mixed)
+        return labels
+    star = spool(large.join(mixed, "key"), "star")
+    drop(large, mixed)
+    degree = spool(star.groupBy("node").agg(F.count("*").alias("degree")), "degree")
+    leads = spool(star.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("order"), "node")).alias("lead")).select("key", "lead.node").withColumnRenamed("node", "a"), "leads")
+    pairs = spool(star.join(leads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "led")
+    some = spool(contents.join(degree.select("node"), "node", "left_semi"), "some")
+    compared = _compared(pairs, some, similarity)
+    drop(star, degree, leads, pairs)
+    labels = _relabelled(labels, _similar(compared, similarity))
+    groups = _labelled(compared.select(F.col("a").alias("key"), F.col("b").alias("node")).union(compared.select("a", "a").distinct()), labels, "groups")
+    mixed = spool(_mixed(groups).select(F.col("key").alias("a")), "mixed")
+    fields = F.explode(F.arrays_zip("keys", "reach", "sides")).alias("list")
+    entries = compared.join(mixed, "a").select("a", F.col("b").alias("node"), "measure", "own", "total", fields)
+    entries = spool(entries.select(F.xxhash64("a", "list.keys").alias("key"), "node", F.col("list.reach").alias("reach"), F.col("list.sides").cast("int").alias("side"), "measure", "own", "total"), "entries")
+    drop(groups, mixed)
+    labels = _met_by_lists(entries, some, labels, similarity, small)
+    drop(compared, entries, some)
     return labels
 
 
@@ -304,7 +394,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("d")) & (docs.h == F.col("g"))).select("node", "text")
     contents = spool(_contents(texts.dropDuplicates(["node"]) if _repeats(signed) else texts, words), "contents")
-    labels = _linked(buckets, contents, similarity, rows, small)
+    labels = _linked(buckets, contents, similarity, small)
     named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else own.withColumn("label", F.col("node"))
     named = spool(named, "classes")
     heads = spool(named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("first").alias("head")), "heads")
@@ -322,13 +412,14 @@ def _repeats(signed: DataFrame) -> bool:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those whose class has another, first row; the columns stay."""
-    named = docs.withColumn("_h", F.xxhash64("text"))
+    """The rows of docs without those whose class has another, first row; the columns stay, of any name."""
+    h, d, g = unused(docs, "h", "d", "g")
+    named = docs.withColumn(h, F.xxhash64("text"))
     found = classes(docs, **options)
-    lost = spool(found.filter("NOT kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g")).distinct(), "lost")
+    lost = spool(found.filter("NOT kept").select(F.col("doc_id").alias(d), F.col("h").alias(g)).distinct(), "lost")
     twice = found.filter("kept").groupBy("doc_id", "h").count().filter("count > 1")
-    out = named.join(lost, named.doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
+    out = named.join(lost, named.doc_id.eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left_anti")
     if not twice.isEmpty():  # repeated rows: one of them stays, if they have words
         words = F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-        out = out.filter(words).dropDuplicates(["doc_id", "_h"]).union(out.filter(~F.coalesce(words, F.lit(False))))
-    return out.select(*docs.columns)
+        out = out.filter(words).dropDuplicates(["doc_id", h]).union(out.filter(~F.coalesce(words, F.lit(False))))
+    return out.drop(h)

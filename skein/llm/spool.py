@@ -46,6 +46,15 @@ def remove(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names made of `names` that docs has not, in any case of letters."""
+    there = {c.lower() for c in docs.columns}
+    tail = "_"
+    while any((f"_{n}{tail}").lower() in there for n in names):
+        tail += "_"
+    return [f"_{n}{tail}" for n in names]
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Size of a table with a text column: the planner's figure, which costs nothing, or a count where it has none."""
     known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

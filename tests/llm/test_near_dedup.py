@@ -78,14 +78,6 @@ def test_odd_rows(spark):
     assert N.classes(H.empty(spark)).count() == 0 and N.deduplicate(H.empty(spark)).count() == 0
 
 
-def test_every_level_has_a_signature_of_its_own(spark):
-    key = np.arange(1, 41, dtype=np.uint64)
-    packed = bytearray(np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-    df = spark.createDataFrame([(bytearray(b"n"), packed, bytearray(b""))], "node binary, shingles binary, weights binary")
-    bands = [tuple(N._resigned(df, level, N.AGAIN, N.ROWS).first().bands) for level in range(1, N.LEVELS + 1)]
-    assert len(set(bands)) == N.LEVELS and all(len(b) == N.AGAIN for b in bands)
-
-
 def variants(n=250, size=400, seed=3):
     """An original and texts at 0.80 to 0.85 of it, less to one another."""
     r = np.random.default_rng(seed)
@@ -116,3 +108,70 @@ def test_bound(spark):
             rows.append((sum(a[x] for x in a if x not in b) / sum(a.values()), sum(b[x] for x in b if x not in a) / sum(b.values()), jp(a, b)))
     df = spark.createDataFrame(rows, "a double, b double, s double")
     assert df.filter(N.bound(df.a, df.b) < df.s - 1e-9).isEmpty()
+
+
+def test_no_similar_pair_escapes_the_lists():
+    """Texts around a leader: every pair of similarity 0.8 that is not in the leader's class shares a list and passes."""
+    r = np.random.default_rng(6)
+    met = 0
+    for trial in range(150):
+        size = int(r.integers(20, 60))
+        lead = {x: int(r.integers(1, 4)) if trial % 2 else 1 for x in range(1, size)}
+        texts = []
+        for _ in range(12):  # two by two, with edits in common
+            base = dict(texts[-1] if len(texts) % 2 else lead)
+            for x in r.choice(size, int(r.integers(0, size // (4 if len(texts) % 2 == 0 else 10))), replace=False):
+                base.pop(int(x), None)
+            for _ in range(int(r.integers(0, size // (5 if len(texts) % 2 == 0 else 10)))):
+                base[int(r.integers(1000, 1400))] = int(r.integers(1, 3)) if trial % 2 else 1
+            if trial % 3 == 0 and base:
+                x = list(base)[0]
+                base[x] += 1
+            texts.append(base)
+        packed = [(np.array(sorted(x), np.uint64), np.array([x[i] for i in sorted(x)], np.uint32)) for x in (lead, *texts)]
+        common = np.zeros(N.SLOTS, np.uint8)
+        for key, _ in packed:
+            for at in N._slots(key):
+                np.add.at(common, at, 1)
+        similar = [N.probability_jaccard(*x, *packed[0]) >= 0.8 - 1e-9 for x in packed[1:]]
+        found = [N.difference(x, packed[0], s, common, 0.8) for x, s in zip(packed[1:], similar, strict=True)]
+        total = float(packed[0][1].sum())
+        for i in range(len(texts)):
+            for j in range(i):
+                if (similar[i] and similar[j]) or N.probability_jaccard(*packed[i + 1], *packed[j + 1]) < 0.8 or texts[i] == texts[j]:
+                    continue
+                met += 1
+                lists = [{int(k): (reach, int(side)) for k, reach, side in zip(*f[:3], strict=True)} for f in (found[i], found[j])]
+                (m, q), (n, p) = found[i][3:], found[j][3:]
+                shared = [(min(lists[0][k][0], lists[1][k][0]), lists[0][k][1], lists[1][k][1]) for k in set(lists[0]) & set(lists[1])]
+                assert any(((s & N.SHORT and t & N.FULL) or (t & N.SHORT and s & N.FULL)) and 9 * reach >= m + n - total - 1e-6 for reach, s, t in shared), (texts[i], texts[j])
+    assert met > 100
+
+
+def test_families_in_the_large_buckets(spark):
+    """Variants under 0.8 of an original that many have, with near copies of their own, are classes as by all pairs."""
+    r = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for v in range(60):
+        w = list(words)
+        for at in r.choice(300, int(r.integers(2, 16)), replace=False):
+            w[at] = f"v{v}x{at}"
+        texts.append(" ".join(w))
+        if v % 3 == 0:
+            for c in range(int(r.integers(1, 12))):
+                again = list(w)
+                again[int(r.integers(300))] = f"c{v}y{c}"
+                texts.append(" ".join(again))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (3, 8):
+        assert {x.doc_id: x.class_id for x in N.classes(df, small=small).collect()} == plain(rows)
+
+
+def test_clashing_names(spark):
+    names = ["_h", "_d", "_g", "_h_", "_D_", "node", "key", "class_id", "kept"]
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["a b c d e f g"] * 3 + ["other words are here"])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = N.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(out.collect()) == sorted(r for r in df.collect() if r.doc_id in (0, 3))
