@@ -1,13 +1,15 @@
 """Quality rules by repetition coverage: the characters inside duplicated n-grams and lines.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Rolling hashes of n-grams of several lengths find, within each text, those met twice
-or more; a text is rejected if the characters under them, or in lines met before, are too large a share. The shares
-and their limits are LIMITS and LINE_LIMITS. The base rule rejects texts of under 10 words and those with over 20 in 100
-of their words in repeated 5-word windows.
+or more. Of two to four words, the n-gram whose occurrences have the most characters may have a share of the text's word
+characters of at most TOP; of five to ten words, the characters under n-grams met before in the text (their first
+occurrence is none) may have a share of at most LIMITS, which falls with length: the longer a copy, the less of it is
+chance. Copies of earlier lines have LINE_LIMITS. The base rule rejects texts of under 10 words and those with over 20
+in 100 of their words in repeated 5-word windows.
 
 Defined results: a null or empty text has no words and is rejected; rows are judged alone, so repeated rows and ids
-repeat their results and null ids stay; an empty table gives an empty table; further columns stay, those with a
-result's name are replaced.
+repeat their results and null ids stay; an empty table gives an empty table; in `judge`, further columns stay and those
+with a result's name are replaced; `keep` returns its rows as they are, with columns of any name.
 """
 
 from __future__ import annotations
@@ -19,18 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.llm.spool import arrow_batches
-from skein.llm.text import NON_SPACE, Rolling, blocks, grams, mix, spans
+from skein.llm.text import NON_SPACE, Rolling, blocks, mix, spans
 
-#: n-gram length: largest share of a text's word characters inside its duplicated n-grams. It is the base rule's share at
-#: every length: a text of average length with one paragraph twice is still a clean one.
-LIMITS = {n: 0.20 for n in (5, 6, 7, 8, 9, 10)}
+#: The published limits of repetition rules for web text. n-gram length: the largest share of a text's word
+#: characters in all occurrences of one n-gram that is there twice or more; in n-grams met before.
+TOP = {2: 0.20, 3: 0.18, 4: 0.16}
+LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of lines, and of line characters, that are copies of earlier lines of the text.
 LINE_LIMITS = (0.30, 0.20)
 MIN_WORDS, REPEAT_SHARE = 10, 20
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 
-COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "gram_share": pa.float64(), "line_share": pa.float64()}
+COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "top_share": pa.float64(), "gram_share": pa.float64(), "line_share": pa.float64()}
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -40,21 +43,20 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of the keys met twice or more, and of those met before."""
+    """The number of times that each key is there, and a mask of the keys met before."""
     order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    same = s[1:] == s[:-1]
-    twice, before = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    twice[order[1:]] = before[order[1:]] = same
-    twice[order[:-1]] |= same
-    return twice, before
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)]
+    many, before = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    many[order] = np.diff(np.r_[np.flatnonzero(new), len(keys)])[np.cumsum(new) - 1]
+    before[order] = ~new
+    return many, before
 
 
 def _keyed(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
 
-def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+def measure(buf: np.ndarray, off: np.ndarray, tops: dict[int, float] = TOP, limits: dict[int, float] = LIMITS) -> dict[str, np.ndarray]:
     """The figures of each text of a block."""
     n = len(off) - 1
     solid = NON_SPACE[buf]
@@ -73,27 +75,31 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         np.subtract.at(edge, at + size, 1)
         return np.cumsum(edge[:-1]) > 0
 
-    key, at = grams(h, row, 5)
-    at = at[_repeated(_keyed(key, row[at]))[0]]
-    worst = np.zeros(n)
+    total = np.maximum(word_chars, 1)
+    top, worst = np.zeros(n), np.zeros(n)
     bad = np.zeros(n, bool)
     repeat_words = np.zeros(n, np.int64)
-    total = np.maximum(word_chars, 1)
-    for size, limit in LIMITS.items():
-        if size > 5:  # a longer repeat starts where a shorter one does
-            at = at[(at + size <= len(h))]
-            at = at[row[at] == row[at + size - 1]]
-            out = np.zeros(len(at), np.uint64)
-            for k in range(size):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
-            at = at[_repeated(_keyed(mix(out), row[at]))[0]]
+    at, upto = np.arange(len(h)), np.r_[0, np.cumsum(per_word)]
+    for size in range(2, max(5, *tops, *limits) + 1):
+        at = at[at + size <= len(h)]  # a longer repeat starts where a shorter one does
+        at = at[row[at] == row[at + size - 1]]
+        code = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
+        many, before = _repeated(_keyed(mix(code), row[at]))
+        at, before, many = at[many > 1], before[many > 1], many[many > 1]
         if not len(at):
             break
-        inside = covered(at, size)
-        share = np.bincount(row[inside], per_word[inside], n) / total
         if size == 5:
-            repeat_words = np.bincount(row[inside], minlength=n)
-        worst, bad = np.maximum(worst, share), bad | (share > limit)
+            repeat_words = np.bincount(row[covered(at, size)], minlength=n)
+        if size in limits:
+            inside = covered(at[before], size)
+            share = np.bincount(row[inside], per_word[inside], n) / total
+            worst, bad = np.maximum(worst, share), bad | (share > limits[size])
+        if size in tops:
+            share = np.zeros(n)
+            np.maximum.at(share, row[at], many * (upto[at + size] - upto[at]))
+            top, bad = np.maximum(top, share / total), bad | (share / total > tops[size])
 
     ls, le, lrow = spans(buf != 0x0A, off)
     worded = chars[le] > chars[ls]
@@ -106,7 +112,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     line_share = np.bincount(lrow[before], size[before], n) / np.maximum(np.bincount(lrow, size, n), 1)
     bad |= (dup_lines > LINE_LIMITS[0] * lines) | (line_share > LINE_LIMITS[1])
     failed = (n_words < MIN_WORDS) | (100 * repeat_words > REPEAT_SHARE * n_words)
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": _sums(_SYMBOL[buf], off), "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad), "gram_share": worst, "line_share": line_share}
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": _sums(_SYMBOL[buf], off), "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad), "top_share": top, "gram_share": worst, "line_share": line_share}
 
 
 def _measured(column: pa.Array) -> dict[str, np.ndarray]:
