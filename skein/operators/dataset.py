@@ -20,19 +20,26 @@ class Rejected(ValueError):
     """A request that does not meet the rules."""
 
 
-def ancestors(snapshots: DataFrame, snapshot: str) -> DataFrame:
-    """(id, depth): the snapshot and its parents. Raises on a cycle or a chain of over MAX_CHAIN."""
-    spark = snapshots.sparkSession
-    chain, at = [], snapshot
-    while at is not None:
-        if len(chain) >= MAX_CHAIN or at in chain:
-            raise Rejected("the parent chain has a cycle or is too long")
-        chain.append(at)
-        row = snapshots.filter(F.col("id") == at).select("parent").first()
-        if row is None:
-            raise Rejected(f"no snapshot {at}")
-        at = row[0]
-    return spark.createDataFrame([(s, d) for d, s in enumerate(chain)], "id string, depth int")
+def ancestors(snapshots: DataFrame, snapshot, limit: int = MAX_CHAIN) -> DataFrame:
+    """(id, depth): the snapshot and its parents, found in one recursive query. Raises on a cycle, an unknown parent or a
+    chain of over `limit`."""
+    spark, kind = snapshots.sparkSession, snapshots.schema["id"].dataType.simpleString()
+    at = F.lit(snapshot).cast(kind)
+    snapshots.select("id", "parent").filter("id IS NOT NULL").createOrReplaceTempView("skein_snapshots")
+    spark.createDataFrame([(0,)], "depth int").select(at.alias("start")).createOrReplaceTempView("skein_start")
+    steps = spark.sql(f"""
+        WITH RECURSIVE up(id, depth) AS (
+          SELECT start AS id, 0 AS depth FROM skein_start
+          UNION ALL
+          SELECT s.parent AS id, up.depth + 1 AS depth FROM up JOIN skein_snapshots s ON s.id = up.id WHERE s.parent IS NOT NULL AND up.depth <= {limit})
+        SELECT id, depth FROM up""")
+    chain = sorted(((r.depth, r.id) for r in steps.collect()))  # at most limit + 2 rows
+    ids = [i for _, i in chain]
+    if len(ids) > limit or len(set(ids)) < len(ids):
+        raise Rejected("the parent chain has a cycle or is too long")
+    if snapshots.filter(F.col("id").isin(ids)).select("id").distinct().count() < len(ids):
+        raise Rejected("a snapshot of the chain is unknown")
+    return spark.createDataFrame([(i, d) for d, i in chain], f"id {kind}, depth int")
 
 
 def effective(members: DataFrame, fields: DataFrame, chain: DataFrame) -> DataFrame:
@@ -51,8 +58,11 @@ def visible(field: str, overlay: DataFrame) -> Column:
 
 
 def select(samples: DataFrame, predicate: predicates.Predicate, fields: list[str], version: int = 2) -> DataFrame:
-    """The samples (sample_id and a binary column for each field) that the predicate selects."""
+    """The samples (sample_id and a binary column for each field) that the predicate selects. In version 2 an explicit id
+    must be a member."""
     predicates.validate(predicate, set(fields), version)
+    if version >= 2:
+        existing(samples, predicate)
     return samples.filter(predicates.compile(predicate, F.col("sample_id"), {f: F.col(f) for f in fields}))
 
 

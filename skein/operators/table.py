@@ -30,9 +30,9 @@ def manifest_totals(entries: DataFrame) -> DataFrame:
     return entries.groupBy("manifest").agg(*(F.count_if(F.col("status") == s).alias(f"{n}_files") for s, n in enumerate(("existing", "added", "deleted"))), *(F.sum(F.when(F.col("status") == s, F.col("record_count")).otherwise(0)).alias(f"{n}_rows") for s, n in enumerate(("existing", "added", "deleted"))))
 
 
-def as_of(rows: DataFrame, snapshot: int, column: str = "snapshot_id") -> DataFrame:
-    """Rows that a snapshot sees: those of it and before it."""
-    return rows.filter(F.col(column) <= snapshot)
+def as_of(rows: DataFrame, chain: DataFrame, column: str = "snapshot_id") -> DataFrame:
+    """Rows that a snapshot sees: those of the snapshots (id) of its chain of parents."""
+    return rows.join(F.broadcast(chain.select(F.col("id").alias(column))), column, "left_semi")
 
 
 def position_deleted(rows: DataFrame, deletes: DataFrame, with_vector: DataFrame | None = None) -> DataFrame:
@@ -146,6 +146,49 @@ def bound_problem(lower: Column, upper: Column, kind: str) -> Column:
     return F.when(nan, "nan").when(lower > upper, "order")
 
 
+def snapshot_problems(entries: DataFrame, rows: DataFrame, vectors: DataFrame, positions: DataFrame) -> DataFrame:
+    """(file_path, problem) of a snapshot's live entries, in three passes: data files against their rows(file_path, rows); then
+    vectors(file_path, referenced, positions, last); then position deletes(file_path, target, pos) and equality deletes.
+
+    A delete applies to data files of its partition that are no newer; a vector must be the only one of its data file, have
+    the positions that its entry counts, no more than the file's rows and none beyond; positions must be in files that they
+    apply to, unless these have a vector."""
+    e = live(entries)
+    data = e.filter("content = 0").join(rows, "file_path", "left")
+    first = data.groupBy("file_path").agg(F.count("*").alias("n"), F.bool_or(~F.col("record_count").eqNullSafe(F.col("rows"))).alias("odd"))
+    first = first.select("file_path", F.when(F.col("n") > 1, "twice").when(F.col("odd"), "rows").alias("problem"))
+    known = data.select(F.col("file_path").alias("referenced"), F.col("record_count").alias("own"), F.col("data_sequence").alias("born"), F.col("partition").alias("part"))
+    applies = F.col("own").isNotNull() & (F.col("born") <= F.col("data_sequence")) & F.col("part").eqNullSafe(F.col("partition"))
+    dv = e.filter("content = 3").drop("referenced").join(vectors, "file_path", "left").join(known, "referenced", "left").withColumn("applies", F.coalesce(applies, F.lit(False)))
+    twice = dv.filter("applies").groupBy("referenced").agg(F.count("*").alias("n")).filter("n > 1").select("referenced", F.lit(True).alias("again"))
+    second = dv.join(twice, "referenced", "left").select("file_path", F.when(F.col("referenced").isNull(), "binding").when(~F.col("record_count").eqNullSafe(F.col("positions")), "rows").when(F.col("applies") & F.col("again"), "vectors").when(F.col("applies") & ((F.col("record_count") > F.col("own")) | (F.col("last") >= F.col("own"))), "position").alias("problem"))
+    eq = e.filter("content = 2").select("file_path", F.when(F.coalesce(F.size("equality_ids"), F.lit(0)) < 1, "ids").alias("problem"))
+    listed = positions.groupBy("file_path").agg(F.count("*").alias("found"))
+    counted = e.filter("content = 1").join(listed, "file_path", "left").select("file_path", F.when(F.col("record_count") != F.coalesce("found", F.lit(0)), "rows").alias("problem"))
+    beyond = applicable(entries, positions).filter("pos >= own OR pos < 0").select("file_path", F.lit("position").alias("problem")).distinct()
+    out = first
+    for part in (second, counted, beyond, eq):
+        out = out.union(part)
+    return out.filter("problem IS NOT NULL")
+
+
+def applicable(entries: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions(file_path, target, pos) of live position deletes that apply, with `own`, the rows of the target."""
+    e = live(entries)
+    data = e.filter("content = 0").select(F.col("file_path").alias("target"), F.col("record_count").alias("own"), F.col("data_sequence").alias("born"), F.col("partition").alias("part"))
+    vectors = e.filter("content = 3").select(F.col("referenced").alias("target"), F.col("data_sequence").alias("s"), F.col("partition").alias("q"))
+    covered = data.join(vectors, "target").filter("born <= s AND part <=> q").select("target").distinct()
+    deletes = e.filter("content = 1").select("file_path", "data_sequence", "partition")
+    free = data.join(covered, "target", "left_anti")
+    return positions.join(deletes, "file_path").join(free, "target").filter("born <= data_sequence AND part <=> partition")
+
+
+def file_summary(entries: DataFrame, positions: DataFrame) -> DataFrame:
+    """One row on a snapshot's live files: those of each kind, their rows, positions that apply, and bytes."""
+    used = applicable(entries, positions).agg(F.count("*").alias("applicable_rows"))
+    return snapshot_summary(entries).join(used)
+
+
 def snapshot_summary(entries: DataFrame) -> DataFrame:
     data, pos, eq, dv = (F.col("content") == k for k in range(4))
 
@@ -161,12 +204,12 @@ def position_delete_summary(deletes: DataFrame, data: DataFrame) -> DataFrame:
     return deletes.join(known, "file_path", "left").agg(F.count("*").alias("rows"), F.count_if(F.col("_known").isNotNull()).alias("applicable_rows"), F.count_distinct("file_path").alias("targets"))
 
 
-def row_ids(entries: DataFrame, first: int) -> DataFrame:
+def row_ids(entries: DataFrame, first: int | Column) -> DataFrame:
     """entries(pos, record_count, first_row_id) of one manifest with missing first row ids given in order from `first`.
     A manifest's entries are few, so the running sum is one task's work; `manifest` splits several."""
     need = F.when(F.col("first_row_id").isNull(), F.col("record_count")).otherwise(0)
     before = Window.partitionBy("manifest").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    given = F.lit(first) + F.coalesce(F.sum(need).over(before), F.lit(0))
+    given = (first if isinstance(first, Column) else F.lit(first)) + F.coalesce(F.sum(need).over(before), F.lit(0))
     return entries.withColumn("row_id", F.coalesce("first_row_id", given))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("dataset", "tables", "kv", "objects", "metrics", "relational")
+MODULES: tuple[str, ...] = ("dataset", "tables", "kv", "objects", "metrics", "relational", "commits", "versions")
 
 
 def load() -> None:

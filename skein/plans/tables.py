@@ -30,11 +30,6 @@ OUT = ["l_orderkey", "l_linenumber", "file_path", "pos"]
 SEL = "SELECT l_orderkey, l_linenumber, file_path, pos FROM l"
 
 
-@query("tb_time_travel", "SELECT o_orderkey, o_totalprice FROM orders WHERE (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 <= 300")
-def _(spark, sf):
-    return T.as_of(_table(spark, sf, "orders").withColumn("snapshot_id", X.month(F.col("o_orderdate"))), 300).select("o_orderkey", "o_totalprice")
-
-
 @query("tb_position_delete", LINES + SEL + " WHERE NOT (l_linenumber = 3 AND part <> 'N' AND data_sequence <= 5 AND file_path <> 'f2')")
 def _(spark, sf):
     rows = _lines(spark, sf)
@@ -58,10 +53,10 @@ def _(spark, sf):
     return _vectors(_lines(spark, sf), "l_returnflag = 'R'")
 
 
-@query("tb_dv_contains", LINES + "SELECT file_path, pos, l_returnflag = 'R' AS deleted FROM l WHERE pos < 50")
+@query("tb_dv_contains", LINES + "SELECT file_path, pos, l_returnflag = 'R' AS deleted FROM l")
 def _(spark, sf):
     rows = _lines(spark, sf)
-    return T.contains(rows.filter("pos < 50").select("file_path", "pos"), _vectors(rows, "l_returnflag = 'R'"))
+    return T.contains(rows.select("file_path", "pos"), _vectors(rows, "l_returnflag = 'R'"))
 
 
 @query("tb_dv_covers", LINES + "SELECT file_path, pos FROM l WHERE l_returnflag = 'R' AND l_linenumber = 7")
@@ -178,12 +173,6 @@ def _(spark, sf):
     return T.partition_summary(_metered(spark, sf), ["l_returnflag", "n"])
 
 
-@query("tb_bounds_check", "SELECT * FROM (VALUES (1, 'nan'), (2, 'order'), (3, '')) v(id, problem)")
-def _(spark, sf):
-    rows = spark.createDataFrame([(1, float("nan"), 1.0), (2, 2.0, 1.0), (3, 1.0, 2.0)], "id int, lo double, up double")
-    return rows.select("id", F.coalesce(T.bound_problem(F.col("lo"), F.col("up"), "double"), F.lit("")).alias("problem"))
-
-
 @query("tb_snapshot_summary", ENTRIES + "SELECT count(*) FILTER (content = 0) AS data_files, sum(n) FILTER (content = 0)::BIGINT AS data_rows, sum(n) FILTER (content <> 0)::BIGINT AS delete_rows, count(*) FILTER (content = 2) AS equality_files, count(*) FILTER (content = 1) AS position_files, count(*) FILTER (content = 3) AS vectors, sum(bytes)::BIGINT AS bytes FROM e WHERE status <> 2")
 def _(spark, sf):
     return T.snapshot_summary(_entries(spark, sf))
@@ -267,29 +256,6 @@ def _(spark, sf):
     return _table(spark, sf, "orders").select("o_orderkey", X.date_bound_micros(X.day(d)).alias("bound"), X.nanos(F.unix_micros(d.cast("timestamp")), "us").alias("ns"))
 
 
-@query("tb_insert_delete", "SELECT * FROM (VALUES (1, 10), (3, 30), (4, 40), (5, 50), (6, 60)) v(id, amount)")
-def _(spark, sf):
-    from skein.operators.catalog import Table
-
-    t = Table.scratch(spark, [(1, "id", "long", True), (2, "amount", "long", False)])
-    t.append(spark.createDataFrame([(i, 10 * i) for i in range(1, 5)], "id long, amount long"))
-    t.append(spark.createDataFrame([(5, 50)], "id long, amount long"))
-    t.delete(F.col("id") == 2)
-    t.append(spark.createDataFrame([(6, 60)], "id long, amount long"))
-    return t.read()
-
-
-@query("tb_snapshot_read", "SELECT * FROM (VALUES (1, 10), (2, 20)) v(id, amount)")
-def _(spark, sf):
-    from skein.operators.catalog import Table
-
-    t = Table.scratch(spark, [(1, "id", "long", True), (2, "amount", "long", False)])
-    first = t.append(spark.createDataFrame([(1, 10), (2, 20)], "id long, amount long"))
-    t.append(spark.createDataFrame([(3, 30)], "id long, amount long"))
-    t.delete(F.col("id") == 1)
-    return t.read(snapshot_id=first)
-
-
 GC = "WITH f AS (SELECT DISTINCT l_suppkey % 50 AS k FROM lineitem), r AS (SELECT 'list' || (k % 3) AS path FROM f WHERE k % 3 < 2 UNION SELECT 'm' || (k % 9) FROM f WHERE k % 3 < 2 UNION SELECT 'file' || k FROM f WHERE k % 3 < 2)"
 
 

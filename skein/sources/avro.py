@@ -113,6 +113,49 @@ def container(rows: list[dict], fields: list[tuple[str, str]], deflate: bool = T
     return MAGIC + meta + sync + (_number(len(rows)) + _number(len(body)) + body + sync if rows else b"")
 
 
+def packed(value, kind) -> bytes:
+    """A value of any Avro type; of unions, null or the first other branch."""
+    if isinstance(kind, list):
+        k = next(i for i, x in enumerate(kind) if (x == "null") == (value is None))
+        return _number(k) + packed(value, kind[k])
+    if isinstance(kind, dict):
+        if kind["type"] == "record":
+            return b"".join(packed(value.get(f["name"]), f["type"]) for f in kind["fields"])
+        if kind["type"] == "array":
+            return (_number(len(value)) + b"".join(packed(x, kind["items"]) for x in value) if value else b"") + b"\0"
+        return packed(value, kind["type"])
+    if kind == "null":
+        return b""
+    if kind in ("int", "long"):
+        return _number(value)
+    if kind == "boolean":
+        return b"\1" if value else b"\0"
+    if kind in ("float", "double"):
+        return struct.pack("<f" if kind == "float" else "<d", value)
+    raw = value.encode() if kind == "string" else bytes(value)
+    return _number(len(raw)) + raw
+
+
+def file(rows: list[dict], schema: dict, more: dict[str, str], block: int = 1000) -> bytes:
+    """A container of records of a schema, deflated in blocks, with further facts in its head."""
+    head = {"avro.schema": json.dumps(schema), "avro.codec": "deflate", **more}
+    sync = os.urandom(16)
+    out = [MAGIC, _number(len(head)), *(_number(len(x.encode())) + x.encode() for kv in head.items() for x in kv), b"\0", sync]
+    for lo in range(0, len(rows), block):
+        engine = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = engine.compress(b"".join(packed(r, schema) for r in rows[lo : lo + block])) + engine.flush()
+        out += [_number(len(rows[lo : lo + block])), _number(len(body)), body, sync]
+    return b"".join(out)
+
+
+def head(data: bytes) -> dict[str, str]:
+    """The facts in a container's head."""
+    r = _Reader(data)
+    if r.take(4) != MAGIC:
+        raise Broken("no object container file")
+    return {k: v.decode() for k, v in r.value({"type": "map", "values": "bytes"}).items()}
+
+
 def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The named fields of all *.avro files under a path; a field that a file lacks is null."""
     fields = spark.createDataFrame([], schema).schema.fields

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: spark.checkpoint.dir. Where it is unset, a temporary folder serves a local
+    master, as in tests; on a cluster executors would write to their own disks, so that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = got.get() if got.isDefined() else None
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        at = f"file://{tempfile.gettempdir()}/skein-{os.getuid()}"
+    return at.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/skein-scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/skein-{name}-{uuid.uuid4().hex}"
