@@ -13,6 +13,8 @@ trigger on are, that is, between the same drops of both LCP arrays. Of each such
 
 Nothing is compared pair by pair, and no place is lost: copies within a task's batch are settled there, so a hot phrase
 reaches its bucket once for each batch. Buckets are packed arrays by trigger hash; texts meet their spans chunk by chunk.
+A trigger that WIDE different phrases have (a passage that stands before many texts) is not compared in one place: each of
+their windows goes, as a phrase of one window, to the bucket of its own hash, where copies are settled as all are.
 
 Defined results: a null text is an empty one; texts of under `length` bytes stay whole; the order of documents is
 (doc_id, xxhash64(text)), null ids first; repeated rows are one document, and none of them removes from the others;
@@ -34,11 +36,14 @@ from skein.llm.spool import arrow_batches, drop, spool, text_bytes
 from skein.llm.text import Rolling, blocks, strings
 
 LENGTH, TRIGGER = 100, 32
-CHUNK_DOCS = 512
+#: Documents of a chunk at most, and bytes of text that it should have.
+CHUNK_DOCS, CHUNK_BYTES = 512, 2 << 20
+#: Phrases of one trigger that are compared with one another at most.
+WIDE = 1 << 13
 BUCKET_BYTES = 4 << 20
 PHRASE = np.dtype([("h", "<u4"), ("c", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("windows", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
-ASK = np.dtype([("doc", "<i8"), ("h", "<u4"), ("at", "<u4"), ("before", "u1"), ("windows", "u1")])
+ASK = np.dtype([("doc", "<i8"), ("h", "<u4"), ("at", "<u4"), ("before", "u1"), ("windows", "u1"), ("wide", "u1")])
 
 
 def phrases(buf: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> np.ndarray:
@@ -162,7 +167,7 @@ def _values(rows: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
 _PHRASES, _SPANS, _ASKS = 0, 1, 2
 
 
-def _parsed(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _parsed(docs: DataFrame, buckets: int, width: int, length: int) -> DataFrame:
     """(kind, key, blob): phrases by bucket, and by chunk the spans that a batch settles by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +176,7 @@ def _parsed(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def settled() -> pa.RecordBatch:
             first, gone = copies(np.concatenate(held), length)
             rows = _dealt(_PHRASES, first["h"] % buckets, first)
-            rows += [(k, chunk % buckets, np.int64(chunk).tobytes() + blob) for k, chunk, blob in _dealt(_SPANS, gone["doc"] // CHUNK_DOCS, gone)]
+            rows += [(k, chunk % buckets, np.int64(chunk).tobytes() + blob) for k, chunk, blob in _dealt(_SPANS, gone["doc"] // width, gone)]
             return pa.RecordBatch.from_pydict(_rows(rows, "bucket"))
 
         for b in batches:
@@ -188,7 +193,7 @@ def _parsed(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "kind int, bucket long, blob binary")
 
 
-def _bucketed(parsed: DataFrame, length: int) -> DataFrame:
+def _bucketed(parsed: DataFrame, width: int, wide: int, length: int) -> DataFrame:
     """(kind, chunk, blob): spans of copies, and what has to be asked of the texts."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -198,21 +203,36 @@ def _bucketed(parsed: DataFrame, length: int) -> DataFrame:
         shared = np.unique(h[1:][h[1:] == h[:-1]])
         at = np.minimum(np.searchsorted(shared, p["h"]), max(0, len(shared) - 1))
         first, gone = copies(p[shared[at] == p["h"]] if len(shared) else p[:0], length)
-        out += _dealt(_SPANS, gone["doc"] // CHUNK_DOCS, gone)
+        out += _dealt(_SPANS, gone["doc"] // width, gone)
         if len(first):
             new = np.r_[True, (first["h"][1:] != first["h"][:-1]) | (first["c"][1:] != first["c"][:-1])]
             _, which, many = np.unique(first["h"][new], return_inverse=True, return_counts=True)
-            asked = np.zeros(int((many[which] > 1).sum()), ASK)
-            for name in ASK.names:
-                asked[name] = first[new][many[which] > 1][name]
-            out += _dealt(_ASKS, asked["doc"] // CHUNK_DOCS, asked)
+            mine = many[which] > 1
+            asked = np.zeros(int(mine.sum()), ASK)
+            for name in PHRASE.names:
+                if name != "c":
+                    asked[name] = first[new][mine][name]
+            asked["wide"] = many[which][mine] > wide
+            out += _dealt(_ASKS, asked["doc"] // width, asked)
         return pa.table(_rows(out, "chunk"))
 
     return parsed.groupBy("bucket").applyInArrow(run, "kind int, chunk long, blob binary")
 
 
+def _singles(text: Rolling, asked: np.ndarray, length: int) -> np.ndarray:
+    """Each window of the phrases of a text as a phrase of its own, whose trigger is the window."""
+    many = asked["windows"].astype(np.int64)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = np.repeat(asked["at"].astype(np.int64) - asked["before"], many) + nth
+    out = np.zeros(len(start), PHRASE)
+    out["c"] = text.of(start, start + length)
+    out["h"] = (out["c"] >> np.uint64(32)).astype(np.uint32)
+    out["doc"], out["at"], out["windows"] = np.repeat(asked["doc"], many), start, 1
+    return out
+
+
 def _answered(docs: DataFrame, asks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, blob): what was asked, with the bytes of the phrases."""
+    """(bucket, blob): what was asked, with the bytes of the phrases; of wide triggers, the windows as phrases."""
     reach = length - TRIGGER
     kind = np.dtype([*ASK.descr, ("left", "u1", (reach,)), ("right", "u1", (length,))])
 
@@ -224,6 +244,14 @@ def _answered(docs: DataFrame, asks: DataFrame, buckets: int, length: int) -> Da
             key = left.column("key").to_numpy()
             buf, off = strings(left.column("text"))
             order = np.argsort(key, kind="stable")
+            if asked["wide"].any():
+                wide = asked[asked["wide"] > 0]
+                own = order[np.searchsorted(key[order], wide["doc"])]
+                for doc in np.unique(own):
+                    mine = wide[own == doc]
+                    single = _singles(Rolling(buf[off[doc] : off[doc + 1]]), mine, length)
+                    rows += _dealt(_PHRASES, single["h"] % buckets, single)
+                asked = asked[asked["wide"] == 0]
             row = order[np.searchsorted(key[order], asked["doc"])]
             buf = np.r_[buf, np.zeros(length, np.uint8)]
             for lo in range(0, len(asked), 1 << 15):
@@ -243,52 +271,63 @@ def _answered(docs: DataFrame, asks: DataFrame, buckets: int, length: int) -> Da
     return docs.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(run, "kind int, bucket long, blob binary")
 
 
-def _compared(answers: DataFrame, length: int) -> DataFrame:
+def _compared(answers: DataFrame, width: int, length: int) -> DataFrame:
     """(kind, chunk, blob): spans of the windows that are met earlier in another phrase."""
     reach = length - TRIGGER
     kind = np.dtype([*ASK.descr, ("left", "u1", (reach,)), ("right", "u1", (length,))])
 
     def run(rows: pa.Table) -> pa.Table:
+        out = []
+        single = _values(rows, _PHRASES, PHRASE)
+        if len(single):
+            _, gone = copies(single, length)
+            out += _dealt(_SPANS, gone["doc"] // width, gone)
         got = _values(rows, _ASKS, kind)
         got = got[np.lexsort((got["at"], got["doc"], got["h"]))]
         cut = np.flatnonzero(np.r_[True, got["h"][1:] != got["h"][:-1]]) if len(got) else np.zeros(0, int)
-        out, lo = [], 0
+        lo = 0
         while lo < len(got):  # triggers are taken together up to a size that bounds memory
             k = max(np.searchsorted(cut, lo + (1 << 15)), np.searchsorted(cut, lo, "right"))
             hi = cut[k] if k < len(cut) else len(got)
             part = got[lo:hi]
             part = part[np.lexsort((part["at"], part["doc"]))]
             gone = _window_spans(part, combined(part["left"], part["right"], part["before"], part["windows"], length), length)
-            out += _dealt(_SPANS, gone["doc"] // CHUNK_DOCS, gone)
+            out += _dealt(_SPANS, gone["doc"] // width, gone)
             lo = hi
         return pa.table(_rows(out, "chunk"))
 
     return answers.groupBy("bucket").applyInArrow(run, "kind int, chunk long, blob binary")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key and chunk: keys are whole numbers in the order of documents."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, key and chunk, where keys are whole numbers in the order of documents; and the keys of a chunk."""
     docs = docs.select("doc_id", "text")
     whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int")
-    odd = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
-    if whole and odd.isEmpty():
+    size = max(1, text_bytes(docs))
+    n = docs.count()
+    width = max(1, min(CHUNK_DOCS, CHUNK_BYTES * n // size))
+    plain = whole and docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+    if plain and n:  # ids far apart would leave chunks of one document each
+        ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        plain = int(ends[1]) - int(ends[0]) < 16 * n + 4096
+    if plain:
         keyed = docs.withColumn("key", F.col("doc_id").cast("long"))
     else:
         named = docs.withColumn("_h", F.xxhash64("text"))
         names = named.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).distinct().repartitionByRange("_d", "_g").sortWithinPartitions("_d", "_g")
         names = spool(names.withColumn("key", F.monotonically_increasing_id()), "names")
         keyed = named.join(names, named.doc_id.eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))).select("doc_id", "text", "key")
-    return keyed.withColumn("chunk", F.floor(F.col("key") / CHUNK_DOCS))
+    return keyed.withColumn("chunk", F.expr(f"CASE WHEN key >= 0 THEN key div {width}L ELSE -1L - (-(key + 1L)) div {width}L END")), width
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """Keyed documents, and (kind, chunk, blob) of the byte spans to remove from them, by chunk; a spooled table."""
     spark = docs.sparkSession
     arrow_batches(spark)
     buckets = max(16, -(-text_bytes(docs.select("doc_id", "text")) // BUCKET_BYTES))
-    docs = _keyed(docs)
-    first = spool(_bucketed(_parsed(docs, buckets, length), length), "first")
-    more = _compared(_answered(docs, first.filter(f"kind = {_ASKS}"), buckets, length), length)
+    docs, width = _keyed(docs)
+    first = spool(_bucketed(_parsed(docs, buckets, width, length), width, wide, length), "first")
+    more = _compared(_answered(docs, first.filter(f"kind = {_ASKS}"), buckets, length), width, length)
     spans = spool(first.filter(f"kind = {_SPANS}").union(more), "spans")
     drop(first)
     return docs, spans
@@ -317,7 +356,7 @@ def _applied(docs: DataFrame, spans: DataFrame, schema: str, table) -> DataFrame
     return docs.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
     """(doc_id, kept, spans): the bytes that stay and the removed runs of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -325,14 +364,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def table(left: pa.Table, found: list) -> pa.Table:
         return pa.table({"doc_id": left.column("doc_id"), "kept": pa.array([f[2] for f in found], pa.binary()), "spans": pa.array([[{"start": int(a), "end": int(b)} for a, b in f[1]] for f in found], run)})
 
-    return _applied(*removed(docs, length), f"doc_id {kind}, kept binary, spans array<struct<start:long,end:long>>", table)
+    return _applied(*removed(docs, length, wide), f"doc_id {kind}, kept binary, spans array<struct<start:long,end:long>>", table)
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def table(left: pa.Table, found: list) -> pa.Table:
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array([f[0] for f in found], pa.int64()), "n_removed": pa.array([f[0] - len(f[2]) for f in found], pa.int64()), "n_spans": pa.array([len(f[1]) for f in found], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())})
 
-    return _applied(*removed(docs, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", table)
+    return _applied(*removed(docs, length, wide), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", table)

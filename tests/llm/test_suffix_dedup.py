@@ -20,9 +20,9 @@ def plain(rows, length=100):
     return {d: (len(b), sum(m), len([x for x in m.split(b"\0") if x]), hashlib.sha256(bytes(x for x, y in zip(b, m, strict=True) if not y)).hexdigest()) for d, (b, m) in gone.items()}
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     df = spark.createDataFrame([(d, t, "clash", 0) for d, t in rows], "doc_id long, text string, key string, chunk int")
-    got = {r.doc_id: tuple(r)[1:] for r in S.digests(df).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in S.digests(df, **options).collect()}
     assert got == plain(rows)
 
 
@@ -46,3 +46,20 @@ def test_odd_rows(spark):
     out = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), bytes(r.kept).decode()) for r in out) == sorted([("1", ""), ("1", ""), ("None", body), ("2", ""), ("1", "another text")])
     assert S.digests(H.empty(spark)).count() == 0
+
+
+def test_ids_to_the_ends_of_long(spark):
+    body = "".join(chr(97 + i * i % 26) + str(i) for i in range(80))
+    for n in (1023, 2**60 - 1, 10**18 + 511, 2**63 - 2, -(2**63), -513, -1):
+        check(spark, [(5, body), (n, body), (n + 1, body), (7, body[50:] + "tail of its own" * 20)])
+
+
+def test_a_trigger_of_many_phrases(spark):
+    """One passage stands before, within and after texts that differ right beside it."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefghij klmnop") for _ in range(130))
+    side = lambda: "".join(r.choice("qrstuvwxyz\n") for _ in range(r.randint(0, 90)))
+    rows = [(d, side() + passage[r.choice([0, 0, 10, 40]) :] + side()) for d in range(400)]
+    rows += [(400 + d, rows[d][1][5:] + side()) for d in range(40)]
+    for wide in (3, S.WIDE):
+        check(spark, rows, wide=wide)
