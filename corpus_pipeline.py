@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, then SentencePiece.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but
-the last return the columns of documents. Null texts are rejected by the first stage; an empty table passes through.
+the last return the columns they got, of any names. Defined results: null and empty texts are rejected by the first
+stage, and kept as they are by the others, but for line dedup, which drops a text that it leaves without a word; a
+document is its (doc_id, text), null ids are ids as any other: repeated rows are one document to line dedup, which treats
+them alike, and copies of one another to near-dedup, where one stays; the other stages judge each row alone. Of equal
+texts the one of the least id is the first, null ids before all. Very long texts are worked on whole. An empty table
+passes through.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_codec
 from skein.llm.queries import table, tokenizer
-from skein.llm.spool import spool
+from skein.llm.spool import spool, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; a text that loses every word goes."""
-    out = line_dedup.deduplicate(docs)
-    return out.filter(F.col("_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    report = unused(docs, "lines")[0]
+    out = line_dedup.deduplicate(docs, report=report)
+    return out.filter(F.col(report).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(report)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ a step of its own, so any benchmark works with bounded memory.
 
 Defined results: null texts have no words and no hits; rows are judged alone, so repeated rows or ids repeat their
 results; an empty benchmark hits nothing; null item ids count as the text "null"; items are a set of ids; columns named
-n_words, spans or items are replaced, others stay.
+n_words, spans or items are replaced by `mark`, others stay; `decontaminate` keeps all columns.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.fm_index import FMIndex
-from skein.llm.spool import arrow_batches
+from skein.llm.spool import arrow_batches, unused
 from skein.llm.text import ALNUM, LOWER, spans, strings
 
 WIDTH = 10
@@ -196,8 +196,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_byt
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The same columns, every occurrence of a benchmark window cut out of the text."""
-    return mark(docs, benchmark, remove=True, **options).select(*docs.columns)
+    """The same columns, of any name, and every occurrence of a benchmark window cut out of the text."""
+    clash = [c for c in docs.columns if c.lower() in ("n_words", "spans", "items")]
+    other = dict(zip(clash, unused(docs, *clash), strict=True))
+    out = mark(docs.withColumnsRenamed(other), benchmark, remove=True, **options)
+    return out.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.spool import drop, spool
+from skein.llm.spool import drop, spool, unused
 
 MIN_CHARS = 30
 _WORD = r"[^\x20\x09-\x0D]"
@@ -96,20 +96,21 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return out
 
 
-def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs, all columns and rows, with later copies of repeated line runs deleted from the text, and a struct _lines of
-    the deleted runs and the number of non-blank lines deleted."""
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, report: str = "_lines") -> DataFrame:
+    """docs, all columns and rows, with later copies of repeated line runs deleted from the text, and a struct `report` of
+    the deleted runs and the number of non-blank lines deleted; a column of that name is replaced."""
     # a null id joins as a value of its own, so that ids are compared as they are
     null = F.lit(-(2**63)).cast("long")
     d = F.coalesce(F.col("doc_id").cast("long"), null) if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     key = docs.select(d.alias("d"), F.xxhash64("text").alias("h"), "text")
     runs = repeated_runs(key.filter("text IS NOT NULL").dropDuplicates(["d", "h"]) if _repeats(key) else key, min_chars)
-    named = docs.withColumn("_d", d).withColumn("_h", F.xxhash64("text"))
-    runs = runs.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.struct("runs", "gone").alias("_lines"))
-    joined = named.join(runs.hint("shuffle_hash"), ["_d", "_h"], "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_lines.runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "_lines")
+    id_, h, lost = unused(docs, "d", "h", "lost")
+    named = docs.withColumn(id_, d).withColumn(h, F.xxhash64("text"))
+    runs = runs.select(F.col("d").alias(id_), F.col("h").alias(h), F.struct("runs", "gone").alias(lost))
+    joined = named.join(runs.hint("shuffle_hash"), [id_, h], "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists(f"{lost}.runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != report), F.col(lost).alias(report))
 
 
 def _repeats(key: DataFrame) -> bool:
