@@ -74,7 +74,7 @@ def read_model(data: bytes) -> dict:
 class Codec:
     """Encodes and decodes with one model; caches are bounded."""
 
-    WORDS, PAIRS, LONGEST = 480_000, 600_000, 200
+    WORDS, PAIRS, LONGEST = 240_000, 400_000, 200
 
     def __init__(self, model: dict):
         import ahocorasick
