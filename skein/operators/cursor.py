@@ -7,6 +7,9 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from skein.operators.catalog import Conflict, Files
 
 
@@ -73,9 +76,87 @@ class Head:
         return new
 
 
+@dataclass(frozen=True)
+class ReadCursor:
+    """A cursor of version 1: a group and an offset in it; it moves only when a batch is confirmed."""
+
+    plan: str
+    snapshot: str
+    group: int = 0
+    offset: int = 0
+
+    @classmethod
+    def start(cls, plan: dict, snapshot: str) -> ReadCursor:
+        return cls(plan_identity(plan), snapshot)
+
+    def check(self, plan: dict, snapshot: str) -> None:
+        if (self.plan, self.snapshot) != (plan_identity(plan), snapshot):
+            raise Refused("the cursor is of another plan or snapshot")
+
+    def confirmed(self, plan: dict, snapshot: str, group: int, offset: int) -> ReadCursor:
+        self.check(plan, snapshot)
+        return replace(self, group=group, offset=offset)
+
+    def rest(self, numbered_samples: DataFrame, group_size: int) -> DataFrame:
+        """The samples (with `ordinal`) from the cursor on."""
+        return numbered_samples.filter(F.col("ordinal") >= self.group * group_size + self.offset)
+
+
+@dataclass(frozen=True)
+class Binding:
+    """What a read is bound to: the snapshot that an alias named then, a pinned split revision, and the first cursor."""
+
+    snapshot: str
+    revision: int | None
+    plan: dict
+    token: str
+
+
+def bind(head: Head, splits, plan: dict) -> Binding:
+    """Resolves plan['snapshot'] (an id, latest or stable) and pins plan['split'] = {name, revision?} to a revision."""
+    now = head.read()
+    snapshot = {"latest": now["latest"], "stable": now["stable"]}.get(plan["snapshot"], plan["snapshot"])
+    if snapshot is None:
+        raise Refused("the alias names no snapshot")
+    plan = plan | {"snapshot": snapshot}
+    revision = None
+    if split := plan.get("split"):
+        revision = split.get("revision") or splits.head(snapshot)["revision"]
+        if revision is None or split["name"] not in splits.record(snapshot, revision)["splits"]:
+            raise Refused(f"no split {split['name']}")
+        plan = plan | {"split": split | {"revision": revision}}
+    return Binding(snapshot, revision, plan, Cursor(plan_identity(plan), snapshot).token())
+
+
+class Delivery:
+    """Batches of an ordered read, one in flight: a batch that is not acknowledged comes again, also to a new Delivery that
+    goes on from the token. Samples have `sample_id` and `ordinal`."""
+
+    def __init__(self, numbered_samples: DataFrame, plan: dict, token: str, batch: int):
+        self.samples, self.plan, self.batch = numbered_samples, plan, batch
+        self.cursor, self._held = Cursor.parse(token, plan), None
+
+    @property
+    def token(self) -> str:
+        return self.cursor.token()
+
+    def next(self) -> list:
+        """The rows of the batch in flight, in order; none at the end."""
+        if self._held is None:
+            rows = self.samples.filter((F.col("ordinal") >= self.cursor.ordinal) & (F.col("ordinal") < self.cursor.ordinal + self.batch))
+            self._held = rows.orderBy("ordinal").collect()  # a batch
+        return self._held
+
+    def acknowledge(self) -> None:
+        rows = self.next()
+        if rows:
+            self.cursor = self.cursor.moved(len(rows), len(rows), bytes(rows[-1]["sample_id"]).hex())
+        self._held = None
+
+
 def strict_json(text: str | bytes, limit: int = 16 << 20) -> dict:
     """A JSON object of bounded size without repeated keys."""
-    if len(text) > limit:
+    if len(text.encode() if isinstance(text, str) else text) > limit:
         raise Refused("the document is too large")
 
     def once(pairs):

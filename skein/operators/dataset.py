@@ -251,3 +251,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as samples: decimal ids and the fields text, lang and source."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(F.col("doc_id").cast("string").cast("binary").alias("sample_id"), *(F.col(c).cast("binary").alias(c) for c in ("text", "lang", "source")))
+
+
+# --- delivery ---------------------------------------------------------------------------------------------------
+
+
+def frames(numbered_samples: DataFrame, fields: list[str], batch: int, chunk: int) -> DataFrame:
+    """(batch, ordinal, sample_id, field, chunk, offset, length, bytes, md5): the fields' values (binary) in pieces of at most
+    `chunk` bytes, each with its digest; an empty value is one empty piece, a null one none."""
+    rows = batches(numbered_samples, batch)
+    values = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))
+    rows = rows.select("batch", "ordinal", "sample_id", F.inline(values)).filter("value IS NOT NULL")
+    pieces = F.greatest(F.lit(0), F.floor((F.octet_length("value") - 1) / chunk)).cast("int")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), pieces)).alias("chunk"))
+    piece = F.substring("value", F.col("chunk") * chunk + 1, F.lit(chunk))
+    rows = rows.withColumn("bytes", piece)
+    return rows.select("batch", "ordinal", "sample_id", "field", "chunk", (F.col("chunk") * chunk).cast("long").alias("offset"), F.octet_length("bytes").cast("long").alias("length"), "bytes", F.md5("bytes").alias("md5"))
+
+
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """One report of partial ones (scanned, assigned, unassigned, overlapping, unassigned_ids, overlapping_ids): sums, and the
+    first EXAMPLES of the ids."""
+    sums = [F.sum(c).alias(c) for c in ("scanned", "assigned", "unassigned", "overlapping")]
+    few = [F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, EXAMPLES).alias(c) for c in ("unassigned_ids", "overlapping_ids")]
+    return reports.agg(*sums, *few)
+
+
+def digest(rows: DataFrame, *columns: str) -> Column:
+    """A digest of a set of rows, whatever their order and partitions: the sum of 60 bits of each row's md5. An aggregate."""
+    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns)).cast("binary"))
+    return F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)"))

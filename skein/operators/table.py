@@ -240,3 +240,23 @@ def reachable_files(lists: DataFrame, manifests: DataFrame, entries: DataFrame)
 
 def garbage(stored: DataFrame, reachable: DataFrame) -> DataFrame:
     return stored.join(reachable, "path", "left_anti")
+
+
+def unified_fields(specs: DataFrame) -> DataFrame:
+    """(field_id, source, transform, problem) of all specs' partition fields specs(spec_id, field_id, source, transform): a void
+    transform yields to a real one; two sources or two real transforms of one field are a problem."""
+    real = F.when(F.col("transform") != "void", F.col("transform"))
+    out = specs.groupBy("field_id").agg(F.min("source").alias("source"), F.max("source").alias("_s"), F.min(real).alias("_a"), F.max(real).alias("_b"))
+    problem = F.when(F.col("source") != F.col("_s"), "source").when(F.col("_a") != F.col("_b"), "transform")
+    return out.select("field_id", "source", F.coalesce("_a", F.lit("void")).alias("transform"), problem.alias("problem"))
+
+
+def outside(values: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """Keys of summaries(key, contains_null, contains_nan, lower, upper) that do not say what the values(key, value) have."""
+    v = F.col("value")
+    nan = F.isnan(v) if values.schema["value"].dataType.simpleString() in ("double", "float") else F.lit(False)
+    own = values.groupBy(key).agg(F.bool_or(v.isNull()).alias("_null"), F.coalesce(F.bool_or(nan), F.lit(False)).alias("_nan"), F.min(F.when(~nan, v)).alias("_lo"), F.max(F.when(~nan, v)).alias("_up"))
+    both = summaries.join(own, key)
+    bad = (F.col("contains_null") != F.col("_null")) | (F.col("contains_nan").isNotNull() & (F.col("contains_nan") != F.col("_nan")))
+    bad |= F.coalesce((F.col("_lo") < F.col("lower")) | (F.col("_up") > F.col("upper")), F.lit(False))
+    return both.filter(bad).select(key)

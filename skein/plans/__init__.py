@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("dataset", "tables", "kv", "objects", "metrics", "relational", "commits", "versions")
+MODULES: tuple[str, ...] = ("dataset", "tables", "kv", "objects", "metrics", "relational", "commits", "versions", "encodings")
 
 
 def load() -> None:

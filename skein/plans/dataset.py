@@ -289,3 +289,106 @@ def _(spark, sf):
     samples = D.select(_docs(spark, sf), FieldMatch("lang", b"en") & ~Keyword(b"casino"), FIELDS).filter(D.weighted_split(F.col("sample_id"), WEIGHTS, 7) == "train")
     rows = D.shard(D.numbered(samples.select("sample_id", "lang", "source"), "sample_id"), 0, 1, 0, 2)
     return rows.select(_id(), "ordinal", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+
+
+# --- delivery, cursors, revisions -------------------------------------------------------------------------------
+
+
+def _numbered(spark, sf):
+    return D.numbered(_docs(spark, sf), "sample_id")
+
+
+@query(
+    "ds_frames",
+    "WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS id, encode(text) AS t, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT id, n, t, unnest(range(greatest(1, (octet_length(t) + 999) // 1000))) AS chunk FROM m) SELECT n // 64 AS batch, id, chunk::INT AS chunk, chunk * 1000 AS \"offset\", octet_length(t[chunk * 1000 + 1:chunk * 1000 + 1000])::BIGINT AS length, md5(t[chunk * 1000 + 1:chunk * 1000 + 1000]) AS md5 FROM c",
+)
+def _(spark, sf):
+    """All texts in frames of 1000 bytes with digests, 64 samples to a batch."""
+    samples = D.numbered(_docs(spark, sf).filter("text IS NOT NULL"), "sample_id")
+    return D.frames(samples, ["text"], 64, 1000).select("batch", _id(), "chunk", "offset", "length", "md5")
+
+
+@query("ds_cursor_resume", "SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS ordinal FROM documents QUALIFY ordinal >= 2 * 32 + 7")
+def _(spark, sf):
+    """What a confirmed cursor in the third group leaves to read."""
+    from skein.operators.cursor import ReadCursor
+
+    plan = {"order": "sample_id", "group": 32}
+    cursor = ReadCursor.start(plan, "s").confirmed(plan, "s", 2, 7)
+    return cursor.rest(_numbered(spark, sf), 32).select(_id(), "ordinal")
+
+
+def _reports(spark, sf):
+    docs = _docs(spark, sf)
+    n = F.col("sample_id").cast("string").cast("long")
+    members = docs.filter(n % 5 != 0).select("sample_id", F.lit("a").alias("split")).union(docs.filter(n % 7 == 0).select("sample_id", F.lit("b")))
+    return docs.withColumn("part", n % 3), members
+
+
+@query(
+    "ds_split_report_merge",
+    "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, (CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS c FROM documents) SELECT count(*) AS scanned, count(*) FILTER (c > 0) AS assigned, count(*) FILTER (c = 0) AS unassigned, count(*) FILTER (c > 1) AS overlapping, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM c WHERE c = 0 ORDER BY id LIMIT 20)) AS none, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM c WHERE c > 1 ORDER BY id LIMIT 20)) AS several FROM c",
+)
+def _(spark, sf):
+    """Reports of three parts of the samples, merged."""
+    docs, members = _reports(spark, sf)
+    parts = [D.split_report(mine, members.join(mine.select("sample_id"), "sample_id", "left_semi")) for mine in (docs.filter(F.col("part") == k) for k in range(3))]
+    merged = D.merged_reports(parts[0].union(parts[1]).union(parts[2]))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return merged.select("scanned", "assigned", "unassigned", "overlapping", text(F.col("unassigned_ids")).alias("none"), text(F.col("overlapping_ids")).alias("several"))
+
+
+@query("ds_manifest_digest", "SELECT lang, count(*) AS samples, sum(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(source, chr(0))), 1, 15))::UBIGINT)::VARCHAR AS digest FROM documents GROUP BY lang")
+def _(spark, sf):
+    """A digest of each language's samples that no order or partitioning changes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.groupBy("lang").agg(F.count("*").alias("samples"), D.digest(docs, "doc_id", "source").cast("string").alias("digest"))
+
+
+def _revisions(spark, sf):
+    """Two snapshots' split revisions: the first has rules, the second inherits one split."""
+    from skein.operators.catalog import Files
+    from skein.operators.splits import Inherited, Splits
+    from skein.sources.session import scratch
+
+    docs, splits = _docs(spark, sf), Splits(Files(spark, scratch(spark, "splits")))
+    n = F.col("sample_id").cast("string").cast("long")
+    first = splits.prepare("a", docs, {"english": F.col("lang") == F.lit(b"en"), "third": n % 3 == 0}, overlap_allowed=True)
+    splits.select("a", first["revision"], 0)
+    pinned = splits.head("a")["revision"]
+    splits.prepare("b", docs.filter(n % 2 == 0), {"kept": Inherited("a", pinned, "third"), "rest": n % 3 != 0}, parent="a", unassigned_allowed=False)
+    return splits
+
+
+@query("ds_split_revision", "SELECT 'a' AS snapshot, 'english' AS split, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' UNION ALL SELECT 'a', 'third', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'b', 'kept', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT 'b', 'rest', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
+def _(spark, sf):
+    """The frozen members of every split of two revisions, one of them inherited."""
+    splits, out = _revisions(spark, sf), None
+    for snapshot, name in (("a", "english"), ("a", "third"), ("b", "kept"), ("b", "rest")):
+        part = splits.members(snapshot, splits.revisions(snapshot)[-1], name).select(F.lit(snapshot).alias("snapshot"), F.lit(name).alias("split"), _id())
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("ds_split_page", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 3 = 0 AND CAST(doc_id AS VARCHAR) > '5' ORDER BY 1 LIMIT 40")
+def _(spark, sf):
+    """A page of a split's members, after an id."""
+    return _revisions(spark, sf).members("a", 1, "third", after=b"5", limit=40).select(_id())
+
+
+@query("ds_bound_read", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) > 50")
+def _(spark, sf):
+    """A read by alias and split whose first batch was acknowledged and whose second was not: what is left, the second too."""
+    from skein.operators.cursor import Delivery, Head, bind
+
+    splits = _revisions(spark, sf)
+    head = Head(splits.files)
+    head.select(0, latest="a")
+    bound = bind(head, splits, {"snapshot": "latest", "split": {"name": "third"}, "batch": 50})
+    rows = D.numbered(_docs(spark, sf).join(splits.members(bound.snapshot, bound.revision, "third"), "sample_id", "left_semi").select("sample_id"), "sample_id")
+    read = Delivery(rows, bound.plan, bound.token, 50)
+    read.next()
+    read.acknowledge()
+    read.next()
+    again = Delivery(rows, bound.plan, read.token, 50)
+    return rows.filter(F.col("ordinal") >= again.cursor.ordinal).select(_id())
