@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import hashing, predicates
+from skein.sources.session import sorted_ranges
 
 #: Longest parent chain, largest shuffle group, most splits of a revision, most listed examples.
 MAX_CHAIN, MAX_GROUP, MAX_SPLITS, EXAMPLES = 64, 100_000, 64, 20
@@ -100,8 +101,7 @@ def preview(value: Column, size: int) -> Column:
 def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
     """df with 0-based positions in a total order, without gathering the table in one task: a range sort, the sizes of its
     partitions, and a running number in each."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * F.lit(2**33)))
-    placed = placed.persist()
+    placed = sorted_ranges(df, *order)
     sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     total, starts = 0, []
     for p in sorted(sizes):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.predicates import has_prefix
+from skein.sources.session import sorted_ranges
 
 
 def scan(items: DataFrame, *, prefix: bytes = b"", start: bytes | None = None, start_after: bytes | None = None, end: bytes | None = None, limit: int | None = None, reverse: bool = False, keys_only: bool = False) -> DataFrame:
@@ -32,27 +33,40 @@ def byte_page(items: DataFrame, size: Column, budget: int, max_items: int) -> Da
     return head.withColumn("used", used).filter(F.col("used") <= budget)
 
 
+#: Probes that one pass of aggregates answers.
+FEW_PROBES = 16
+
+
 def seek(items: DataFrame, probes: DataFrame) -> DataFrame:
     """probe, ceiling, higher, floor and lower keys: the nearest at or above, above, at or below, below each probe.
-    Keys and probes are merged by one sort: `numbered` positions, then a running maximum or minimum per range of the
-    sort, carried over range borders by the few border keys; neither side is paired with the other."""
+
+    A few probes are aggregates of one pass over the keys, without a sort. More are merged with the keys by one range sort:
+    a running maximum and minimum in each range, carried over by the ranges' ends; neither side is paired with the other."""
+    few = [bytes(r[0]) for r in probes.select("probe").filter("probe IS NOT NULL").distinct().limit(FEW_PROBES + 1).collect()]
+    if few and len(few) <= FEW_PROBES and not probes.filter("probe IS NULL").limit(1).count():
+        key = F.col("key")
+        found = [F.struct(F.lit(p).alias("probe"), F.min(F.when(key >= F.lit(p), key)).alias("ceiling"), F.min(F.when(key > F.lit(p), key)).alias("higher"), F.max(F.when(key <= F.lit(p), key)).alias("floor"), F.max(F.when(key < F.lit(p), key)).alias("lower")) for p in few]
+        return items.agg(F.array(*found).alias("f")).select(F.inline("f"))
     every = items.select("key", F.lit(False).alias("asked")).union(probes.select(F.col("probe").alias("key"), F.lit(True).alias("asked"))).distinct()
-    placed = every.repartitionByRange("key").withColumn("part", F.spark_partition_id()).persist()
+    placed = sorted_ranges(every, "key")
     own = F.when(~F.col("asked"), F.col("key"))
-    edges = placed.groupBy("part").agg(F.min(own).alias("first"), F.max(own).alias("last")).persist()
-    a, b = edges.alias("a"), edges.alias("b")
-    below = F.broadcast(a.join(b, F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.max("b.last").alias("down")))
-    above = F.broadcast(a.join(b, F.col("b.part") > F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.min("b.first").alias("up")))
-    w = Window.partitionBy("part").orderBy("key")
+    edges = placed.groupBy("_p").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("_p")  # a row for each range
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    edges = F.broadcast(edges.select("_p", F.max("last").over(before).alias("down"), F.min("first").over(after).alias("up")))
+    w = Window.partitionBy("_p").orderBy("key")
     back, ahead = Window.unboundedPreceding, Window.unboundedFollowing
-    rows = placed.select("part", "key", "asked", own.alias("own"))
-    steps = rows.groupBy("part", "key").agg(F.bool_or("asked").alias("asked"), F.min("own").alias("own"))
+    steps = placed.select("_p", "key", "asked", own.alias("own")).groupBy("_p", "key").agg(F.bool_or("asked").alias("asked"), F.min("own").alias("own"))
     near = {"ceiling": F.min("own").over(w.rowsBetween(0, ahead)), "higher": F.min("own").over(w.rowsBetween(1, ahead)), "floor": F.max("own").over(w.rowsBetween(back, 0)), "lower": F.max("own").over(w.rowsBetween(back, -1))}
-    found = steps.select("part", "key", "asked", *(c.alias(n) for n, c in near.items())).filter("asked")
-    found = found.join(below, "part").join(above, "part")
+    found = steps.select("_p", "key", "asked", *(c.alias(n) for n, c in near.items())).filter("asked").join(edges, "_p")
     return found.select(F.col("key").alias("probe"), *(F.coalesce(n, "up" if n in ("ceiling", "higher") else "down").alias(n) for n in near))
 
 
+def get(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, value, slot) of keys(key): value and slot are null for a key that is not there."""
+    return keys.select("key").distinct().join(items.select("key", "value", "slot"), "key", "left")
+
+
 def newest(sources: DataFrame) -> DataFrame:
     """One row per key of (key, value, slot, source): the highest slot wins, of equals the lowest source."""
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("slot"), "source"))

@@ -43,10 +43,27 @@ def position_deleted(rows: DataFrame, deletes: DataFrame, with_vector: DataFrame
     return rows.join(d, (F.col("file_path") == F.col("_f")) & (F.col("pos") == F.col("_p")) & F.col("partition").eqNullSafe(F.col("_q")) & (F.col("data_sequence") <= F.col("delete_sequence")), "left_anti")
 
 
+#: Positions of a block: ranges and positions meet by file and block.
+BLOCK = 1 << 16
+
+
+def _blocked(vectors: DataFrame) -> DataFrame:
+    """(_f, _b, _from, _to): the ranges cut at blocks, a row for each block that they reach."""
+    first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}")
+    rows = vectors.filter("end > start").select(F.col("file_path").alias("_f"), "start", "end", F.explode(F.sequence(first, last)).alias("_b"))
+    return rows.select("_f", "_b", F.greatest("start", F.col("_b") * BLOCK).alias("_from"), F.least("end", (F.col("_b") + 1) * BLOCK).alias("_to"))
+
+
+def _within(rows: DataFrame, vectors: DataFrame, how: str) -> DataFrame:
+    """rows(file_path, pos, ...) with or without the positions in their file's ranges: a join by file and block on sorted
+    runs that do not overlap, so that a position meets the ranges of its block only."""
+    match = (F.col("file_path") == F.col("_f")) & (F.expr(f"pos div {BLOCK}") == F.col("_b")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
+    return rows.join(_blocked(vectors), match, how)
+
+
 def vector_deleted(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """rows without the positions of their file's deletion vector."""
-    v = vectors.select(F.col("file_path").alias("_f"), F.explode(F.sequence("start", F.col("end") - 1)).alias("_p"))
-    return rows.join(v, (F.col("file_path") == F.col("_f")) & (F.col("pos") == F.col("_p")), "left_anti")
+    return _within(rows, vectors, "left_anti")
 
 
 def equality_deleted(rows: DataFrame, deletes: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,8 +77,8 @@ def equality_deleted(rows: DataFrame, deletes: DataFrame, columns: list[str]) ->
 
 def contains(probes: DataFrame, vectors: DataFrame) -> DataFrame:
     """probes(file_path, pos) with whether the file's vector has the position."""
-    hit = probes.join(vectors.select(F.col("file_path").alias("_f"), "start", "end"), (F.col("file_path") == F.col("_f")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left")
-    return hit.groupBy("file_path", "pos").agg(F.bool_or(F.col("_f").isNotNull()).alias("deleted"))
+    rows = probes.select("file_path", "pos").distinct()
+    return _within(rows, vectors, "left_semi").withColumn("deleted", F.lit(True)).union(_within(rows, vectors, "left_anti").withColumn("deleted", F.lit(False)))
 
 
 def coalesced(positions: DataFrame) -> DataFrame:
@@ -73,10 +90,9 @@ def coalesced(positions: DataFrame) -> DataFrame:
 
 def uncovered(previous: DataFrame, replacement: DataFrame, surviving: DataFrame | None = None) -> DataFrame:
     """Positions of previous vectors that their replacements do not have: must be none for surviving files."""
-    old, new = (v.select("file_path", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")) for v in (previous, replacement))
-    if surviving is not None:
-        old = old.join(surviving.select("file_path").distinct(), "file_path", "left_semi")
-    return old.join(new, ["file_path", "pos"], "left_anti")
+    old = previous if surviving is None else previous.join(surviving.select("file_path").distinct(), "file_path", "left_semi")
+    rows = old.select("file_path", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    return _within(rows, replacement, "left_anti")
 
 
 def partition_key(columns: dict[str, str]) -> Column:

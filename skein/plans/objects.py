@@ -40,13 +40,22 @@ def _(spark, sf):
     return O.listing(_objects(spark, sf), prefix=b"www.", max_keys=25).select("entry")
 
 
-RANGES = [(None, "full", 0, 10), ("bytes=0-3", "partial", 0, 4), ("bytes=4-", "partial", 4, 10), ("bytes=-3", "partial", 7, 10), ("bytes=7-99", "partial", 7, 10), ("items=0-1", "invalid", None, None), ("bytes=0-1,3-4", "multiple", None, None), ("bytes=10-", "unsatisfiable", None, None), ("bytes=-0", "unsatisfiable", None, None), ("bytes=5-2", "invalid", None, None)]
+#: Range headers by page number: whole, from, last, beyond the end, of another unit, several, none, at the end, empty.
+_HEADERS = ["bytes=0-3", "bytes=4-", "bytes=-3", "bytes=7-99999999", "items=0-1", "bytes=0-1,3-4", None, "at the end", "bytes=-0"]
+_RANGE = """WITH p AS (SELECT page_id, page_id % 9 AS k, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+r AS (SELECT *, CASE WHEN k = 4 THEN 'invalid' WHEN k = 5 THEN 'multiple' WHEN k = 6 THEN 'full' WHEN k IN (7, 8) OR n = 0 OR (k = 1 AND n <= 4) OR (k = 3 AND n <= 7) THEN 'unsatisfiable' ELSE 'partial' END AS status FROM p)
+SELECT page_id, status, CASE WHEN status = 'full' THEN 0 WHEN status = 'partial' THEN CASE k WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN greatest(n - 3, 0) ELSE 7 END END::BIGINT AS "start",
+CASE WHEN status = 'full' THEN n WHEN status = 'partial' THEN CASE k WHEN 0 THEN least(4, n) ELSE n END END::BIGINT AS "end" FROM r"""
 
 
-@query("ob_range", "SELECT * FROM (VALUES " + ", ".join(f"('{h or ''}', '{s}', {-1 if a is None else a}, {-1 if b is None else b})" for h, s, a, b in RANGES) + ") v(header, status, \"start\", \"end\")")
+@query("ob_range", _RANGE)
 def _(spark, sf):
-    rows = spark.createDataFrame([(h,) for h, *_ in RANGES], "h string").select(F.coalesce("h", F.lit("")).alias("header"), O.byte_range(F.col("h"), F.lit(10)).alias("r"))
-    return rows.select("header", "r.status", F.coalesce(F.col("r.start"), F.lit(-1)).cast("int").alias("start"), F.coalesce(F.col("r.end"), F.lit(-1)).cast("int").alias("end"))
+    n = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    header = F.lit(None).cast("string")
+    for k, h in enumerate(_HEADERS):
+        header = F.when(F.col("page_id") % 9 == k, F.lit(h) if h != "at the end" else F.concat(F.lit("bytes="), n.cast("string"), F.lit("-"))).otherwise(header)
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", O.byte_range(header, n).alias("r"))
+    return rows.select("page_id", "r.status", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
 @query("ob_range_read", "SELECT page_id, hex(encode(html)[1:8]) AS head, hex(encode(html)[-8:]) AS tail FROM pages WHERE octet_length(encode(html)) >= 8")
@@ -62,13 +71,20 @@ def _(spark, sf):
 
 
 D1, D2 = "Mon, 01 Jan 2024 00:00:00 GMT", "Wed, 03 Jan 2024 00:00:00 GMT"  # the object is of the 2nd
-CONDITIONS = [("none", None, None, None, None, "ok"), ("match", '"e"', None, None, None, "ok"), ("match list", '"x", "e"', None, None, None, "ok"), ("match any", "*", None, None, None, "ok"), ("no match", '"x"', None, None, None, "failed"), ("weak match", 'W/"e"', None, None, None, "failed"), ("match outranks", '"e"', D1, None, None, "ok"), ("unmodified", None, D2, None, None, "ok"), ("modified", None, D1, None, None, "failed"), ("none match", None, None, '"e"', None, "not_modified"), ("weak none match", None, None, 'W/"e"', None, "not_modified"), ("none match outranks", None, None, '"x"', D2, "ok"), ("not since", None, None, None, D2, "not_modified"), ("since", None, None, None, D1, "ok"), ("bad date", None, "yesterday", None, None, "ok")]
 
 
-@query("ob_conditions", "SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[5]}')" for r in CONDITIONS) + ") v(name, result)")
+@query("ob_conditions", "SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(["ok", "ok", "failed", "failed", "ok", "failed", "not_modified", "not_modified", "ok", "not_modified"])) + " END AS result FROM pages")
 def _(spark, sf):
-    rows = spark.createDataFrame([r[:5] for r in CONDITIONS], "name string, im string, iu string, inm string, ims string")
-    return rows.select("name", O.condition(F.lit("e"), F.lit(1704153600), F.col("im"), F.col("iu"), F.col("inm"), F.col("ims")).alias("result"))
+    """Conditional reads of pages of one day, by their own tags and by dates before and after."""
+    n, tag = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    own, weak, other = F.concat(F.lit('"'), tag, F.lit('"')), F.concat(F.lit('W/"'), tag, F.lit('"')), F.lit('"x"')
+    none = F.lit(None).cast("string")
+    # (if-match, if-unmodified, if-none-match, if-modified) by the last digit
+    rules = [(None,) * 4, (F.concat(other, F.lit(", "), own), F.lit(D1), None, None), (other, None, None, None), (weak, None, None, None), (F.lit("*"), None, other, None), (None, F.lit(D1), None, None), (None, None, weak, None), (None, None, None, F.lit(D2)), (None, None, other, F.lit(D2)), (None, F.lit(D2), F.lit("*"), None)]
+    heads = [none] * 4
+    for k, rule in enumerate(rules):
+        heads = [F.when(n % 10 == k, none if x is None else x).otherwise(h) for x, h in zip(rule, heads, strict=True)]
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", O.condition(tag, F.lit(1704153600), *heads).alias("result"))
 
 
 @query("ob_etag", "SELECT page_id, md5(coalesce(html, '')) AS etag FROM pages")
@@ -102,6 +118,7 @@ def _(spark, sf):
     return O.parts_page(parts, "u7", 10, 30).select("number", "size")
 
 
-@query("ob_percent_decode", "SELECT * FROM (VALUES ('a%2Fb+c', 'a/b+c'), ('%C3%A9', 'é')) v(raw, text)")
+@query("ob_percent_decode", "SELECT doc_id, substr(text, 1, 60) || '+' AS text FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
-    return spark.createDataFrame([("a%2Fb+c",), ("%C3%A9",)], "raw string").select("raw", O.percent_decoded(F.col("raw")).alias("text"))
+    raw = F.concat(F.replace(F.url_encode(F.substring("text", 1, 60)), F.lit("+"), F.lit("%20")), F.lit("+"))
+    return spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").select("doc_id", O.percent_decoded(raw).alias("text"))
