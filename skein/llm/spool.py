@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one task should unfold at most.
-TASK_BYTES = 16 << 20
-
+from skein.sources.session import remove, scratch
 
-def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, which a test has."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not at:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = got.get() if got.isDefined() else f"file://{tempfile.gettempdir()}/skein-{os.getuid()}"
-    return at.rstrip("/")
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    """A new folder that the whole cluster shares."""
+    return scratch(spark, name)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +30,6 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._spooled)
 
 
-def remove(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """Column names made of `names` that docs has not, in any case of letters."""
     there = {c.lower() for c in docs.columns}
@@ -61,7 +45,10 @@ def text_bytes(docs: DataFrame) -> int:
     return known if known < 1 << 55 else docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts may be long, so Python workers get few rows at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Texts may be long, so Python workers get few rows at a time, and a batch ends at `size` bytes. Both are settings of the
+    session, since plans read them when they run; they are lowered, never raised."""
+    if int(spark.conf.get(_ROWS)) > rows:
+        spark.conf.set(_ROWS, rows)
+    if int(str(spark.conf.get(_BYTES, str(size))).rstrip("b")) > size:
+        spark.conf.set(_BYTES, f"{size}b")
