@@ -4,10 +4,11 @@ Writing deduplicates payloads: of equal payloads of at least MIN_PAYLOAD bytes t
 response record, the others are revisit records that refer to it. Archives are written by Spark's own text writer, a
 record per row, with gzip over the whole file.
 
-The normaliser takes archives as they come: it inflates each file's stream once, record by record, writes every record as a
-gzip member of its own to a new file, and beside it a sidecar index of (record id, type, target, offset, length). Files are
-written under a name of the attempt and renamed when complete, so an executor that is lost leaves nothing half
-written. Reading back goes through the index: each member is inflated alone.
+The normaliser takes archives as they come, a task for some of them: it reads each file as a stream, inflates it once, and
+writes every record as it comes as a gzip member of its own, and beside it a line of the sidecar index: record id, type,
+target, offset, length. So memory holds one record, whatever the size of an archive. Files have the name of the attempt that
+wrote them, and the returned table names those of the attempts that succeeded: what a lost executor leaves is not read.
+Reading back goes through the index: each member is a range of the file and is inflated alone; no archive is shuffled.
 
 Defined results: a null html is an empty payload; a null URL is an empty target, and control characters and spaces in
 URLs are percent-encoded; rows with the same page_id as the response of their payload are responses too; a null
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import os
 import uuid
@@ -80,32 +82,42 @@ class Broken(ValueError):
     """The bytes are no sequence of WARC records."""
 
 
-def inflated(data: bytes) -> Iterator[bytes]:
-    """Pieces of a gzip file's content, member after member, each inflated once."""
-    engine = zlib.decompressobj(31)
-    at = 0
-    while at < len(data) or engine.unconsumed_tail:
-        if engine.unconsumed_tail:
-            piece = engine.unconsumed_tail
-        else:
-            piece = data[at : at + PIECE]
-            at += len(piece)
-        out = engine.decompress(piece, PIECE)
-        if out:
-            yield out
-        while engine.eof:
-            rest = engine.unused_data or data[at : at + PIECE]
-            at += 0 if engine.unused_data else len(rest)
-            if not rest.lstrip(b"\0"):
+def pieces(data: bytes) -> Iterator[bytes]:
+    for at in range(0, len(data), PIECE):
+        yield data[at : at + PIECE]
+
+
+def stream(f) -> Iterator[bytes]:
+    """The pieces of an open file."""
+    while piece := f.read(PIECE):
+        yield piece
+
+
+def inflated(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces of a gzip file's content, member after member, each inflated once; zeros after the last one are padding."""
+    engine, rest, begun = zlib.decompressobj(31), b"", False
+    while True:
+        if not rest:
+            rest = next(source, b"")
+            if not rest:
                 break
-            engine = zlib.decompressobj(31)
-            out = engine.decompress(rest, PIECE)
-            if out:
-                yield out
+        if not begun:
+            rest = rest.lstrip(b"\0") if engine is None else rest
+            if not rest:
+                continue
+            engine, begun = zlib.decompressobj(31), True
+        out = engine.decompress(rest, PIECE)
+        rest = engine.unconsumed_tail
         if engine.eof:
-            break
-    if not engine.eof and data:
-        raise Broken("the gzip stream is cut off")
+            rest, begun, engine = engine.unused_data, False, None
+        if out:
+            yield out
+    if begun:
+        out = engine.flush()
+        if out:
+            yield out
+        if not engine.eof:
+            raise Broken("the gzip stream is cut off")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,17 +153,9 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             del held[:4]
 
 
-def _save(fs, path: str, data: bytes) -> None:
-    """Writes under another name first: whoever reads `path` sees all of it."""
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as f:
-        f.write(data)
-    fs.move(part, path)
-
-
 def normalise(spark, source: str, target: str) -> DataFrame:
-    """Rewrites the archives under `source` into `target`; (archive, records) of each. One task for each archive."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    """Rewrites the archives under `source` into `target`: (archive, index, records) of each, which must be written once."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as filesystems
@@ -159,51 +163,62 @@ def normalise(spark, source: str, target: str) -> DataFrame:
         fs, root = filesystems.FileSystem.from_uri(target)
         fs.create_dir(root, recursive=True)
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                name = os.path.basename(path.as_py()).removesuffix(".gz").removesuffix(".txt")
-                out, index = bytearray(), []
-                for headers, record in records(inflated(content.as_buffer().to_pybytes())):
-                    member = gzip.compress(record, 6, mtime=0)
-                    index.append({"id": headers.get("warc-record-id"), "type": headers.get("warc-type"), "target": headers.get("warc-target-uri"), "offset": len(out), "length": len(member)})
-                    out += member
-                _save(fs, f"{root}/{name}.warc.gz", bytes(out))
-                _save(fs, f"{root}/{name}.index", "".join(json.dumps(x) + "\n" for x in index).encode())
-                yield pa.RecordBatch.from_pydict({"archive": pa.array([f"{name}.warc.gz"]), "records": pa.array([len(index)], pa.int64())})
-
-    return files.mapInArrow(run, "archive string, records long")
-
-
-def read(spark, at: str) -> DataFrame:
-    """Every record of normalised archives, by the offsets of their indexes: archive, offset, page_id (text), record_type,
-    payload_bytes, payload_digest and refers_to (text)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,index}").load(at)
-    name = F.regexp_extract("path", r"([^/]*)\.(?:warc\.gz|index)$", 1)
-    index = F.col("path").endswith(".index")
-    both = files.groupBy(name.alias("archive")).agg(F.first(F.when(index, F.col("content")), True).alias("index"), F.first(F.when(~index, F.col("content")), True).alias("members"))
+            for path in batch.column("path").to_pylist():
+                name = f"{os.path.basename(path).removesuffix('.gz').removesuffix('.txt')}-{uuid.uuid4().hex}"
+                here, at = filesystems.FileSystem.from_uri(path)
+                offset = count = 0
+                with here.open_input_stream(at, compression=None) as f, fs.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as out, fs.open_output_stream(f"{root}/{name}.index", compression=None) as index:
+                    for headers, record in records(inflated(stream(f))):
+                        member = gzip.compress(record, 6, mtime=0)
+                        out.write(member)
+                        line = {"id": headers.get("warc-record-id"), "type": headers.get("warc-type"), "target": headers.get("warc-target-uri"), "offset": offset, "length": len(member)}
+                        index.write(json.dumps(line).encode() + b"\n")
+                        offset, count = offset + len(member), count + 1
+                yield pa.RecordBatch.from_pydict({"archive": pa.array([f"{name}.warc.gz"]), "index": pa.array([f"{name}.index"]), "records": pa.array([count], pa.int64())})
+
+    return files.mapInArrow(run, "archive string, index string, records long")
+
+
+def read(archives: DataFrame, at: str) -> DataFrame:
+    """Every record of normalised archives(archive, index) under a folder, by the offsets of their indexes: archive, offset,
+    page_id (text), record_type, payload_bytes, payload_digest and refers_to (text)."""
+
+    def facts(name: str, x: dict, member: bytes) -> tuple:
+        (headers, record), *more = records(iter([zlib.decompress(member, 31)]))
+        if more or headers.get("warc-record-id") != x["id"]:
+            raise Broken("the index does not fit the archive")
+        if headers["warc-type"] == "revisit":
+            size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
+        else:
+            body = record[record.index(b"\r\n\r\n") + 4 : -4]
+            payload = body[body.index(b"\r\n\r\n") + 4 :]
+            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+            if headers["warc-payload-digest"] != f"sha1:{digest}":
+                raise Broken("the payload does not fit its digest")
+        return name, x["offset"], headers.get("warc-page") or None, headers["warc-type"], size, digest, headers.get("warc-refers-to-page") or None
+
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = ("archive", "offset", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as filesystems
+
+        fs, root = filesystems.FileSystem.from_uri(at)
         for batch in batches:
-            for archive, lines, members in zip(*(batch.column(c) for c in ("archive", "index", "members")), strict=True):
-                rows, data = [], memoryview(members.as_buffer())
-                for x in map(json.loads, lines.as_py().decode().splitlines()):
-                    (headers, record), *more = records(iter([zlib.decompress(data[x["offset"] : x["offset"] + x["length"]], 31)]))
-                    if more or headers.get("warc-record-id") != x["id"]:
-                        raise Broken("the index does not fit the archive")
-                    revisit = headers["warc-type"] == "revisit"
-                    if revisit:
-                        size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
-                    else:
-                        body = record[record.index(b"\r\n\r\n") + 4 : -4]
-                        payload = body[body.index(b"\r\n\r\n") + 4 :]
-                        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                        if headers["warc-payload-digest"] != f"sha1:{digest}":
-                            raise Broken("the payload does not fit its digest")
-                    rows.append((archive.as_py(), x["offset"], headers.get("warc-page") or None, headers["warc-type"], size, digest, headers.get("warc-refers-to-page") or None))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                names = ("archive", "offset", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to")
+            for archive, index in zip(batch.column("archive").to_pylist(), batch.column("index").to_pylist(), strict=True):
+                rows: list[tuple] = []
+                with fs.open_input_file(f"{root}/{archive}") as members, fs.open_input_stream(f"{root}/{index}", compression=None) as lines:
+                    for line in io.BufferedReader(lines):
+                        x = json.loads(line)
+                        members.seek(x["offset"])
+                        rows.append(facts(archive, x, members.read(x["length"])))
+                        if len(rows) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
+                            rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
 
-    return both.mapInArrow(run, "archive string, offset long, page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string")
+    each = archives.select("archive", "index").repartition(max(1, archives.count()), "archive")  # names, not their bytes
+    return each.mapInArrow(run, "archive string, offset long, page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -211,10 +226,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     raw, clean = folder(spark, "warc-raw"), folder(spark, "warc")
     write(pages, raw)
-    spool(normalise(spark, raw, clean), "normalised")
+    archives = spool(normalise(spark, raw, clean), "normalised")
     remove(spark, raw)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return read(spark, clean).select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+    return read(archives, clean).select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
 SQL = f"""

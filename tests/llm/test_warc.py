@@ -32,8 +32,20 @@ def test_streams():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     whole = gzip.compress(record * 3)
     members = gzip.compress(record) * 3
-    for data in (whole, members, members + b"\0" * 9):
-        assert [r for _, r in warc.records(warc.inflated(data))] == [record] * 3
+    for data in (whole, members, members + b"\0" * 9, members + b"\0" * 9 + gzip.compress(b"")):
+        for step in (1, 7, 10**6):
+            assert [r for _, r in warc.records(warc.inflated(data[k : k + step] for k in range(0, len(data), step)))] == [record] * 3
+        assert [r for _, r in warc.records(warc.inflated(warc.pieces(data)))] == [record] * 3
     for data in (whole[:-20], gzip.compress(record[:-9]), gzip.compress(b"no record")):
         with pytest.raises((warc.Broken, OSError)):
-            list(warc.records(warc.inflated(data)))
+            list(warc.records(warc.inflated(warc.pieces(data))))
+
+
+def test_what_a_lost_attempt_left_is_not_read(spark, tmp_path):
+    raw, clean = f"file://{tmp_path}/raw", f"file://{tmp_path}/clean"
+    warc.write(pages(spark), raw)
+    warc.normalise(spark, raw, clean).collect()
+    archives = warc.spool(warc.normalise(spark, raw, clean), "normalised")
+    rows = warc.read(archives, clean).collect()
+    assert len(rows) == pages(spark).count() == sum(r.records for r in archives.collect())
+    assert len({(r.archive, r.offset) for r in rows}) == len(rows)
