@@ -6,8 +6,9 @@ of a benchmark item; an item of fewer, but not none, is one window. Each task in
 out, so the index holds only what a window could match. All windows are searched backwards at once over wavelet
 ranks; sampled suffix positions locate their occurrences, whose spans are merged.
 
-Nothing is shuffled. The windows go to the tasks in blocks of at most `block_bytes` of benchmark text, each block in
-a step of its own, so any benchmark works with bounded memory.
+Nothing is shuffled. The windows go to the tasks in blocks of at most about `block_bytes` of benchmark text (an item is never
+cut). Each block has a pass of its own, whose result is written before the next block is read and the last one released: the
+driver and the workers hold one block's windows at a time, so any benchmark of items of bounded size works.
 
 Defined results: null texts have no words and no hits; rows are judged alone, so repeated rows or ids repeat their
 results; an empty benchmark hits nothing; null item ids count as the text "null"; items are a set of ids; columns named
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.fm_index import FMIndex
-from skein.llm.spool import arrow_batches, unused
+from skein.llm.spool import arrow_batches, drop, spool, unused
 from skein.llm.text import ALNUM, LOWER, spans, strings
 
 WIDTH = 10
@@ -128,20 +129,21 @@ def cut(text: bytes, taken: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[Windows]:
-    out, items, size = [], [], 0
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks, read as they are asked for; at least one block."""
+    items, size, any_ = [], 0, False
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
         items.append((row[0], (row[1] or "").encode()))
         size += len(items[-1][1])
         if size >= block_bytes:
-            out.append(Windows(items, width))
-            items, size = [], 0
-    return [*out, Windows(items, width)] if items or not out else out
+            yield items
+            items, size, any_ = [], 0, True
+    if items or not any_:
+        yield items
 
 
-def _step(docs: DataFrame, windows: Windows, last: bool, remove: bool, keep_text: bool) -> DataFrame:
+def _step(docs: DataFrame, shared, last: bool, remove: bool, keep_text: bool) -> DataFrame:
     again = {"spans", "items"} <= set(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
     keep = [n for n in docs.columns if n not in ("n_words", "spans", "items") and (n != "text" or keep_text or not last)]
 
     def done(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +189,22 @@ def _step(docs: DataFrame, windows: Windows, last: bool, remove: bool, keep_text
 def mark(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, remove: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_words, merged word spans of window occurrences, and the ids of the items they come from;
     with `remove`, the text is cut there."""
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    docs, written = docs.drop("n_words", "spans", "items"), None
     blocks = _blocks(benchmark, width, block_bytes)
-    docs = docs.drop("n_words", "spans", "items")
-    for k, windows in enumerate(blocks):
-        docs = _step(docs, windows, k == len(blocks) - 1, remove, keep_text)
-    return docs
+    items = next(blocks)
+    while True:
+        shared = spark.sparkContext.broadcast(Windows(items, width))
+        items = next(blocks, None)
+        docs = _step(docs, shared, items is None, remove, keep_text)
+        if items is None:
+            return docs
+        docs = spool(docs, "marked")
+        shared.destroy()
+        if written is not None:
+            drop(written)
+        written = docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
