@@ -1,11 +1,14 @@
 """URL filters: rules, and a ratio of character language models where no rule fits; DataFrame operations only.
 
-The URLs that rules decide train two smoothed variable-order Markov models, of accepted and of rejected URLs: the
+The URLs that rules decide, but for one in FOLDS by the crc32 of the URL, train two smoothed variable-order Markov models,
+of accepted and of rejected URLs: the
 probability of a character after two is that after one where the longer context is rare, and that of the character
 alone where both are (each order adds PRIOR counts in the ratio of the next shorter one). Characters of host and path are
 folded to 32 symbols, so a model is at most 32**3 numbers, whatever the input. A URL's score is the mean log ratio of the
-models over its characters; URLs under a cut are blocked. The cut is calibrated on the URLs that rules decide: it makes the
-mean of both classes' error rates least.
+models over its characters; URLs under a cut are blocked. The cut is calibrated on the decided URLs that the models were not
+trained on (on all decided ones, where those are not of both kinds): it makes the mean of both classes' error rates least.
+
+URLs are parsed and coded once, into a written table of their grams; the models, one row, and the scores are written too.
 
 Defined results: a null URL or one without `://` has an empty host and path, and is judged by the method as the empty
 text; without decided URLs of both kinds the method allows; repeated rows and ids are judged alike; null ids stay; an
@@ -19,9 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.spool import drop, spool
+
 #: The rules of the registered query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 PRIOR = 4.0
+FOLDS = 4
 #: Scores are calibrated in steps of 1 / STEPS, within -LIMIT .. LIMIT.
 STEPS, LIMIT = 100, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,10 +39,10 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(got[0], _UPPER, _LOWER), got[1]
 
 
-def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and its verdict; the longest rule that fits wins, of equals a blocking one."""
+def ruled(pages: DataFrame, rules=RULES, *more: Column) -> DataFrame:
+    """page_id, host, path, rule and its verdict, and more; the longest rule that fits wins, of equals a blocking one."""
     host, path = parts(F.col("url"))
-    out = pages.select("page_id", host.alias("host"), path.alias("path"))
+    out = pages.select("page_id", host.alias("host"), path.alias("path"), *more)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for action, text in sorted(rules, key=lambda r: (len(r[1]), r[0] == "block")):
         name, slash, rest = text.partition("/")
@@ -91,12 +97,18 @@ def _scored(found: DataFrame, ratio: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score of every page."""
-    found = _with_grams(ruled(pages, rules))
-    ratio = model(found)
-    scored = _scored(found, ratio)
-    bins = scored.filter("decided IS NOT NULL").groupBy("decided", F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * STEPS).cast("int").alias("bin")).count()
-    histogram = {(r["decided"], r["bin"]): r["count"] for r in bins.collect()}  # at most 2 * (2 * LIMIT * STEPS + 1) rows
-    cut = _cut(histogram)
+    own = F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
+    found = spool(_with_grams(ruled(pages, rules, own.alias("apart"))), "grams")
+    ratio = spool(model(found.filter("NOT apart")), "model")
+    scored = spool(_scored(found, ratio).drop("grams"), "scored")
+    drop(found, ratio)
+    bins = scored.filter("decided IS NOT NULL").groupBy("decided", "apart", F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * STEPS).cast("int").alias("bin")).count()
+    every, apart = {}, {}
+    for r in bins.collect():
+        every[r["decided"], r["bin"]] = every.get((r["decided"], r["bin"]), 0) + r["count"]
+        if r["apart"]:
+            apart[r["decided"], r["bin"]] = r["count"]
+    cut = _cut(apart if len({k for k, _ in apart}) == 2 else every)
     verdict = F.coalesce("decided", F.when(F.col("score") * STEPS < cut, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

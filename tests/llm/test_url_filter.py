@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 from skein.llm import url_filter as U
@@ -22,7 +23,7 @@ def plain(urls):
             name, slash, rest = rule.partition("/")
             if (host == name or host.endswith("." + name)) and path.startswith(slash + rest) and (best is None or len(rule) > len(best[1])):
                 best = action, rule
-        found.append((host, path, best))
+        found.append((host, path, best, zlib.crc32((u or "").encode()) % U.FOLDS == 0))
     symbol = lambda c: 1 + ord(c) - 97 if "a" <= c <= "z" else 27 if c in "0123456789" else {".": 28, "/": 29, "-": 30}.get(c, 31)
 
     def grams(host, path):
@@ -30,8 +31,8 @@ def plain(urls):
         return [tuple(s[i : i + 3]) for i in range(len(s) - 2)]
 
     n = {v: [Counter() for _ in range(4)] for v in ("allow", "block")}
-    for host, path, best in found:
-        for a, b, c in grams(host, path) if best else ():
+    for host, path, best, apart in found:
+        for a, b, c in grams(host, path) if best and not apart else ():
             for k, key in enumerate(((), (c,), (b, c), (a, b, c))):
                 n[best[0]][k][key] += 1
 
@@ -44,15 +45,16 @@ def plain(urls):
 
     known = {}
     out = []
-    for host, path, best in found:
+    for host, path, best, apart in found:
         g = grams(host, path)
         for x in g:
             if x not in known:
                 known[x] = math.log(p("allow", *x) / p("block", *x))
-        out.append((host, path, best, sum(known[x] for x in g) / len(g)))
-    histogram = Counter((b[0], int(math.floor(abs(s * U.STEPS) + 0.5) * (1 if s >= 0 else -1))) for _, _, b, s in out if b)
-    cut = U._cut(histogram)
-    return [(h, q, b and b[1], b[0] if b else "block" if s * U.STEPS < cut else "allow", s) for h, q, b, s in out]
+        out.append((host, path, best, sum(known[x] for x in g) / len(g), apart))
+    bins = lambda rows: Counter((b[0], int(math.floor(abs(s * U.STEPS) + 0.5) * (1 if s >= 0 else -1))) for _, _, b, s, _ in rows if b)
+    histogram = bins(x for x in out if x[4])
+    cut = U._cut(histogram if len({k for k, _ in histogram}) == 2 else bins(out))
+    return [(h, q, b and b[1], b[0] if b else "block" if s * U.STEPS < cut else "allow", s) for h, q, b, s, _ in out]
 
 
 def test_against_plain(spark):
