@@ -3,7 +3,8 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end for each text. The model is a bigram model
 over the add-one unigram model (the base). A count c is quantised to 1 + floor(log_B(c)) and the n-gram is put into the
 filter once for each level up to that; a probe goes up the levels until one is missing, and the last level found gives the
-count back as the mean of its range. All bigrams of the training texts are in the filter, and
+least count of its range back: never more than was counted, but for false positives, so that the counts found after a
+context do not exceed it and probabilities over the vocabulary sum to at most 1. All bigrams of the training texts are in the filter, and
 P(w | v) = L * count(v w) / count(v) + (1 - L) * base(w), with L = count(v) / (count(v) + K) and the exact count(v) of
 the base; after words not met in training it is base(w). The filter lies in buckets by bigram hash; each has bits for its
 own number of insertions, so that a bigram never met is found with probability RATE at most, at any size of the input.
@@ -249,10 +250,9 @@ def _levels(probes: DataFrame, bits: int | None) -> DataFrame:
     return probes.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n long, blob binary")
 
 
-def mean_count(up: np.ndarray) -> np.ndarray:
-    """The mean of the counts of a level; none at level 0."""
-    lo, hi = np.ceil(BASE ** (up - 1.0) - 1e-6), np.ceil(BASE ** up.astype(float) - 1e-6) - 1
-    return np.where(up > 0, (lo + np.maximum(hi, lo)) / 2, 0.0)
+def least_count(up: np.ndarray) -> np.ndarray:
+    """The least of the counts of a level; none at level 0."""
+    return np.where(up > 0, np.ceil(BASE ** (up - 1.0) - 1e-6), 0.0)
 
 
 class Filter:
@@ -280,7 +280,7 @@ class Filter:
         return up
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
-        return mean_count(self.levels(codes))
+        return least_count(self.levels(codes))
 
 
 def scores(docs: DataFrame, *, share: float = 0.0, bits: int | None = None) -> DataFrame:
@@ -313,7 +313,7 @@ def scores(docs: DataFrame, *, share: float = 0.0, bits: int | None = None) -> D
         found = {b: x.as_py() for b, x in zip(of.tolist(), right.column("blob"), strict=True) if b >= 0}
         up = np.zeros(len(distinct), np.int64)
         up[order] = np.frombuffer(b"".join(found[int(b)] for b in bucket), np.uint8)
-        pairs = mean_count(up)
+        pairs = least_count(up)
         out, at = [[], [], [], []], 0
         for (n, h, row), code in zip(texts, codes, strict=True):
             c = counts[np.searchsorted(known, h)]

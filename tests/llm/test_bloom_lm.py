@@ -24,7 +24,7 @@ def test_filter_counts():
         rows[b] = np.packbits(out, bitorder="little").tobytes()
     f = B.Filter(rows, bits)
     got = f.counts(codes)
-    assert (got >= counts / B.BASE - 1).all()  # never much less: a filter has no false negatives
+    assert (got > counts / B.BASE - 1e-9).all()  # never much less: a filter has no false negatives
     assert np.mean(np.abs(got - counts) <= np.maximum(1, counts * 0.45)) > 0.97
     assert np.mean(f.counts(r.integers(1 << 41, 1 << 42, 3000)) > 0) < 0.01
 
@@ -70,8 +70,8 @@ def test_bigrams_of_rare_words(spark):
     c = Counter(w for d, t in tokens if not held(d) for w in t[1:])
     pairs = Counter(p for d, t in tokens if not held(d) for p in zip(t, t[1:]))
     n, v = sum(c.values()), len(c)
-    mean = lambda x: float(B.mean_count(B.level(np.array([x])))[0]) if x else 0.0
-    want = {d: sum(math.log10((min(mean(pairs[a, b]), c[a]) + B.K * (c[b] + 1) / (n + v + 1)) / (c[a] + B.K)) for a, b in zip(t, t[1:])) for d, t in tokens}
+    least = lambda x: float(B.least_count(B.level(np.array([x])))[0]) if x else 0.0
+    want = {d: sum(math.log10((min(least(pairs[a, b]), c[a]) + B.K * (c[b] + 1) / (n + v + 1)) / (c[a] + B.K)) for a, b in zip(t, t[1:])) for d, t in tokens}
     got = B.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     off = max(abs(x.score / want[x.doc_id] - 1) for x in got if x.doc_id < 150)  # some of 1500 bigrams are false positives
     assert len(got) == len(rows) and off < 5e-3
@@ -90,3 +90,14 @@ def test_filter_grows_with_what_is_in_it():
         raise AssertionError("too small a filter passed")
     except ValueError:
         pass
+
+
+def test_probabilities_sum_to_one_at_most():
+    r = np.random.default_rng(14)
+    for n in (1, 5, 200, 3000):
+        counts = np.maximum(1, (r.pareto(0.7, n) * 2).astype(np.int64))
+        found = B._filter(np.unique(r.integers(1, 1 << 47, 2 * n).astype(np.uint64))[:n], counts, None)
+        assert found.bits and (B.least_count(B.level(counts)) <= counts).all()
+        base = r.dirichlet(np.ones(n + 3))  # more words than have been met after the context
+        pairs = np.r_[B.least_count(B.level(counts)), np.zeros(3)]
+        assert ((pairs + B.K * base) / (counts.sum() + B.K)).sum() <= 1 + 1e-12
