@@ -220,3 +220,20 @@ def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = mark(docs.select("doc_id", "text"), benchmark, keep_text=False, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The same result by joining all runs of words with the windows.
+SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS l FROM benchmark),
+win AS (SELECT DISTINCT item, n, list_slice(l, k, k + n - 1) AS g FROM (SELECT item, l, least({WIDTH}, len(l)) AS n, unnest(range(1, len(l) - least({WIDTH}, len(l)) + 2)) AS k FROM i WHERE len(l) > 0)),
+pos AS (SELECT doc_id, k, n, list_slice(l, k, k + n - 1) AS g FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM win) WHERE len(l) >= n)),
+hit AS (SELECT doc_id, k, n, item FROM pos JOIN win USING (n, g)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

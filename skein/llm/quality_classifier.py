@@ -83,14 +83,14 @@ class Model:
             (p if y[i] > 0 else q)[rows[i]] += 1
         ratio = np.log(p / p.sum()) - np.log(q / q.sum())
         x = [ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum())) for r in rows]
-        w, bias = self._descend([rows[i] for i in np.flatnonzero(fit)], [x[i] for i in np.flatnonzero(fit)], y[fit])
-        self.weight, self.square, self.bias = w * ratio, ratio**2, bias
+        w, bias, _ = self._descend([rows[i] for i in np.flatnonzero(fit)], [x[i] for i in np.flatnonzero(fit)], y[fit])
+        self.ratio, self.weight, self.square, self.bias = ratio, w * ratio, ratio**2, bias
         check = ~fit if (~fit).any() else fit
         self.curve = self._platt(np.array([w[rows[i]] @ x[i] + bias for i in np.flatnonzero(check)]), y[check])
 
     @staticmethod
-    def _descend(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
-        """Dual coordinate descent on the hinge loss; the classes weigh alike."""
+    def _descend(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Weights, bias and dual variables by dual coordinate descent on the hinge loss; the classes weigh alike."""
         w, bias = np.zeros(WIDTH), 0.0
         alpha = np.zeros(len(y))
         cost = COST * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
@@ -109,7 +109,7 @@ class Model:
                     alpha[i] = new
             if most < 1e-3:
                 break
-        return w, bias
+        return w, bias, alpha
 
     @staticmethod
     def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -144,3 +144,28 @@ def keep(docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array(_measured(b.column("text"))["kept"], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _limit(limits: dict[int, float]) -> str:
+    return "CASE n " + " ".join(f"WHEN {n} THEN {x}" for n, x in limits.items()) + " END"
+
+
+#: The same result by comparing the n-grams of each text; a longer one can be there twice only where its first three words are.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+c AS (SELECT doc_id, t, l, CAST(len(l) AS BIGINT) AS n_words, CAST(length(array_to_string(l, '')) AS BIGINT) AS word_chars FROM d),
+g AS (SELECT doc_id, n, k, array_to_string(list_slice(l, k, k + n - 1), ' ') AS g FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS k FROM c, (SELECT unnest([2, 3]) AS n) WHERE len(l) >= n)),
+short AS (SELECT doc_id, n, k, g, count(*) OVER (PARTITION BY doc_id, n, g) AS many, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY k) AS nth FROM g QUALIFY many > 1),
+more AS (SELECT doc_id, m.n, k, array_to_string(list_slice(l, k, k + m.n - 1), ' ') AS g FROM short JOIN c USING (doc_id), (SELECT unnest(range(4, {max(LIMITS) + 1})) AS n) m WHERE short.n = 3 AND k + m.n - 1 <= len(l)),
+r AS (SELECT * FROM short UNION ALL SELECT doc_id, n, k, g, count(*) OVER (PARTITION BY doc_id, n, g) AS many, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY k) AS nth FROM more QUALIFY many > 1),
+five AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM r WHERE n = 5) GROUP BY doc_id),
+met AS (SELECT doc_id, n, sum(length(l[p])) / max(word_chars) AS share FROM (SELECT DISTINCT doc_id, n, unnest(range(k, k + n)) AS p FROM r WHERE nth > 1 AND n >= {min(LIMITS)}) JOIN c USING (doc_id) GROUP BY doc_id, n),
+top AS (SELECT doc_id, n, max(many * (length(g) - n + 1)) / max(word_chars) AS share FROM r JOIN c USING (doc_id) WHERE n <= {max(TOP)} GROUP BY doc_id, n),
+shares AS (SELECT doc_id, max(share) FILTER (n >= {min(LIMITS)}) AS gram_share, max(share) FILTER (n <= {max(TOP)}) AS top_share, bool_or(share > {_limit(TOP | LIMITS)}) AS bad FROM (SELECT * FROM met UNION ALL SELECT * FROM top) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, length(line) AS size, row_number() OVER (PARTITION BY doc_id, line) > 1 AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM c) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ln AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(size) FILTER (dup), 0) / sum(size) AS line_share FROM lines GROUP BY doc_id),
+x AS (SELECT doc_id, n_words, word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {REPEAT_SHARE} * n_words AS base_failed, coalesce(bad, false) OR coalesce(n_dup_lines > {LINE_LIMITS[0]} * lines OR line_share > {LINE_LIMITS[1]}, false) AS bad,
+  coalesce(top_share, 0.0)::DOUBLE AS top_share, coalesce(gram_share, 0.0)::DOUBLE AS gram_share, coalesce(line_share, 0.0)::DOUBLE AS line_share FROM c LEFT JOIN five USING (doc_id) LEFT JOIN shares USING (doc_id) LEFT JOIN ln USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR bad) AS kept, top_share, gram_share, line_share FROM x
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op4_line_dedup": line_dedup.SQL}
+    return {"op2_decontamination": decontamination.SQL, "op3_warc": warc.SQL, "op4_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op8_suffix_dedup": suffix_dedup.SQL}

@@ -375,3 +375,17 @@ def digests(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFram
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array([f[0] for f in found], pa.int64()), "n_removed": pa.array([f[0] - len(f[2]) for f in found], pa.int64()), "n_spans": pa.array([len(f[1]) for f in found], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())})
 
     return _applied(*removed(docs, length, wide), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", table)
+
+
+#: The same result by comparing all strings of LENGTH bytes.
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY b[k:k + {LENGTH - 1}] ORDER BY doc_id, k) AS nth FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS k FROM d WHERE octet_length(b) >= {LENGTH})),
+e AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {LENGTH}, true) AS new FROM w WHERE nth > 1),
+r AS (SELECT doc_id, min(k) AS a, max(k) + {LENGTH - 1} AS z FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM e) GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM r UNION ALL SELECT doc_id, max(z) + 1, 9223372036854775807 FROM r GROUP BY doc_id),
+k AS (SELECT p.doc_id, string_agg(hex(b[f:least(t, octet_length(b))]), '' ORDER BY f) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import helpers as H
+import numpy as np
 
 from skein.llm import quality_classifier as Q
 
@@ -43,3 +46,48 @@ def test_odd_rows(spark):
     flat = Q.fit(docs, labels.filter("quality = 1"))
     assert {r.score for r in Q.classify(docs, flat).collect()} == {0.5}
     assert {r.score for r in Q.classify(docs, Q.fit(docs, labels.filter("false"))).collect()} == {0.5}
+
+
+def plain(text):
+    """The features of a text, one by one."""
+    b, words = (text or "").encode(), H.solid(text)
+    out = {int(Q.mix(np.array([int.from_bytes(b[i : i + 3], "big") + 1], np.uint64))[0] % Q.DIMS) for i in range(len(b) - 2)}
+    twice = sum(x == y for x, y in zip(words, words[1:])) / max(1, len(words))
+    again = sum(c - 1 for c in Counter(words).values()) / max(60, len(words))
+    level = lambda share: sum(share > x for x in Q.LEVELS)
+    return out | {Q.DIMS + level(twice), Q.DIMS + len(Q.LEVELS) + 1 + level(again)}
+
+
+def test_features_and_scores_against_plain(spark):
+    texts = [t for _, t, _ in corpus(150)] + H.texts(n=10) + ["x y " * 30_000, "w " * 9, "w w", "é" * 5]
+    labels = [i % 3 > 0 for i in range(150)]
+    model = Q.Model([np.array(sorted(plain(t))) for t in texts[:150]], np.array(labels))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    got = Q.classify(docs, model).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        f = sorted(plain(texts[r.doc_id]))
+        margin = sum(model.weight[i] for i in f) / math.sqrt(sum(model.ratio[i] ** 2 for i in f)) + model.bias
+        assert abs(r.score - 1 / (1 + math.exp(-(model.curve[0] * margin + model.curve[1])))) < 1e-9
+
+
+def test_ratios_and_optimum():
+    """The log-count ratios as counted, and a solution whose duality gap is small: by strong duality the optimum's objective."""
+    rows = [np.array(sorted(plain(t))) for _, t, _ in corpus(120)]
+    y = np.array([1.0 if k else -1.0 for _, _, k in corpus(120)])
+    model = Q.Model(rows, y)
+    fit = [i for i in range(120) if i % 4 != 3]
+    p, q = (Counter(f for i in fit if y[i] == s for f in rows[i].tolist()) for s in (1, -1))
+    total = [sum(c.values()) + Q.SMOOTH * Q.WIDTH for c in (p, q)]
+    for f in range(0, Q.WIDTH, 97):
+        assert abs(model.ratio[f] - (math.log((p[f] + Q.SMOOTH) / total[0]) - math.log((q[f] + Q.SMOOTH) / total[1]))) < 1e-9
+    x = [model.ratio[r] / math.sqrt((model.ratio[r] ** 2).sum()) for r in rows]
+    w, bias, alpha = Q.Model._descend(rows, x, y)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * Q.COST
+    again = np.zeros(Q.WIDTH)
+    for i in range(120):
+        again[rows[i]] += alpha[i] * y[i] * x[i]
+    assert np.allclose(again, w) and abs((alpha * y).sum() - bias) < 1e-9 and (alpha >= 0).all() and (alpha <= cost + 1e-12).all()
+    norm = (w @ w + bias**2) / 2
+    primal = norm + sum(c * max(0.0, 1 - s * (w[r] @ v + bias)) for c, s, r, v in zip(cost, y, rows, x, strict=True))
+    assert 0 <= primal - (alpha.sum() - norm) + 1e-9 < 0.02 * primal
