@@ -29,12 +29,13 @@ def unscaled(value: Column, precision: int) -> Column:
     wide = F.concat(F.repeat(sign, F.greatest(F.lit(0), 16 - F.octet_length(value))), text)
     extra = F.length(wide) - 32
     fits = (F.substring(wide, F.lit(1), extra) == F.repeat(sign, (extra / 2).cast("int"))) & ((F.substring(wide, extra + 1, F.lit(1)) >= "8") == negative)
-    low = F.conv(F.substring(wide, -16, 16), 16, 10).cast("decimal(38,0)")
-    high = F.conv(F.substring(F.substring(wide, -32, 32), 1, 16), 16, 10).cast("decimal(38,0)")
-    unit = F.lit(str(2**64)).cast("decimal(38,0)")
-    high = F.when(negative, high - unit).otherwise(high)
-    whole = F.try_add(_times(high, unit), low)
-    inside = (F.abs(whole) < F.lit("1" + "0" * precision).cast("decimal(38,0)")) if precision < 38 else whole.isNotNull()
+    plain = F.when(negative, F.translate(wide, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(wide)  # of x < 0, -x - 1
+    low = F.conv(F.substring(plain, -16, 16), 16, 10).cast("decimal(38,0)")
+    high = F.conv(F.substring(F.substring(plain, -32, 32), 1, 16), 16, 10).cast("decimal(38,0)")
+    size = F.try_add(_times(high, F.lit(str(2**64)).cast("decimal(38,0)")), low)
+    whole = F.when(negative, F.try_subtract(F.lit(-1).cast("decimal(38,0)"), size)).otherwise(size)  # a unary minus rounds to 34 digits
+    end = "1" + "0" * precision
+    inside = (whole < F.lit(end).cast("decimal(38,0)")) & (whole > F.lit(f"-{end}").cast("decimal(38,0)")) if precision < 38 else whole.isNotNull()
     return F.when((F.octet_length(value) > 0) & fits & inside, whole)
 
 

@@ -46,10 +46,19 @@ def quantiles(histograms: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *first)
 
 
+#: Windows of a stretch, in which one task adds them up.
+STRETCH = 4096
+
+
 def bandwidth(df: DataFrame, ts: str, size: Column, seconds: int) -> DataFrame:
-    """Tumbling windows with count, whole average size, bytes per second, and the running total."""
+    """Tumbling windows with count, whole average size, bytes per second, and the running total: within stretches of windows,
+    over the stretches' own running total, of which there are few."""
     rows = df.groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("count"), F.sum(size).alias("bytes"))
-    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy("w.start"))  # one row per window
+    rows = rows.withColumn("stretch", F.floor(F.unix_seconds(F.col("w.start").cast("timestamp")) / (seconds * STRETCH)))
+    before = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("stretch").agg(F.sum("bytes").alias("s")).select("stretch", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    total = F.col("base") + F.sum("bytes").over(Window.partitionBy("stretch").orderBy("w.start"))
+    rows = rows.join(F.broadcast(sums), "stretch")
     return rows.select(F.col("w.start").alias("start"), "count", "bytes", F.floor(F.col("bytes") / F.col("count")).alias("average"), (F.col("bytes") / seconds).alias("rate"), total.alias("total"))
 
 

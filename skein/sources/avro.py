@@ -1,10 +1,12 @@
 """Avro object container files, read and written in Arrow batches (Spark's own module for them is not installed).
 
-Records of null-or-primitive fields, projected by name; codecs null and deflate.
+Rows of null-or-primitive fields, projected by name, block by block; codecs null and deflate. Records of any type are read and
+written as Python values, and projected by paths of field ids.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import struct
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from skein.sources.files import opened, paths
+
 MAGIC = b"Obj\x01"
 TYPES = {"long": "long", "bigint": "long", "int": "int", "string": "string", "double": "double", "float": "float", "boolean": "boolean", "binary": "bytes"}
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "bytes": pa.binary()}
@@ -81,26 +85,77 @@ class _Reader:
         return raw.decode() if kind == "string" else raw
 
 
-def records(data: bytes) -> Iterator[dict]:
-    r = _Reader(data)
-    if r.take(4) != MAGIC:
+def _varint(f) -> int:
+    out = shift = 0
+    while True:
+        b = f.read(1)
+        if not b:
+            raise Broken("the file is cut off")
+        out |= (b[0] & 127) << shift
+        shift += 7
+        if b[0] < 128:
+            return out >> 1 ^ -(out & 1)
+
+
+def _exactly(f, n: int) -> bytes:
+    got = f.read(n) if n >= 0 else b""
+    if len(got) != n:
+        raise Broken("the file is cut off")
+    return got
+
+
+def _head(f) -> tuple[dict[str, bytes], bytes]:
+    """The facts in an open container's head, and its mark."""
+    if f.read(4) != MAGIC:
         raise Broken("no object container file")
-    meta = r.value({"type": "map", "values": "bytes"})
-    sync, schema = r.take(16), json.loads(meta["avro.schema"])
-    codec = meta.get("avro.codec", b"null")
+    meta = {}
+    while n := _varint(f):
+        if n < 0:
+            n = -n
+            _varint(f)
+        for _ in range(n):
+            key = _exactly(f, _varint(f)).decode()
+            meta[key] = _exactly(f, _varint(f))
+    return meta, _exactly(f, 16)
+
+
+def blocks(f) -> Iterator[list]:
+    """The records of an open file, block by block, so that memory holds a block."""
+    meta, sync = _head(f)
+    schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null")
     if codec not in (b"null", b"deflate"):
         raise Broken(f"codec {codec.decode()}")
-    while r.at < len(data):
-        count, block = r.number(), r.take(r.number())
-        if r.take(16) != sync:
+    while ahead := f.read(1):
+        number = bytearray(ahead)
+        while number[-1] > 127:
+            number += _exactly(f, 1)
+        count, block = _Reader(bytes(number)).number(), _exactly(f, _varint(f))
+        if _exactly(f, 16) != sync:
             raise Broken("a block does not end with the file's mark")
         part = _Reader(zlib.decompress(block, -15) if codec == b"deflate" else block)
-        for _ in range(count):
-            yield part.value(schema)
+        yield [part.value(schema) for _ in range(count)]
         if part.at != len(part.data):
             raise Broken("a block has more than its records")
 
 
+def records(data: bytes) -> Iterator[dict]:
+    for rows in blocks(io.BytesIO(data)):
+        yield from rows
+
+
+def project(value, schema, path: tuple[int, ...]):
+    """The value at a path of field ids through records, of which unions may be null on the way."""
+    for number in path:
+        schema = next((s for s in schema if s != "null"), "null") if isinstance(schema, list) else schema
+        if value is None or not isinstance(schema, dict) or schema.get("type") != "record":
+            return None
+        field = next((f for f in schema["fields"] if f.get("field-id") == number), None)
+        if field is None:
+            return None
+        value, schema = value[field["name"]], field["type"]
+    return value
+
+
 def container(rows: list[dict], fields: list[tuple[str, str]], deflate: bool = True) -> bytes:
     pack = {"long": _number, "int": _number, "double": lambda v: struct.pack("<d", v), "float": lambda v: struct.pack("<f", v), "boolean": lambda v: b"\1" if v else b"\0", "string": lambda v: _number(len(v.encode())) + v.encode(), "bytes": lambda v: _number(len(v)) + bytes(v)}
     body = b"".join(b"\0" if row[n] is None else b"\2" + pack[k](row[n]) for row in rows for n, k in fields)
@@ -150,10 +205,7 @@ def file(rows: list[dict], schema: dict, more: dict[str, str], block: int = 1000
 
 def head(data: bytes) -> dict[str, str]:
     """The facts in a container's head."""
-    r = _Reader(data)
-    if r.take(4) != MAGIC:
-        raise Broken("no object container file")
-    return {k: v.decode() for k, v in r.value({"type": "map", "values": "bytes"}).items()}
+    return {k: v.decode() for k, v in _head(io.BytesIO(data))[0].items()}
 
 
 def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -163,12 +215,12 @@ def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content"):
-                rows = list(records(content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], ARROW[k]) for n, k in kinds], [n for n, _ in kinds])
+            for at in b.column("path").to_pylist():
+                with opened(at) as f:
+                    for rows in blocks(io.BufferedReader(f)):
+                        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], ARROW[k]) for n, k in kinds], [n for n, _ in kinds])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.avro").load(path).select("content")
-    return files.mapInArrow(run, StructType(fields))
+    return paths(spark, path, "*.avro").mapInArrow(run, StructType(fields))
 
 
 def write(df: DataFrame, path: str) -> None:

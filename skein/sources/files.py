@@ -2,43 +2,80 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: What files begin or end with.
 MAGIC = {"parquet": b"PAR1", "orc": b"ORC", "puffin": b"PFA1", "avro": b"Obj\x01"}
+PIECE = 1 << 20
 
 
-def _binary(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+def paths(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, length) of files, without their content."""
     reader = spark.read.format("binaryFile")
-    return (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path)
+    return (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path).select("path", "length")
+
+
+def opened(path: str):
+    """A file, opened by a task for reading any part of it."""
+    from pyarrow import fs as filesystems
+
+    fs, at = filesystems.FileSystem.from_uri(path)
+    return fs.open_input_file(at)
 
 
 def digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, sha256, md5) of whole files."""
-    return _binary(spark, path, glob).select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    """(path, length, sha256, md5) of whole files, read piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for at in b.column("path").to_pylist():
+                sums = hashlib.sha256(), hashlib.md5()
+                with opened(at) as f:
+                    while piece := f.read(PIECE):
+                        for s in sums:
+                            s.update(piece)
+                found.append([s.hexdigest() for s in sums])
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), *(pa.array([f[k] for f in found], pa.string()) for k in range(2))], ["path", "length", "sha256", "md5"])
+
+    return paths(spark, path, glob).mapInArrow(run, "path string, length long, sha256 string, md5 string")
 
 
 def kinds(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, kind): what each file is by its first and last bytes."""
-    head, tail = F.substring("content", 1, 4), F.substring("content", -4, 4)
-    kind = F.when((head == F.lit(MAGIC["parquet"])) & (tail == F.lit(MAGIC["parquet"])), "parquet").when((head == F.lit(MAGIC["puffin"])) & (tail == F.lit(MAGIC["puffin"])), "puffin").when(head == F.lit(MAGIC["avro"]), "avro").when(F.substring("content", 1, 3) == F.lit(MAGIC["orc"]), "orc").otherwise("unknown")
-    return _binary(spark, path, glob).select("path", kind.alias("kind"))
+    """(path, kind): what each file is by its first and last bytes, which are all that is read."""
+
+    def kind(at: str, length: int) -> str:
+        with opened(at) as f:
+            head = f.read(4)
+            f.seek(max(0, length - 4))
+            tail = f.read(4)
+        both = [n for n in ("parquet", "puffin") if head == tail == MAGIC[n]]
+        return both[0] if both else "avro" if head == MAGIC["avro"] else "orc" if head[:3] == MAGIC["orc"] else "unknown"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [kind(at, n) for at, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.string())], ["path", "kind"])
+
+    return paths(spark, path, glob).mapInArrow(run, "path string, kind string")
 
 
 def _parquet(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
-    files = _binary(spark, path, "*.parquet").select("path", "content")
+    """rows(path, footer) of each Parquet file, of which only the footer is read."""
+    files = paths(spark, path, "*.parquet").select("path")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
         for b in batches:
-            for at, content in zip(b.column("path"), b.column("content"), strict=True):
-                found = rows(at.as_py(), pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata)
+            for at in b.column("path").to_pylist():
+                with opened(at) as f:
+                    found = rows(at, pq.ParquetFile(f).metadata)
                 kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
 
