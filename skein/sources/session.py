@@ -55,4 +55,6 @@ def sorted_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     placed = placed.withColumn("_i", F.monotonically_increasing_id() - F.col("_p").cast("long") * F.lit(2**33))
     at = scratch(df.sparkSession, "ranges")
     placed.write.parquet(at)
-    return df.sparkSession.read.schema(placed.schema).parquet(at)
+    out = df.sparkSession.read.schema(placed.schema).parquet(at)
+    out._spooled = at  # for who wants it removed before the end
+    return out
