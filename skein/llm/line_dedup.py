@@ -1,23 +1,25 @@
 """Line deduplication over a distributed suffix array of line sequences; DataFrame operations only.
 
-Each text is its sequence of non-blank lines. Prefix doubling names line runs: level 0 ranks the distinct lines that are
-met at least twice, level j + 1 ranks the distinct pairs of level-j names 2**j lines apart, sorted by both names, so
-names of a level are in the suffix order of the corpus to that depth. A run's LCP interval, the places where the same
-lines stand, is the group of equal (length, name of its first 2**j lines, name of its last 2**j lines). Of each interval
-the first place stays and the later copies go.
+Each text is its sequence of non-blank lines. Lines that are met once end runs, so they leave the sequences at the start.
+Prefix doubling ranks the suffixes: level 0 ranks the distinct lines, level j + 1 the distinct pairs of a suffix's level-j rank
+and that of the suffix 2**j lines on (or its end), in a range sort. The places in the order of their last ranks are the suffix
+array; the common prefix of each with the one before it, found from the stored ranks from the last level down, is the LCP
+array. An LCP interval, the maximal stretch of the array whose neighbours share n lines or more, has all places where the
+same n lines stand. Of each interval the first place stays and the later copies go.
 
 A repeated run counts if its lines have at least `min_chars` characters in all. Every such run is the union of its
-shortest counting windows, from each line forward and up to each line backward; windows are therefore all that
-has to be looked up, and doubling ends at the longest of them (at most log2(min_chars) levels). Lines met once
-end runs, so they leave the sequences at the start. The order of places is (doc_id, xxhash64(text), line).
+shortest counting windows, from each line forward and up to each line backward; so intervals are taken at the lengths of
+windows, and doubling ends at the longest of them (at most log2(min_chars) levels), since a longer common prefix decides
+nothing more. The order of places is (doc_id, xxhash64(text), line).
 
-Hot lines: lines and pairs are pre-aggregated to distinct ones before ranking, names come from a range sort and no
-window spans the table, and names are joined back by sort-merge joins over written tables, whose hot keys adaptive
-execution splits.
+Hot lines: lines and pairs are pre-aggregated to distinct ones before ranking; the suffix array lies in ranges of equal size,
+which split the places of one line or run as any others; stretches are joined over the ranges' ends by a row for each
+range and length. No window spans the table. Ranks are joined back by sort-merge joins over written tables, whose hot keys
+adaptive execution splits.
 
 Defined results: a null text stays null, an empty one empty; a document is its (doc_id, text), so repeated rows are
 treated alike and are no copies of one another; null ids sort first; blank lines within a deleted run go with it;
-other columns stay, of any name.
+other columns stay, of any name but that of the report.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.llm.spool import drop, spool, unused
+from skein.sources.session import sorted_ranges
 
 MIN_CHARS = 30
 _WORD = r"[^\x20\x09-\x0D]"
@@ -44,11 +47,17 @@ def _named(keys: DataFrame, *by: str) -> DataFrame:
     return spool(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
+def _runs(places: DataFrame) -> DataFrame:
+    """places with `run`, which consecutive places share, and `left`, the places from each to the run's end."""
+    run = Window.partitionBy("d", "h", "run")
+    named = places.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("d", "h").orderBy("at")))
+    return named.withColumn("left", F.max("at").over(run) - F.col("at") + 1)
+
+
 def _windows(places: DataFrame, min_chars: int) -> DataFrame:
     """(d, h, s, n): the shortest windows of at least min_chars characters, within runs of consecutive places."""
-    doc = Window.partitionBy("d", "h").orderBy("at")
     run = Window.partitionBy("d", "h", "run")
-    sums = places.withColumn("run", F.col("at") - F.row_number().over(doc)).withColumn("up", F.sum("chars").over(run.orderBy("at"))).withColumn("below", F.col("up") - F.col("chars"))
+    sums = places.withColumn("up", F.sum("chars").over(run.orderBy("at"))).withColumn("below", F.col("up") - F.col("chars"))
     after = F.min("at").over(run.orderBy("below").rangeBetween(min_chars, Window.unboundedFollowing))
     before = F.max("at").over(run.orderBy("up").rangeBetween(Window.unboundedPreceding, -min_chars))
     both = sums.select("d", "h", "at", F.coalesce(after, F.when(F.max("up").over(run) - F.col("below") >= min_chars, F.max("at").over(run) + 1)).alias("to"), F.coalesce(before + 1, F.when(F.col("up") >= min_chars, F.min("at").over(run))).alias("from"))
@@ -57,42 +66,82 @@ def _windows(places: DataFrame, min_chars: int) -> DataFrame:
     return ahead.union(back).distinct()
 
 
+def _ranked(places: DataFrame, longest: int) -> list[DataFrame]:
+    """(d, h, at, left, name) for each level: ranks of the suffixes by their first 2**level lines; spooled tables."""
+    levels, size = [spool(places.select("d", "h", "at", "left", "name"), "ranks")], 1
+    while size < longest:
+        ranks = levels[-1]
+        ahead = ranks.select("d", "h", (F.col("at") - size).alias("at"), F.col("name").alias("b"))
+        pairs = ranks.withColumnRenamed("name", "a").join(ahead, ["d", "h", "at"], "left")
+        pairs = spool(pairs.withColumn("b", F.when(F.col("left") > size, F.col("b")).otherwise(F.lit(-1))), "pairs")
+        named = _named(pairs.select("a", "b").distinct(), "a", "b")
+        levels.append(spool(pairs.join(named, ["a", "b"]).select("d", "h", "at", "left", "name"), "ranks"))
+        drop(pairs, named)
+        size *= 2
+    return levels
+
+
+def _suffix_array(levels: list[DataFrame]) -> DataFrame:
+    """(d, h, at, range, idx, lcp): the places in suffix order, with the lines that each shares with the one before it, up to
+    2**(levels - 1); a spooled table."""
+    order = sorted_ranges(levels[-1], "name", "d", "h", "at")
+    row = F.struct("d", "h", "at", "left", "name")
+    last = order.groupBy("_p").agg(F.max_by(row, "_i").alias("last"))
+    edge = F.broadcast(last.select("_p", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("edge")))  # a row for each range
+    before = F.lag(row).over(Window.partitionBy("_p").orderBy("_i"))
+    array = order.withColumn("before", before).join(edge, "_p").withColumn("before", F.coalesce("before", "edge"))
+    array = array.select("d", "h", "at", "left", F.col("_p").alias("range"), F.col("_i").alias("idx"), F.col("before.d").alias("qd"), F.col("before.h").alias("qh"), F.col("before.at").alias("q"), F.col("before.left").alias("qleft"), F.coalesce(F.col("before.name") == F.col("name"), F.lit(False)).alias("same"))
+    array = spool(array.withColumn("lcp", F.when(F.col("same"), F.lit(1 << len(levels) - 1)).otherwise(F.lit(0)).cast("long")), "array")
+    drop(order)
+    for level in range(len(levels) - 2, -1, -1):
+        names = levels[level].select("d", "h", "at", "name")
+        ahead = names.select("d", "h", F.col("at").alias("_at"), F.col("name").alias("_x"))
+        other = names.select(F.col("d").alias("qd"), F.col("h").alias("qh"), F.col("at").alias("_q"), F.col("name").alias("_y"))
+        open_ = array.filter("NOT same AND q IS NOT NULL").withColumn("_at", F.col("at") + F.col("lcp")).withColumn("_q", F.col("q") + F.col("lcp"))
+        within = (F.col("lcp") < F.col("left")) & (F.col("lcp") < F.col("qleft")) & (F.col("_x") == F.col("_y"))
+        more = open_.join(ahead, ["d", "h", "_at"], "left").join(other, ["qd", "qh", "_q"], "left")
+        more = more.withColumn("lcp", F.col("lcp") + F.when(F.coalesce(within, F.lit(False)), F.lit(1 << level)).otherwise(F.lit(0)))
+        was = array
+        array = spool(array.filter("same OR q IS NULL").unionByName(more.select(*array.columns)), "array")
+        drop(was)
+    whole = array.withColumn("lcp", F.coalesce(F.least("lcp", "left", "qleft"), F.lit(0)))
+    out = spool(whole.select("d", "h", "at", "range", "idx", "lcp"), "suffixes")
+    drop(array)
+    return out
+
+
+def _intervals(windows: DataFrame, array: DataFrame) -> DataFrame:
+    """windows with `head`, the first place in suffix order of the LCP interval that each is in."""
+    placed = spool(windows.join(array.withColumnRenamed("at", "s"), ["d", "h", "s"]), "placed")
+    begins = F.when(F.col("lcp") < F.col("n"), F.struct("range", "idx"))
+    up = Window.partitionBy("range", "n").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    named = placed.withColumn("own", F.max(begins).over(up))
+    ends = placed.groupBy("range", "n").agg(F.max(begins).alias("end"))  # a row for each range and length
+    carried = Window.partitionBy("n").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("range", "n", F.max("end").over(carried).alias("carried"))
+    return named.join(F.broadcast(ends), ["range", "n"]).select("d", "h", "s", "n", F.coalesce("own", "carried").alias("head"))
+
+
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, h, runs, gone) of the documents (d, h, text) that lose lines: the deleted runs as first and last line, counted
     from 0, in order, and the number of non-blank lines in them. A spooled table."""
     lines = spool(_lines(docs), "lines")
     twice = _named(lines.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select("k1", "k2"), "k1", "k2")
-    places = spool(lines.join(twice, ["k1", "k2"]).select("d", "h", "at", "i", "chars", "name"), "places")
+    places = spool(_runs(lines.join(twice, ["k1", "k2"]).select("d", "h", "at", "i", "chars", "name")), "places")
     drop(lines, twice)
     windows = spool(_windows(places, min_chars), "windows")
-    longest = windows.agg(F.max("n")).first()[0] or 0
-    ranks, keys, size, temporary = places.select("d", "h", "at", "name"), [], 1, []
-    while size <= longest:
-        mine = windows.filter((F.col("n") >= size) & (F.col("n") < 2 * size))
-        ends = mine.withColumn("at", F.col("s")).join(ranks, ["d", "h", "at"]).withColumnRenamed("name", "a").withColumn("at", F.col("s") + F.col("n") - size)
-        keys.append(ends.join(ranks, ["d", "h", "at"]).select("n", "a", F.col("name").alias("b"), "d", "h", "s"))
-        if 2 * size <= longest:
-            ahead = ranks.select("d", "h", (F.col("at") - size).alias("at"), F.col("name").alias("b"))
-            pairs = spool(ranks.withColumnRenamed("name", "a").join(ahead, ["d", "h", "at"]), "pairs")
-            named = _named(pairs.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b"), "a", "b")
-            ranks = spool(pairs.join(named, ["a", "b"]).select("d", "h", "at", "name"), "ranks")
-            temporary += [pairs, named, ranks]
-        size *= 2
-    every = None
-    for k in keys:
-        every = k if every is None else every.union(k)
-    if every is None:
-        every = windows.select("n", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "d", "h", "s").filter("false")
-    every = spool(every, "keys")
-    first = spool(every.groupBy("n", "a", "b").agg(F.min(F.struct("d", "h", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first")
-    later = every.join(first, ["n", "a", "b"]).filter(~F.struct("d", "h", "s").eqNullSafe(F.col("first")))
+    levels = _ranked(places, windows.agg(F.max("n")).first()[0] or 0)
+    array = _suffix_array(levels)
+    every = spool(_intervals(windows, array), "intervals")
+    drop(windows, array, *levels)
+    first = spool(every.groupBy("n", "head").agg(F.min(F.struct("d", "h", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first")
+    later = every.join(first, ["n", "head"]).filter(~F.struct("d", "h", "s").eqNullSafe(F.col("first")))
     gone = later.select("d", "h", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("at")).distinct()
-    named = places.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("at").alias("_at"), "i")
-    gone = gone.join(named, gone.d.eqNullSafe(named._d) & (gone.h == named._h) & (gone["at"] == named._at)).select("d", "h", "at", "i")
+    gone = gone.join(places.select("d", "h", "at", "i"), ["d", "h", "at"])
     island = gone.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("d", "h").orderBy("at")))
     runs = island.groupBy("d", "h", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("c"))
     out = spool(runs.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("c").alias("gone")), "runs")
-    drop(places, windows, every, first, *temporary)
+    drop(places, every, first)
     return out
 
 
