@@ -64,7 +64,8 @@ def select(samples: DataFrame, predicate: predicates.Predicate, fields: list[str
     predicates.validate(predicate, set(fields), version)
     if version >= 2:
         existing(samples, predicate)
-    return samples.filter(predicates.compile(predicate, F.col("sample_id"), {f: F.col(f) for f in fields}))
+    needed = set(fields) if predicates.reads_all_fields(predicate) else predicates.fields_of(predicate)
+    return samples.filter(predicates.compile(predicate, F.col("sample_id"), {f: F.col(f) for f in fields if f in needed}))
 
 
 def existing(samples: DataFrame, predicate: predicates.Predicate) -> None:

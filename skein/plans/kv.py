@@ -116,3 +116,23 @@ def _(spark, sf):
 @query("kv_range_routing", "SELECT CASE WHEN c_name >= 'Customer#000001000' THEN 'c' WHEN c_name >= 'Customer#000000300' THEN 'b' ELSE 'a' END AS partition, count(*) AS n FROM customer GROUP BY 1")
 def _(spark, sf):
     return K.routed(_items(spark, sf), [(b"", "a"), (b"Customer#000000300", "b"), (b"Customer#000001000", "c")]).groupBy("partition").agg(F.count("*").alias("n"))
+
+
+@query("kv_get", "SELECT 'Customer#' || lpad(CAST(s_suppkey * 37 AS VARCHAR), 9, '0') AS key, c_custkey AS slot FROM supplier LEFT JOIN customer ON c_name = 'Customer#' || lpad(CAST(s_suppkey * 37 AS VARCHAR), 9, '0')")
+def _(spark, sf):
+    """Reads of single keys, some of which are not there."""
+    n = F.lpad((F.col("s_suppkey") * 37).cast("string"), 9, "0")
+    keys = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("Customer#"), n).cast("binary").alias("key"))
+    return K.get(_items(spark, sf), keys).select(_key(), "slot")
+
+
+_MANY = "WITH p AS (SELECT DISTINCT 'Customer#' || lpad(CAST(s_suppkey * 37 % 2000 AS VARCHAR), 9, '0') || CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE '' END AS p FROM supplier)"
+
+
+@query("kv_seek_many", f"{_MANY} SELECT p AS probe, min(c_name) FILTER (c_name >= p) AS ceiling, min(c_name) FILTER (c_name > p) AS higher, max(c_name) FILTER (c_name <= p) AS floor, max(c_name) FILTER (c_name < p) AS lower FROM p, customer GROUP BY p")
+def _(spark, sf):
+    """The nearest keys of many probes, by one range sort."""
+    k = F.col("s_suppkey")
+    probe = F.concat(F.lit("Customer#"), F.lpad((k * 37 % 2000).cast("string"), 9, "0"), F.when(k % 2 == 0, "x").otherwise(""))
+    probes = spark.read.parquet(f"{sf}/supplier.parquet").select(probe.cast("binary").alias("probe"))
+    return K.seek(_items(spark, sf), probes).select(*(F.col(c).cast("string").alias(c) for c in ("probe", "ceiling", "higher", "floor", "lower")))

@@ -164,3 +164,24 @@ def tb_bounds_check(spark, sf):
     """Pairs of bounds that are NaN or in the wrong order."""
     lower = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_discount"))
     return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(T.bound_problem(lower, F.col("l_tax"), "double"), F.lit("")).alias("problem"))
+
+
+@query("tb_name_mapping", "SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS balance, s_name AS title, CAST(NULL AS VARCHAR) AS extra FROM supplier")
+def tb_name_mapping(spark, sf):
+    """Files without field ids, read by a name mapping with names of former times."""
+    from skein.sources.evolution import Field, mapped_ids, read_as
+
+    mapping = [{"field-id": 1, "names": ["id", "s_suppkey"]}, {"field-id": 2, "names": ["s_acctbal"]}, {"field-id": 3, "names": ["title", "s_name"]}, {"field-id": 9, "names": ["extra"]}]
+    df = _table(spark, sf, "supplier")
+    return read_as(df, mapped_ids(df.columns, mapping), [Field(1, "id", "long"), Field(2, "balance", "double"), Field(3, "title", "string"), Field(9, "extra", "string")])
+
+
+@query("tb_load_response", "SELECT 4::BIGINT AS snapshots, 2::BIGINT AS by_refs, true AS unchanged, true AS changed")
+def tb_load_response(spark, sf):
+    """Loads of a table: all snapshots, those that refs name, nothing for a tag that still holds, and again after a commit."""
+    t, ids = _orders_table(spark, sf)
+    t.commit([{"action": "set-snapshot-ref", "ref-name": "first", "type": "tag", "snapshot-id": ids[0]}])
+    every, few = t.response(), t.response("refs")
+    unchanged = t.response(etag=every["etag"]) is None
+    t.commit([{"action": "set-properties", "updates": {"a": "b"}}])
+    return spark.createDataFrame([(len(every["metadata"]["snapshots"]), len(few["metadata"]["snapshots"]), unchanged, t.response(etag=every["etag"]) is not None)], "snapshots long, by_refs long, unchanged boolean, changed boolean")

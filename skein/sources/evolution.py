@@ -36,3 +36,18 @@ def schema(fields: list[Field]) -> StructType:
     from pyspark.sql.types import _parse_datatype_string
 
     return StructType([StructField(f.name, _parse_datatype_string(spark_type(f.type)), not f.required, {"parquet.field.id": f.id}) for f in fields])
+
+
+def mapped_ids(columns: list[str], mapping: list[dict]) -> dict[int, str]:
+    """Field ids of the columns of a file that carries none, by a name mapping: [{"field-id": 1, "names": ["a", "b"]}, ...]. A
+    column that no entry names has no id; one that two entries name is an error."""
+    by_name: dict[str, int] = {}
+    for entry in mapping:
+        for name in entry["names"]:
+            if by_name.setdefault(name, entry["field-id"]) != entry["field-id"]:
+                raise ValueError(f"{name} has two field ids")
+    out: dict[int, str] = {}
+    for c in columns:
+        if c in by_name and out.setdefault(by_name[c], c) != c:
+            raise ValueError(f"field {by_name[c]} has two columns")
+    return out
