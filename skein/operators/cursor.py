@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import hmac
 import json
 from dataclasses import asdict, dataclass, replace
 
@@ -21,6 +22,13 @@ def plan_identity(plan: dict) -> str:
     return hashlib.md5(json.dumps(plan, sort_keys=True, default=str).encode()).hexdigest()
 
 
+_MARK = 16
+
+
+def _mark(raw: bytes, secret: bytes) -> bytes:
+    return hmac.new(secret, raw, hashlib.sha256).digest()[:_MARK]
+
+
 @dataclass(frozen=True)
 class Cursor:
     """Where a read is: after a sample id, at an ordinal, and at an offset in the group that begins there."""
@@ -32,16 +40,22 @@ class Cursor:
     offset: int = 0
     version: int = 2
 
-    def token(self) -> str:
+    def token(self, secret: bytes | None = None) -> str:
+        """The cursor as text; with a secret, signed, so that only who has the secret can make one."""
         raw = json.dumps(asdict(self), separators=(",", ":")).encode()
-        return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+        return base64.urlsafe_b64encode(raw + (_mark(raw, secret) if secret else b"")).rstrip(b"=").decode()
 
     @classmethod
-    def parse(cls, token: str, plan: dict) -> Cursor:
+    def parse(cls, token: str, plan: dict, secret: bytes | None = None) -> Cursor:
         try:
-            out = cls(**json.loads(base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))))
+            raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))
+            if secret:
+                raw, mark = raw[:-_MARK], raw[-_MARK:]
+                if not hmac.compare_digest(mark, _mark(raw, secret)):
+                    raise Refused("the cursor's signature is wrong")
+            out = cls(**json.loads(raw))
         except (ValueError, TypeError) as e:
-            raise Refused("no cursor") from e
+            raise e if isinstance(e, Refused) else Refused("no cursor") from e
         if out.version != 2 or out.plan != plan_identity(plan) or out.ordinal < 0 or out.offset < 0:
             raise Refused("the cursor is of another plan")
         return out

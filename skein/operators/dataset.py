@@ -149,9 +149,14 @@ def batches(numbered_samples: DataFrame, size: int) -> DataFrame:
     return numbered_samples.withColumn("batch", F.floor(F.col("ordinal") / size))
 
 
-def page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
-    """Keyset page: the first rows after a key; an empty page may have a next one."""
-    return (df if after is None else df.filter(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
+def page(df: DataFrame, key: str, after, limit: int, size: Column | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Keyset page: the first rows after a key; an empty page may have a next one. With max_bytes, the leading rows of the page
+    whose sizes fit, and the first in any case: the running sum is over `limit` rows at most."""
+    rows = (df if after is None else df.filter(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
+    if size is None or max_bytes is None:
+        return rows
+    w = Window.partitionBy(F.lit(0)).orderBy(key)
+    return rows.withColumn("_u", F.sum(size).over(w)).withColumn("_n", F.row_number().over(w)).filter((F.col("_u") <= max_bytes) | (F.col("_n") == 1)).drop("_u", "_n")
 
 
 def admitted(samples: DataFrame, size: Column, *, max_samples: int, max_bytes: int, max_batches: int, batch: int) -> dict[str, int]:

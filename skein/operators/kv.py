@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,6 +82,29 @@ def state(journal: DataFrame, up_to: int | None = None) -> DataFrame:
     return last.filter("NOT l.is_delete").select("key", "l.value", "l.slot")
 
 
+class Snapshots:
+    """Named slots of a journal in a folder: a read by name sees the operations up to its slot. Released names are gone; the
+    journal may be cut before the least slot that is held."""
+
+    def __init__(self, files):
+        self.files = files
+
+    def create(self, name: str, slot: int) -> None:
+        self.files.create(f"snapshots/{name}.json", json.dumps({"slot": slot}))
+
+    def list(self) -> dict[str, int]:
+        return {n[:-5]: json.loads(self.files.read(f"snapshots/{n}"))["slot"] for n in self.files.names("snapshots") if n.endswith(".json")}
+
+    def release(self, name: str) -> bool:
+        return self.files.remove(f"snapshots/{name}.json")
+
+    def held(self) -> int | None:
+        return min(self.list().values(), default=None)
+
+    def state(self, journal: DataFrame, name: str) -> DataFrame:
+        return state(journal, self.list()[name])
+
+
 def journal_page(journal: DataFrame, low: int, high: int, limit: int, prefix: bytes = b"") -> DataFrame:
     """Operations of a slot range in slot order, with whether the page is cut and its last slot."""
     rows = journal.filter(F.col("slot").between(low, high))

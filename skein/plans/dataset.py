@@ -392,3 +392,9 @@ def _(spark, sf):
     read.next()
     again = Delivery(rows, bound.plan, read.token, 50)
     return rows.filter(F.col("ordinal") >= again.cursor.ordinal).select(_id())
+
+
+@query("ds_page_bytes", "SELECT id FROM (SELECT CAST(doc_id AS VARCHAR) AS id, sum(octet_length(encode(coalesce(text, '')))) OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS used FROM documents WHERE CAST(doc_id AS VARCHAR) > '4') WHERE used <= 50000 ORDER BY id LIMIT 500")
+def _(spark, sf):
+    """A page of at most 500 samples and 50,000 bytes of text."""
+    return D.page(_docs(spark, sf), "sample_id", b"4", 500, F.octet_length(F.coalesce("text", F.lit(b""))), 50_000).select(_id())

@@ -136,3 +136,20 @@ def _(spark, sf):
     probe = F.concat(F.lit("Customer#"), F.lpad((k * 37 % 2000).cast("string"), 9, "0"), F.when(k % 2 == 0, "x").otherwise(""))
     probes = spark.read.parquet(f"{sf}/supplier.parquet").select(probe.cast("binary").alias("probe"))
     return K.seek(_items(spark, sf), probes).select(*(F.col(c).cast("string").alias(c) for c in ("probe", "ceiling", "higher", "floor", "lower")))
+
+
+@query("kv_stored_snapshots", "WITH s AS (SELECT (max(event_id) - min(event_id)) // 3 + min(event_id) AS slot FROM events), l AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS slot FROM events WHERE event_id <= (SELECT slot FROM s) GROUP BY user_id) SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS key, slot FROM l WHERE t <> 'purchase'")
+def _(spark, sf):
+    """The state that a stored snapshot sees; another one was released."""
+    from skein.operators.catalog import Files
+    from skein.sources.session import scratch
+
+    journal = _journal(spark, sf)
+    low, high = journal.agg(F.min("slot"), F.max("slot")).first()
+    s = K.Snapshots(Files(spark, scratch(spark, "snapshots")))
+    s.create("third", (high - low) // 3 + low)
+    s.create("first", low)
+    s.release("first")
+    if s.held() != (high - low) // 3 + low or list(s.list()) != ["third"]:
+        raise AssertionError("a released snapshot is held")
+    return s.state(journal, "third").select(_key(), "slot")

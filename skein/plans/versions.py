@@ -185,3 +185,17 @@ def tb_load_response(spark, sf):
     unchanged = t.response(etag=every["etag"]) is None
     t.commit([{"action": "set-properties", "updates": {"a": "b"}}])
     return spark.createDataFrame([(len(every["metadata"]["snapshots"]), len(few["metadata"]["snapshots"]), unchanged, t.response(etag=every["etag"]) is not None)], "snapshots long, by_refs long, unchanged boolean, changed boolean")
+
+
+@query("tb_sorted_write", "SELECT 0::BIGINT AS unsorted, count(*) AS rows FROM orders")
+def tb_sorted_write(spark, sf):
+    """Rows out of the table's sort order within their files: none."""
+    from skein.operators.catalog import Table
+
+    t = Table.scratch(spark, [(1, "o_custkey", "long", True), (2, "o_totalprice", "double", False)])
+    fields = [{"source-id": 1, "transform": "identity", "direction": "asc", "null-order": "nulls-first"}, {"source-id": 2, "transform": "identity", "direction": "desc", "null-order": "nulls-last"}]
+    t.commit([{"action": "add-sort-order", "sort-order": {"fields": fields}}, {"action": "set-default-sort-order", "sort-order-id": -1}])
+    t.append(_table(spark, sf, "orders").select("o_custkey", "o_totalprice"))
+    rows = t._rows(t.metadata())
+    odd = T.unsorted(rows.withColumn("down", -F.col("o_totalprice")), "_file", "_pos", "o_custkey", "down")
+    return odd.agg(F.count("*").alias("unsorted")).withColumn("rows", rows.agg(F.count("*")).scalar())

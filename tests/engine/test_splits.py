@@ -112,3 +112,14 @@ def test_avro_of_nested_records_by_field_ids():
     for cut in (10, len(data) // 2, len(data) - 3):
         with pytest.raises((avro.Broken, Exception)):
             list(avro.records(data[:cut]))
+
+
+def test_signed_cursors():
+    from skein.operators.cursor import Cursor, plan_identity
+
+    plan = {"a": 1}
+    c = Cursor(plan_identity(plan), "s", ordinal=5)
+    assert Cursor.parse(c.token(b"key"), plan, b"key") == c == Cursor.parse(c.token(), plan)
+    for token, secret in ((c.token(), b"key"), (c.token(b"other"), b"key"), ("", b"key"), ("!", None)):
+        with pytest.raises(Refused):
+            Cursor.parse(token, plan, secret)
