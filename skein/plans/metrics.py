@@ -80,3 +80,50 @@ def _(spark, sf):
     at = scratch(spark, "watch")
     J.watch(ops, b"0000001", lambda batch, _: batch.write.mode("append").parquet(at)).awaitTermination()
     return spark.read.schema(ops.schema).parquet(at).select("slot", F.col("key").cast("string").alias("key"))
+
+
+def _operations(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("slot"), F.lpad(F.col("user_id").cast("string"), 8, "0").cast("binary").alias("key"))
+
+
+@query("ss_watches", "SELECT CASE WHEN user_id < 100 THEN 'low' ELSE 'high' END AS grp, count(*) AS rows, max(event_id) AS last FROM events WHERE user_id < 200 AND (user_id < 100 OR event_id % 2 = 0) GROUP BY 1")
+def _(spark, sf):
+    """Two groups watch their prefixes; one unsubscribes after the first half of the journal has come."""
+    ops, at = _operations(spark, sf), scratch(spark, "journal")
+    out, checkpoint = scratch(spark, "watched"), scratch(spark, "offsets")
+    keep = lambda group: lambda batch, _: batch.select(F.lit(group).alias("grp"), "slot").write.mode("append").parquet(out)
+    ops.filter("slot % 2 = 0").write.parquet(at)
+    watches = J.Watches(J.source(spark, at, ops.schema))
+    watches.subscribe("low", b"000000", keep("low"))
+    watches.subscribe("high", b"000001", keep("high"))
+    watches.start(checkpoint).awaitTermination()
+    watches.unsubscribe("high", b"000001")
+    ops.filter("slot % 2 <> 0").write.mode("append").parquet(at)
+    watches.start(checkpoint).awaitTermination()
+    return spark.read.schema("grp string, slot long").parquet(out).groupBy("grp").agg(F.count("*").alias("rows"), F.max("slot").alias("last"))
+
+
+@query("ss_replay", "SELECT event_id AS slot, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key FROM events")
+def _(spark, sf):
+    """A journal read in three runs from one checkpoint, the second without anything new: each operation once."""
+    ops, at = _operations(spark, sf), scratch(spark, "journal")
+    out, checkpoint = scratch(spark, "replayed"), scratch(spark, "offsets")
+    for rule in ("slot % 3 = 0", None, "slot % 3 <> 0"):
+        if rule is not None:
+            ops.filter(rule).write.mode("append").parquet(at)
+        J.appended(J.source(spark, at, ops.schema, files_per_trigger=1), out, checkpoint)
+    return spark.read.schema(ops.schema).parquet(out).select("slot", F.col("key").cast("string").alias("key"))
+
+
+@query("ss_chunks", "SELECT event_id AS slot FROM events WHERE event_id % 3 < 2")
+def _(spark, sf):
+    """A view of a stream of chunks, captured before the last one came."""
+    from skein.operators.catalog import Files
+
+    ops = _operations(spark, sf)
+    chunks = J.Chunks(Files(spark, scratch(spark, "chunks")), ops.schema)
+    for k in range(2):
+        chunks.append(ops.filter(F.col("slot") % 3 == k))
+    chunks.checkpoint("two", chunks.capture())
+    chunks.append(ops.filter("slot % 3 = 2"))
+    return chunks.open(chunks.at("two")).select("slot")

@@ -123,3 +123,21 @@ def test_signed_cursors():
     for token, secret in ((c.token(), b"key"), (c.token(b"other"), b"key"), ("", b"key"), ("!", None)):
         with pytest.raises(Refused):
             Cursor.parse(token, plan, secret)
+
+
+def test_a_hole_in_the_journal_is_an_error_frame(spark, tmp_path):
+    from skein.streaming import journal as J
+
+    at = f"file://{tmp_path}/journal"
+    ops = spark.range(10, 20).select(F.col("id").alias("slot"), F.lit("k").cast("binary").alias("key"))
+    ops.write.parquet(at)
+    seen, frames = [], []
+    w = J.Watches(J.source(spark, at, ops.schema), expected=5)
+    w.subscribe("g", b"k", lambda batch, _: seen.append(batch.count()), lambda *slots: frames.append(slots))
+    w.subscribe("g", b"x", lambda batch, _: seen.append(-batch.count()))
+    w.start(f"file://{tmp_path}/offsets").awaitTermination()
+    assert (seen, frames, w.expected) == ([10, 0], [(5, 10)], 20)
+    assert w.unsubscribe("g", b"x") and not w.unsubscribe("g", b"x")
+    ops.select(F.col("slot") + 10, "key").toDF("slot", "key").write.mode("append").parquet(at)
+    w.start(f"file://{tmp_path}/offsets").awaitTermination()
+    assert (seen, frames, w.expected) == ([10, 0, 10], [(5, 10)], 30)
