@@ -313,62 +313,61 @@ def _similar(found: DataFrame, similarity: float) -> DataFrame:
     return found.filter(F.col("similarity") >= similarity - 1e-9).select("a", "b")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """(key, n) of the keys whose rows have two labels or more."""
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "n")
-
-
 def _met_by_lists(entries: DataFrame, contents: DataFrame, labels: DataFrame | None, similarity: float, small: int) -> DataFrame | None:
     """The labels after all similar pairs of different labels that share a list are linked."""
     k = similarity / (1 - similarity)
     x, y = F.col("x"), F.col("y")
     near = ((1 + 2 * k) * F.least(x["reach"], y["reach"]) >= x["measure"] + y["measure"] - x["total"] - 1e-6) & (bound(x["own"], y["own"]) >= similarity - 1e-9)
     facts = F.struct("reach", "measure", "total", "own")
-    for led in (True, False):
-        named = _labelled(entries, labels, "named")
-        sides = F.max(F.col("side").bitwiseAND(SHORT)).alias("short"), F.max(F.col("side").bitwiseAND(FULL)).alias("full")
-        stats = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("measure", "node", "label", facts.alias("facts"))).alias("lead"), *sides)
-        stats = spool(stats.filter(f"l0 <> l1 AND short > 0 AND full > 0 AND ({'true' if not led else f'n > {small}'})").select("key", "lead"), "stats")
-        tagged = spool(named.join(stats, "key"), "tagged")
-        if led:  # the node with the least differences, which may be the original of a group of its own
-            pairs = tagged.filter("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.facts").alias("x"), facts.alias("y")).filter(near).select("a", "b")
-        else:
-            one = tagged.filter(F.col("side").bitwiseAND(SHORT) > 0).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("side").alias("s"), facts.alias("x"))
-            two = tagged.filter(F.col("side").bitwiseAND(FULL) > 0).select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("side").alias("t"), facts.alias("y"))
-            once = ~((F.col("s") == SHORT | FULL) & (F.col("t") == SHORT | FULL) & (F.col("a") > F.col("b")))
-            pairs = one.join(two, "key").filter((F.col("la") != F.col("lb")) & once & near).select("a", "b")
-        found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), contents)
-        labels = _relabelled(labels, _similar(found, similarity))
-        drop(named, stats, tagged, found)
+    named = _labelled(entries, labels, "named")
+    sides = F.max(F.col("side").bitwiseAND(SHORT)).alias("short"), F.max(F.col("side").bitwiseAND(FULL)).alias("full")
+    stats = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("measure", "node", "label", facts.alias("facts"))).alias("lead"), *sides)
+    stats = spool(stats.filter("l0 <> l1 AND short > 0 AND full > 0").select("key", "lead", "n"), "stats")
+    tagged = spool(named.join(stats, "key"), "tagged")
+    drop(named, stats)
+    # the node with the least differences, which may be the original of a group of its own, meets a long list's others first
+    led = tagged.filter((F.col("n") > small) & (F.col("label") != F.col("lead.label"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.facts").alias("x"), facts.alias("y")).filter(near)
+    found = _verified(_pair(led).distinct(), contents)
+    again = _relabelled(labels, _similar(found, similarity))
+    drop(found)
+    rows = tagged if again is labels else _labelled(tagged.drop("label"), again, "named")
+    one = rows.filter(F.col("side").bitwiseAND(SHORT) > 0).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("side").alias("s"), facts.alias("x"))
+    two = rows.filter(F.col("side").bitwiseAND(FULL) > 0).select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("side").alias("t"), facts.alias("y"))
+    once = ~((F.col("s") == SHORT | FULL) & (F.col("t") == SHORT | FULL) & (F.col("a") > F.col("b")))
+    found = _verified(_pair(one.join(two, "key").filter((F.col("la") != F.col("lb")) & once & near)).distinct(), contents)
+    labels = _relabelled(again, _similar(found, similarity))
+    drop(found, tagged, *([] if rows is tagged else [rows]))
     return labels
 
 
+def _pair(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, small: int) -> DataFrame | None:
-    """(node, label) of the nodes with links among those that share a bucket (key, node); None without any link."""
-    sizes = spool(buckets.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    tagged = spool(buckets.join(sizes, "key"), "tagged")
-    few = tagged.filter(F.col("n") <= small)
+    """(node, label) of the nodes with links among those that share a bucket (key, node, n); None without any link."""
+    few = buckets.filter(F.col("n") <= small)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
     found = _verified(pairs, contents)
     labels = _relabelled(None, _similar(found, similarity))
-    drop(sizes, found)
-    large = _labelled(tagged.filter(F.col("n") > small).select("key", "node"), labels, "large")
-    mixed = spool(_mixed(large).select("key"), "mixed")
-    drop(tagged)
-    if mixed.isEmpty():
-        drop(large, mixed)
+    drop(found)
+    large = _labelled(buckets.filter(F.col("n") > small).select("key", "node"), labels, "large")
+    degree = spool(large.groupBy("node").agg(F.count("*").alias("degree")), "degree")
+    leads = large.join(degree, "node").groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct((-F.col("degree")).alias("order"), "node")).alias("lead"))
+    leads = spool(leads.filter("l0 <> l1").select("key", F.col("lead.node").alias("a")), "leads")
+    drop(degree)
+    if leads.isEmpty():
+        drop(large, leads)
         return labels
-    star = spool(large.join(mixed, "key"), "star")
-    drop(large, mixed)
-    degree = spool(star.groupBy("node").agg(F.count("*").alias("degree")), "degree")
-    leads = spool(star.join(degree, "node").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("order"), "node")).alias("lead")).select("key", "lead.node").withColumnRenamed("node", "a"), "leads")
-    pairs = spool(star.join(leads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "led")
-    some = spool(contents.join(degree.select("node"), "node", "left_semi"), "some")
+    pairs = spool(large.join(leads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "led")
+    drop(large, leads)
+    there = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    some = spool(contents.join(there, "node", "left_semi"), "some")
     compared = _compared(pairs, some, similarity)
-    drop(star, degree, leads, pairs)
+    drop(pairs)
     labels = _relabelled(labels, _similar(compared, similarity))
-    groups = _labelled(compared.select(F.col("a").alias("key"), F.col("b").alias("node")).union(compared.select("a", "a").distinct()), labels, "groups")
-    mixed = spool(_mixed(groups).select(F.col("key").alias("a")), "mixed")
+    groups = _labelled(compared.select("a", F.col("b").alias("node")).union(compared.select("a", F.col("a").alias("node")).distinct()), labels, "groups")
+    mixed = spool(groups.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("a"), "mixed")
     fields = F.explode(F.arrays_zip("keys", "reach", "sides")).alias("list")
     entries = compared.join(mixed, "a").select("a", F.col("b").alias("node"), "measure", "own", "total", fields)
     entries = spool(entries.select(F.xxhash64("a", "list.keys").alias("key"), "node", F.col("list.reach").alias("reach"), F.col("list.sides").cast("int").alias("side"), "measure", "own", "total"), "entries")
@@ -387,9 +386,8 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     signed = spool(_signed(docs, words, bands, rows), "signed")
     entries = signed.select("node", F.explode("bands").alias("key")).distinct()
     entries = spool(entries, "entries")
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    crowded = spool(crowded, "crowded")
-    buckets = spool(entries.join(crowded, "key").select("key", "node"), "buckets")
+    crowded = spool(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    buckets = spool(entries.join(crowded, "key").select("key", "node", "n"), "buckets")
     own = spool(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("least")), "nodes")
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("d")) & (docs.h == F.col("g"))).select("node", "text")
