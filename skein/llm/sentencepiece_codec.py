@@ -74,7 +74,7 @@ def read_model(data: bytes) -> dict:
 class Codec:
     """Encodes and decodes with one model; caches are bounded."""
 
-    WORDS, PAIRS, LONGEST = 240_000, 400_000, 200
+    WORDS, PAIRS, LONGEST = 160_000, 300_000, 200
 
     def __init__(self, model: dict):
         import ahocorasick
@@ -100,7 +100,6 @@ class Codec:
         self.tokens = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}+" if line else "")).findall
         self.prefix: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.texts: dict[str, str] = {}
         self.words = _Words(self)
 
     def normal(self, text: str) -> str:
@@ -248,16 +247,18 @@ class Codec:
         return text[1:] if self.model["dummy_prefix"] and first[0][:1] == SPACE and first[2] == NORMAL else text
 
     def round_trip(self, text: str) -> tuple[str, int, str]:
-        """Comma-joined ids, their number and the decoded text; each part's ids and text are kept for its next use."""
-        parts = self.parts(self.normal(text))
+        """Comma-joined ids, their number and the decoded text; each part's ids are kept for its next use."""
+        normal = self.normal(text)
+        parts = self.parts(normal)
         if not parts:
             return "", 0, ""
         if self.model["dummy_prefix"]:
-            ids = ",".join(map(self.words.__getitem__, parts))
+            got = [*map(self.words.__getitem__, parts)]
             try:
-                text = "".join(map(self.texts.__getitem__, parts))
-            except KeyError:  # some part is long, or the bound was met on the way
-                text = "".join([self.pieces_text([*map(int, self.words[p].split(","))]) for p in parts])
+                ids, text = ",".join(got), normal.replace(SPACE, " ")
+            except TypeError:  # some part decodes to another text than its own
+                ids = ",".join([g if isinstance(g, str) else g[0] for g in got])
+                text = "".join([p.replace(SPACE, " ") if isinstance(g, str) else g[1] for p, g in zip(parts, got, strict=True)])
             return ids, ids.count(",") + 1, text[1:] if text[:1] == " " else text
         out = [i for p in parts for i in self.encode_part(p)]
         return ",".join(map(str, out)), len(out), self.decode(out)
@@ -281,29 +282,29 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Words(dict):
-    """part -> comma-joined ids, and beside it part -> decoded text; bounded, and long parts are not kept."""
+    """part -> comma-joined ids, or (ids, decoded text) where that text is not the part itself; bounded, and long parts are
+    not kept."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.older: tuple[dict, dict] = {}, {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
-    def __missing__(self, part: str) -> str:
+    def __missing__(self, part: str) -> str | tuple[str, str]:
         c = self.codec
-        if (ids := self.older[0].get(part)) is not None:
-            text = self.older[1][part]
-        elif 2 < len(part) <= c.LONGEST and part[-2:] not in c.joined and SPACE * 2 not in part:  # a mark after a word
-            ids = f"{self[part[:-1]]},{self[part[-1]]}"
-            text = c.texts[part[:-1]] + c.texts[part[-1]] if part[:-1] in c.texts and part[-1] in c.texts else None
-        else:
-            got = c.encode_part(part)
-            ids, text = ",".join(map(str, got)), c.pieces_text(got)
-        if len(part) <= c.LONGEST and text is not None:
+        if (got := self.older.pop(part, None)) is None:
+            if 2 < len(part) <= c.LONGEST and part[-2:] not in c.joined and SPACE * 2 not in part:  # a mark after a word
+                two = [(x, p.replace(SPACE, " ")) if isinstance(x := self[p], str) else x for p in (part[:-1], part[-1])]
+                ids, text = f"{two[0][0]},{two[1][0]}", two[0][1] + two[1][1]
+            else:
+                pieces = c.encode_part(part)
+                ids, text = ",".join(map(str, pieces)), c.pieces_text(pieces)
+            got = ids if text == part.replace(SPACE, " ") else (ids, text)
+        if len(part) <= c.LONGEST:
             if len(self) >= c.WORDS:  # what is still in use comes back from the older half
-                self.older = dict(self), c.texts.copy()
+                self.older = dict(self)
                 self.clear()
-                c.texts.clear()
-            self[part], c.texts[part] = ids, text
-        return ids
+            self[part] = got
+        return got
 
 
 _CODECS: dict[str, Codec] = {}

@@ -48,6 +48,35 @@ def test_bounded_caches(both):
         S.Codec.WORDS, S.Codec.PAIRS = was
 
 
+def test_full_caches_are_small(both):
+    """What a part takes, times the bounds: a worker keeps less than 75 MB."""
+    import tracemalloc
+
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinèé") for _ in range(r.randint(4, 12))) for _ in range(6000)]
+    codec = S.Codec(both[0].model)
+    n = len(words)
+    tracemalloc.start()
+    try:
+        for k in range(0, n, 100):
+            codec.round_trip(" ".join(words[k : k + 100]))
+        used = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert n <= len(codec.words)
+    assert used / len(codec.words) * 2 * S.Codec.WORDS < 75e6
+
+
+def test_parts_that_decode_to_other_text(both):
+    """Without byte pieces an unknown character's text is another one."""
+    model = both[0].model
+    none = S.Codec(model | {"pieces": [(p, s, S.UNUSED if t == S.BYTE else t) for p, s, t in model["pieces"]]})
+    long = "the" * 90 + "日"
+    for t in ["of 日本 the", "日", f"a {long} b", "𝄞 and the\n日\n", "x  日  y"] * 2:
+        ids = none.encode(t)
+        assert none.round_trip(t) == (",".join(map(str, ids)), len(ids), none.decode(ids))
+
+
 def test_tables(spark, both):
     library = both[1]
     df = H.docs(spark)
