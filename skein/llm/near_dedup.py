@@ -46,6 +46,9 @@ SMALL = 8
 #: Counters of shingles, a byte each, that go to every worker: a fixed size. Where they are too few, the lists of
 #: differences are longer, and as exact.
 SLOTS = 1 << 23
+#: Bits, 64 in a row, that go to every worker and tell which texts cannot be wanted: a fixed size. Where they are too few,
+#: more texts come to a join that is exact.
+BITS = 1 << 24
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,6 +380,16 @@ def _linked(buckets: DataFrame, contents: DataFrame, similarity: float, small: i
     return labels
 
 
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (node, d, g), which are doc_id and h; other texts are left where they are, but for the few
+    that meet another's bit."""
+    place = wanted.select(F.pmod(F.xxhash64("d", "g"), F.lit(BITS)).alias("p"))
+    bits = place.groupBy(F.shiftright("p", 6).alias("row")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits"))
+    here = docs.withColumn("p", F.pmod(F.xxhash64("doc_id", "h"), F.lit(BITS)))
+    here = here.join(F.broadcast(bits), F.shiftright("p", 6) == F.col("row")).filter(F.expr("bits & shiftleft(1L, CAST(p & 63 AS INT)) <> 0"))
+    return here.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("node", "text")
+
+
 def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """(doc_id, h, class_id, kept) for every row of docs: h is xxhash64(text), class_id the class's least doc_id, and
     kept marks the class's first (doc_id, h)."""
@@ -388,17 +401,21 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     entries = spool(entries, "entries")
     crowded = spool(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
     buckets = spool(entries.join(crowded, "key").select("key", "node", "n"), "buckets")
+    drop(entries, crowded)
     own = spool(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("least")), "nodes")
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("d")) & (docs.h == F.col("g"))).select("node", "text")
+    wanted = spool(wanted, "wanted")
+    texts = _wanted_texts(docs, wanted)
     contents = spool(_contents(texts.dropDuplicates(["node"]) if _repeats(signed) else texts, words), "contents")
+    drop(wanted)
     labels = _linked(buckets, contents, similarity, small)
+    drop(buckets, contents)
     named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else own.withColumn("label", F.col("node"))
     named = spool(named, "classes")
     heads = spool(named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("first").alias("head")), "heads")
     members = spool(named.join(heads, "label").select("node", "class_id", "head"), "members")
     out = signed.select("doc_id", "h", "node").join(members, "node", "left")
-    drop(entries, crowded, buckets, contents, own, named, heads)
+    drop(own, named, heads)
     alone = F.col("class_id").isNull() & F.col("head").isNull()
     kept = alone | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.h") == F.col("h")))
     return out.select("doc_id", "h", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))

@@ -71,6 +71,32 @@ def test_against_plain(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_texts_without_candidates_are_not_shuffled(spark):
+    r = np.random.default_rng(11)
+    texts = [" ".join(f"{x:x}" for x in r.integers(0, 2**40, 3000)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:4]] + texts[:2]
+    df = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written():
+        sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = written()
+        got = N.classes(df).collect()
+        assert written() - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    same = {}
+    for x in got:
+        same.setdefault(x.class_id, []).append(x.doc_id)
+    assert sorted(map(len, same.values()))[-4:] == [2, 2, 3, 3] and len(same) == 300
+
+
 def test_odd_rows(spark):
     df = H.docs(spark)
     assert N.classes(df).count() == df.count()
