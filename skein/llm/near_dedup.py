@@ -397,11 +397,12 @@ def classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     arrow_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     signed = spool(_signed(docs, words, bands, rows), "signed")
-    entries = signed.select("node", F.explode("bands").alias("key")).distinct()
-    entries = spool(entries, "entries")
-    crowded = spool(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
-    buckets = spool(entries.join(crowded, "key").select("key", "node", "n"), "buckets")
-    drop(entries, crowded)
+    once = signed.filter("node IS NOT NULL").select("node", "bands").dropDuplicates(["node"])  # a node's copies have its bands
+    entries = spool(once.select("node", F.explode("bands").alias("key")), "entries")
+    dealt = entries.repartition("key")  # one exchange, for the counts and for the join with them
+    crowded = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    buckets = spool(dealt.join(crowded, "key").select("key", "node", "n"), "buckets")
+    drop(entries)
     own = spool(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("least")), "nodes")
     wanted = own.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"))
     wanted = spool(wanted, "wanted")
