@@ -13,7 +13,8 @@ Exact base counts of all words, of which there is no bound, are never broadcast:
 neighbouring ids, each chunk's distinct words are counted where they are read, packed by hash bucket, summed bucket by
 bucket, and the sums go back to the chunks they came from. So a hot word is one entry per chunk. Bigrams travel alike: a
 chunk's distinct ones are sent to their buckets as probes, with their counts in training texts, of which the bucket makes
-its part of the filter; the levels found go back, a byte each, in the order of the bigrams. Nothing is broadcast.
+its part of the filter; the levels found go back, a byte each. Keys travel once, rising, as differences; what goes back is
+in their order and without them, since the chunk has them itself. Nothing is broadcast.
 
 Defined results: a null text is an empty one and has one token, its end; rows are scored one by one, repeated rows
 alike; null ids are training rows (crc32 of no text is taken as 0); an empty table gives an empty table; other columns are
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,71 +73,33 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts, new)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    kind = np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64
-    return keys.astype(np.uint64).tobytes() + counts.astype(kind).tobytes()
+def _planes(x: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Each slice of whole numbers as the lowest byte of each, then the next of each, up to the highest that any has: where most
+    are small, the later ones are runs of zeros, which files and shuffles compress. No slice is empty."""
+    wide = np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)
+    most = np.maximum.reduceat(x, cut[:-1]).tolist() if len(x) else []
+    return [wide[lo:hi, : max(1, -(-m.bit_length() // 8))].T.tobytes() for lo, hi, m in zip(cut[:-1].tolist(), cut[1:].tolist(), most, strict=True)]
 
 
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32 if len(blob) == 12 * n else np.uint64, n, 8 * n).astype(np.int64)
+def _numbers(blobs: list[bytes], cut: np.ndarray) -> np.ndarray:
+    wide = np.zeros((int(cut[-1]), 8), np.uint8)
+    for blob, lo, hi in zip(blobs, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        wide[lo:hi, : len(blob) // (hi - lo)] = np.frombuffer(blob, np.uint8).reshape(-1, hi - lo).T
+    return wide.view(np.uint64).ravel()
 
 
-def _gather(rows: pa.Table | pa.RecordBatch) -> tuple[list[int], np.ndarray, np.ndarray]:
-    got = [_unpack(b.as_py(), n.as_py()) for b, n in zip(rows.column("blob"), rows.column("n"), strict=True)]
-    if not got:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return [len(g[0]) for g in got], np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+def _gaps(keys: np.ndarray, cut: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys that rise in each slice, as differences of their quotients by the number of buckets; the remainder is the bucket."""
+    of = keys // np.uint64(buckets)
+    out = np.diff(of, prepend=np.uint64(0))
+    out[cut[:-1]] = of[cut[:-1]]
+    return out
 
 
-def _counted(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, n, tokens, blob): the distinct words of a chunk with their counts in training texts."""
-
-    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, chunk, train = (np.concatenate([x[k] for x in held]) for k in range(3))
-        out = [[], [], [], [], []]
-        for c in np.unique(chunk):
-            mine = chunk == c
-            keys, counts = _summed(h[mine], train[mine].astype(np.int64))
-            bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts, bucket = keys[order], counts[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                for column, x in zip(out, (int(bucket[lo]), int(c), hi - lo, int(counts[lo:hi].sum()), _pack(keys[lo:hi], counts[lo:hi])), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.binary())], ["bucket", "chunk", "n", "tokens", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            chunk, out = b.column("chunk").to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
-            for lo, _, buf, off in blocks(b.column("text")):
-                h, row = tokens(buf, off)
-                held.append((h, chunk[row + lo], ~out[row + lo]))
-                size += len(h)
-            if size >= HELD:
-                yield from packed(held)
-                held, size = [], 0
-        if held:
-            yield from packed(held)
-
-    return docs.mapInArrow(run, "bucket int, chunk long, n long, tokens long, blob binary")
-
-
-def _totals(counted: DataFrame) -> DataFrame:
-    """For each chunk its words with their counts in all training texts (kind 0); for each bucket the number of words
-    met in training (kind 1)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        sizes, keys, counts = _gather(rows)
-        known, total = _summed(keys, counts)
-        of = total[np.searchsorted(known, keys)]
-        cut = np.r_[0, np.cumsum(sizes)].astype(int)
-        chunks = [*rows.column("chunk").to_pylist(), 0]
-        blobs = [_pack(keys[lo:hi], of[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)] + [b""]
-        return pa.table({"kind": pa.array([0] * len(sizes) + [1], pa.int32()), "chunk": pa.array(chunks, pa.int64()), "n": pa.array([*sizes, 0], pa.int64()), "words": pa.array([0] * len(sizes) + [int((total > 0).sum())], pa.int64()), "blob": pa.array(blobs, pa.binary())})
-
-    return counted.groupBy("bucket").applyInArrow(run, "kind int, chunk long, n long, words long, blob binary")
+def _keys(gaps: np.ndarray, cut: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    up = np.cumsum(gaps, dtype=np.uint64)
+    up -= np.repeat(np.r_[np.uint64(0), up][cut[:-1]], np.diff(cut))
+    return up * np.uint64(buckets) + np.uint64(bucket)
 
 
 def _bigrams(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -145,43 +109,32 @@ def _bigrams(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(16)
 
 
-def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of distinct, rising codes by bucket, the buckets that there are, and where each begins, with the end."""
-    bucket = (codes % np.uint64(buckets)).astype(np.int64)
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct, rising keys by bucket, the buckets that there are, and where each begins, with the end."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(codes) else np.zeros(1, int)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, int)
     return order, bucket[cut[:-1]], cut
 
 
-def _packed_bigrams(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    kind = np.uint8 if counts.max(initial=0) < 2**8 else np.uint64
-    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + counts.astype(kind).tobytes()
-
-
-def _unpacked_bigrams(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-    return wide.view(np.uint64).ravel(), np.frombuffer(blob, np.uint8 if len(blob) == 7 * n else np.uint64, n, 6 * n).astype(np.int64)
-
-
-def _probes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, n, blob): the distinct bigrams of a chunk with their counts in training texts."""
+def _counted(docs: DataFrame, buckets: int, *, bigrams: bool = False) -> DataFrame:
+    """(bucket, chunk, n, tokens, keys, counts): the distinct words or bigrams of a chunk with their counts in training texts."""
 
     def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        code, chunk, train = (np.concatenate([x[k] for x in held]) for k in range(3))
+        key, chunk, train = (np.concatenate([x[k] for x in held]) for k in range(3))
         order = np.argsort(chunk, kind="stable")
-        code, chunk, train = code[order], chunk[order], train[order]
-        out = [[], [], [], []]
+        key, chunk, train = key[order], chunk[order], train[order]
+        out = [[], [], [], [], [], []]
         ends = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
         for first, last in zip(ends[:-1], ends[1:], strict=True):
-            codes, counts = _summed(code[first:last], train[first:last].astype(np.int64))
-            order, bucket, cut = _dealt(codes, buckets)
-            codes, counts = codes[order], counts[order]
-            for b, lo, hi in zip(bucket, cut[:-1], cut[1:], strict=True):
-                for column, x in zip(out, (int(b), int(chunk[first]), hi - lo, _packed_bigrams(codes[lo:hi], counts[lo:hi])), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["bucket", "chunk", "n", "blob"])
+            keys, counts = _summed(key[first:last], train[first:last].astype(np.int64))
+            order, bucket, cut = _dealt(keys, buckets)
+            keys, counts = keys[order], counts[order]
+            mine = (bucket.tolist(), [int(chunk[first])] * len(bucket), np.diff(cut).tolist(), np.add.reduceat(counts, cut[:-1]).tolist(), _planes(_gaps(keys, cut, buckets), cut), _planes(counts, cut))
+            for column, x in zip(out, mine, strict=True):
+                column.extend(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:4]), *(pa.array(x, pa.binary()) for x in out[4:])], ["bucket", "chunk", "n", "tokens", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -189,15 +142,56 @@ def _probes(docs: DataFrame, buckets: int) -> DataFrame:
             chunk, out = b.column("chunk").to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
             for lo, _, buf, off in blocks(b.column("text")):
                 h, row = tokens(buf, off)
-                held.append((_bigrams(h, row), chunk[row + lo], ~out[row + lo]))
+                held.append((_bigrams(h, row) if bigrams else h, chunk[row + lo], ~out[row + lo]))
                 size += len(h)
             if size >= HELD:
                 yield from packed(held)
                 held, size = [], 0
-        if size:
+        if held:
             yield from packed(held)
 
-    return docs.mapInArrow(run, "bucket int, chunk long, n long, blob binary")
+    return docs.mapInArrow(run, "bucket int, chunk long, n long, tokens long, keys binary, counts binary")
+
+
+class Bucket:
+    """The rows of a bucket: its distinct keys, rising, with the sums of their counts."""
+
+    def __init__(self, rows: pa.Table, buckets: int):
+        self.number, self.chunks = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
+        cut = np.r_[0, np.cumsum(rows.column("n").to_numpy())]
+        keys = _keys(_numbers(rows.column("keys").to_pylist(), cut), cut, self.number, buckets)
+        self.parts = np.split(keys, cut[1:-1])
+        self.keys, self.counts = _summed(keys, _numbers(rows.column("counts").to_pylist(), cut).astype(np.int64))
+
+    def back(self, values: np.ndarray) -> dict[str, pa.Array]:
+        """(chunk, bucket, blob): the values of each chunk's keys, in their order, without the keys, which the chunk has itself."""
+        of = {}
+        for chunk, keys in zip(self.chunks, self.parts, strict=True):
+            of.setdefault(chunk, []).append(keys)
+        mine = [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in of.values()]
+        blobs = _planes(values[np.searchsorted(self.keys, np.concatenate(mine))], np.r_[0, np.cumsum([len(x) for x in mine])])
+        return {"chunk": pa.array(list(of), pa.int64()), "bucket": pa.array([self.number] * len(of), pa.int32()), "blob": pa.array(blobs, pa.binary())}
+
+
+def _returned(rows: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The values that came back for a chunk's distinct, rising keys."""
+    found = dict(zip(rows.column("bucket").to_pylist(), rows.column("blob").to_pylist(), strict=True))
+    order, bucket, cut = _dealt(keys, buckets)
+    out = np.zeros(len(keys), np.int64)
+    out[order] = _numbers([found[b] for b in bucket.tolist()], cut)
+    return out
+
+
+def _totals(counted: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, blob, words): the counts in all training texts of a chunk's words in a bucket; one row of each bucket has
+    the number of its words that were met in training."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        b = Bucket(rows, buckets)
+        out = b.back(b.counts)
+        return pa.table(out | {"words": pa.array([int((b.counts > 0).sum())] + [0] * (len(out["chunk"]) - 1), pa.int64())})
+
+    return counted.drop("tokens").groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, words long")
 
 
 def _places(codes: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
@@ -232,22 +226,15 @@ def _filter(codes: np.ndarray, counts: np.ndarray, bits: int | None) -> Filter:
         block = block * 5 // 4
 
 
-def _levels(probes: DataFrame, bits: int | None) -> DataFrame:
-    """(chunk, bucket, n, blob): the filter's level, a byte, of each distinct bigram of a chunk in a bucket, in their order."""
+def _levels(counted: DataFrame, buckets: int, bits: int | None) -> DataFrame:
+    """(chunk, bucket, blob): the filter's levels of a chunk's bigrams in a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
-        got = [_unpacked_bigrams(b.as_py(), n.as_py()) for b, n in zip(rows.column("blob"), rows.column("n"), strict=True)]
-        codes, counts = _summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-        met = counts > 0
-        found = _filter(codes[met], counts[met], bits).levels(codes).astype(np.uint8)
-        of = {}
-        for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
-            of.setdefault(chunk, []).append(g[0])
-        mine = [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in of.values()]
-        blobs = [found[np.searchsorted(codes, x)].tobytes() for x in mine]
-        return pa.table({"chunk": pa.array(list(of), pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(of), pa.int32()), "n": pa.array([len(x) for x in mine], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        b = Bucket(rows, buckets)
+        met = b.counts > 0
+        return pa.table(b.back(_filter(b.keys[met], b.counts[met], bits).levels(b.keys)))
 
-    return probes.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n long, blob binary")
+    return counted.drop("tokens").groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary")
 
 
 def least_count(up: np.ndarray) -> np.ndarray:
@@ -292,28 +279,23 @@ def scores(docs: DataFrame, *, share: float = 0.0, bits: int | None = None) -> D
     buckets = max(16, -(-text_bytes(docs) // BUCKET_BYTES))
     counted = spool(_counted(docs, buckets), "counted")
     total = counted.agg(F.sum("tokens")).first()[0] or 0
-    totals = spool(_totals(counted), "totals")
+    totals = spool(_totals(counted, buckets), "totals")
     drop(counted)
     words = totals.agg(F.sum("words")).first()[0] or 0
-    levels = spool(_levels(_probes(docs, buckets), bits and -(-bits // buckets)), "levels")
+    levels = spool(_levels(_counted(docs, buckets, bigrams=True), buckets, bits and -(-bits // buckets)), "levels")
     bottom = np.log10(total + words + 1) if total + words else 0.0
     least = share * total
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = right.column("bucket").to_numpy()
-        _, known, counts = _gather(right.filter(pa.array(of < 0)))
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
         ids, held = left.column("doc_id").combine_chunks(), left.column("held_out").to_numpy()
         texts = [(len(off) - 1, *tokens(buf, off)) for _, _, buf, off in blocks(left.column("text").combine_chunks())]
         codes = [_bigrams(h, row) for _, h, row in texts]
-        distinct, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
-        order, bucket, cut = _dealt(distinct, buckets)
-        found = {b: x.as_py() for b, x in zip(of.tolist(), right.column("blob"), strict=True) if b >= 0}
-        up = np.zeros(len(distinct), np.int64)
-        up[order] = np.frombuffer(b"".join(found[int(b)] for b in bucket), np.uint8)
-        pairs = least_count(up)
+        none, of_pairs = np.zeros(0, np.uint64), right.column("bigrams")
+        known = np.unique(np.concatenate([none, *(h for _, h, _ in texts)]))
+        counts = _returned(right.filter(pc.invert(of_pairs)), known, buckets)
+        distinct, which = np.unique(np.concatenate([none, *codes]), return_inverse=True)
+        pairs = least_count(_returned(right.filter(of_pairs), distinct, buckets))
         out, at = [[], [], [], []], 0
         for (n, h, row), code in zip(texts, codes, strict=True):
             c = counts[np.searchsorted(known, h)]
@@ -330,5 +312,5 @@ def scores(docs: DataFrame, *, share: float = 0.0, bits: int | None = None) -> D
         n_tokens, n_known, base, full = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"doc_id": ids, "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
 
-    sums = totals.filter("kind = 0").select("chunk", F.lit(-1).alias("bucket"), "n", "blob").union(levels.select("chunk", "bucket", "n", "blob"))
+    sums = totals.select("chunk", "bucket", "blob", F.lit(False).alias("bigrams")).union(levels.select("chunk", "bucket", "blob", F.lit(True)))
     return docs.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

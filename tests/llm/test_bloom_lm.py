@@ -101,3 +101,38 @@ def test_probabilities_sum_to_one_at_most():
         base = r.dirichlet(np.ones(n + 3))  # more words than have been met after the context
         pairs = np.r_[B.least_count(B.level(counts)), np.zeros(3)]
         assert ((pairs + B.K * base) / (counts.sum() + B.K)).sum() <= 1 + 1e-12
+
+
+def test_packed_numbers_and_keys():
+    r = np.random.default_rng(15)
+    for x in ([0], [0, 0, 0], [1, 255, 256], [2**32 - 1, 2**32, 5], [2**64 - 1, 0, 1 << 63], r.integers(0, 9, 4000)):
+        x = np.array(x, np.uint64)
+        for cut in ([0, len(x)], range(len(x) + 1)):
+            cut = np.array(cut)
+            assert (B._numbers(B._planes(x, cut), cut) == x).all()
+    for n, buckets in ((0, 16), (1, 16), (5000, 16), (5000, 4999)):
+        keys = np.unique(np.r_[np.array([0, 2**64 - 1] if n else [], np.uint64), r.integers(0, 2**64, n, dtype=np.uint64)])
+        order, number, cut = B._dealt(keys, buckets)
+        gaps = B._numbers(B._planes(B._gaps(keys[order], cut, buckets), cut), cut)
+        back = [B._keys(gaps[lo:hi], np.array([0, hi - lo]), b, buckets) for b, lo, hi in zip(number, cut[:-1], cut[1:], strict=True)]
+        assert (np.sort(np.concatenate([np.zeros(0, np.uint64), *back])) == keys).all()
+    two = np.array([7, 23, 39, 7, 55], np.uint64)  # two rows of one bucket
+    cut = np.array([0, 3, 5])
+    assert (B._keys(B._gaps(two, cut, 16), cut, 7, 16) == two).all()
+
+
+def test_shuffled_bytes(spark):
+    r = np.random.default_rng(16)
+    rows = [(i, " ".join(f"{x:x}" for x in r.integers(0, 1 << 20, 300))) for i in range(4096)]
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        seen = sc.statusStore().executorList(True)
+        return sum(seen.apply(k).totalShuffleWrite() for k in range(seen.size()))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    before = written()
+    B.scores(df).write.format("noop").mode("overwrite").save()
+    moved, size = written() - before, sum(len(t) for _, t in rows)
+    assert moved < 4 * size  # 3.1; with the words sent back and whole keys it was 5.3
