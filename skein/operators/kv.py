@@ -53,15 +53,15 @@ def seek(items: DataFrame, probes: DataFrame) -> DataFrame:
     placed = sorted_ranges(every, "key")
     own = F.when(~F.col("asked"), F.col("key"))
     edges = placed.groupBy("_p").agg(F.min(own).alias("first"), F.max(own).alias("last"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_p")  # a row for each range
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # Frames grow at their end only, the way back too: one that shrinks is read anew for every row.
+    back, ranges = Window.unboundedPreceding, Window.partitionBy(F.lit(0))  # a row for each range
+    before, after = ranges.orderBy("_p").rowsBetween(back, -1), ranges.orderBy(F.desc("_p")).rowsBetween(back, -1)
     edges = F.broadcast(edges.select("_p", F.max("last").over(before).alias("down"), F.min("first").over(after).alias("up")))
-    w = Window.partitionBy("_p").orderBy("key")
-    back, ahead = Window.unboundedPreceding, Window.unboundedFollowing
+    up, down = Window.partitionBy("_p").orderBy("key"), Window.partitionBy("_p").orderBy(F.desc("key"))
     steps = placed.select("_p", "key", "asked", own.alias("own")).groupBy("_p", "key").agg(F.bool_or("asked").alias("asked"), F.min("own").alias("own"))
-    near = {"ceiling": F.min("own").over(w.rowsBetween(0, ahead)), "higher": F.min("own").over(w.rowsBetween(1, ahead)), "floor": F.max("own").over(w.rowsBetween(back, 0)), "lower": F.max("own").over(w.rowsBetween(back, -1))}
+    near = {"ceiling": F.min("own").over(down.rowsBetween(back, 0)), "higher": F.min("own").over(down.rowsBetween(back, -1)), "floor": F.max("own").over(up.rowsBetween(back, 0)), "lower": F.max("own").over(up.rowsBetween(back, -1))}
     found = steps.select("_p", "key", "asked", *(c.alias(n) for n, c in near.items())).filter("asked").join(edges, "_p")
-    return found.select(F.col("key").alias("probe"), *(F.coalesce(n, "up" if n in ("ceiling", "higher") else "down").alias(n) for n in near))
+    return found.select(F.col("key").alias("probe"), *(F.when(F.col("key").isNotNull(), F.coalesce(n, "up" if n in ("ceiling", "higher") else "down")).alias(n) for n in near))
 
 
 def get(items: DataFrame, keys: DataFrame) -> DataFrame:

@@ -41,6 +41,17 @@ def test_seek(spark):
     assert got == {b"a": (b"b", b"b", None, None), b"b": (b"b", b"d", b"b", None), b"c": (b"d", b"d", b"b", b"b"), b"g": (None, None, b"f", b"f")}
 
 
+def test_seek_of_many_probes(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("encode(lpad(id, 5, '0'), 'utf-8') AS key")
+    probes = spark.range(0, 3000, 2).selectExpr("encode(lpad(id, 5, '0'), 'utf-8') AS probe").union(spark.sql("SELECT CAST(NULL AS BINARY)"))
+    out = K.seek(keys, probes)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()  # such a frame takes the square of a range
+    got = {r.probe and int(r.probe): tuple(x and int(x) for x in tuple(r)[1:]) for r in out.collect()}
+    want = {p: (-(-p // 3) * 3, p // 3 * 3 + 3, p // 3 * 3, -(-p // 3) * 3 - 3) for p in range(0, 3000, 2)}
+    want = {p: tuple(x if 0 <= x < 3000 else None for x in v) for p, v in want.items()}
+    assert got == want | {None: (None,) * 4}
+
+
 def test_byte_page_and_gap(spark):
     items = spark.createDataFrame([(bytearray(b"a"), 10), (bytearray(b"b"), 5)], "key binary, n int")
     assert K.byte_page(items, F.col("n"), 9, 10).count() == 0 and K.byte_page(items, F.col("n"), 10, 10).count() == 1
