@@ -43,21 +43,47 @@ def position_deleted(rows: DataFrame, deletes: DataFrame, with_vector: DataFrame
     return rows.join(d, (F.col("file_path") == F.col("_f")) & (F.col("pos") == F.col("_p")) & F.col("partition").eqNullSafe(F.col("_q")) & (F.col("data_sequence") <= F.col("delete_sequence")), "left_anti")
 
 
-#: Positions of a block: ranges and positions meet by file and block.
-BLOCK = 1 << 16
+#: Positions of a block, as a power of two: ranges and positions meet by file and block.
+BITS = 16
+BLOCK = 1 << BITS
+
+
+def _block(pos: Column) -> Column:
+    return F.shiftright(pos, BITS)
 
 
 def _blocked(vectors: DataFrame) -> DataFrame:
     """(_f, _b, _from, _to): the ranges cut at blocks, a row for each block that they reach."""
-    first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}")
-    rows = vectors.filter("end > start").select(F.col("file_path").alias("_f"), "start", "end", F.explode(F.sequence(first, last)).alias("_b"))
+    blocks = F.sequence(_block(F.col("start")), _block(F.col("end") - 1))
+    rows = vectors.filter("end > start").select(F.col("file_path").alias("_f"), "start", "end", F.explode(blocks).alias("_b"))
     return rows.select("_f", "_b", F.greatest("start", F.col("_b") * BLOCK).alias("_from"), F.least("end", (F.col("_b") + 1) * BLOCK).alias("_to"))
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt in as many parts as the session's shuffles have: positions shrink so much on the way that parts put together by
+    their bytes would have millions of rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _covered(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """rows(file_path, pos, ...) with `_in`, whether a range of their file has the position, and `_again`, whether the row before
+    has the same one. Both sides are sorted together in
+    each block: a position is in a range if the greatest end of those that start before it is beyond it. So each row and
+    range is read once, and neither is paired with the other."""
+    cut = _blocked(vectors)
+    own = rows.select(*rows.columns, F.col("file_path").alias("_f"), _block(F.col("pos")).alias("_b"), F.col("pos").alias("_from"), F.lit(None).cast("long").alias("_to"), F.lit(True).alias("_row"))
+    ends = cut.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), "_f", "_b", "_from", "_to", F.lit(False).alias("_row"))
+    w = Window.partitionBy("_f", "_b").orderBy("_from", "_row")
+    reach = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, 0)) > F.col("_from")
+    again = F.lag("_row").over(w) & F.lag("_from").over(w).eqNullSafe(F.col("_from"))
+    met = _dealt(own.union(ends), "_f", "_b").withColumn("_in", F.col("_f").isNotNull() & F.coalesce(reach, F.lit(False))).withColumn("_again", F.coalesce(again, F.lit(False)))
+    return met.filter("_row").select(*rows.columns, "_in", "_again")
+
+
 def _within(rows: DataFrame, vectors: DataFrame, how: str) -> DataFrame:
     """rows(file_path, pos, ...) with or without the positions in their file's ranges: a join by file and block on sorted
     runs that do not overlap, so that a position meets the ranges of its block only."""
-    match = (F.col("file_path") == F.col("_f")) & (F.expr(f"pos div {BLOCK}") == F.col("_b")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
+    match = (F.col("file_path") == F.col("_f")) & (_block(F.col("pos")) == F.col("_b")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
     return rows.join(_blocked(vectors), match, how)
 
 
@@ -77,8 +103,7 @@ def equality_deleted(rows: DataFrame, deletes: DataFrame, columns: list[str]) ->
 
 def contains(probes: DataFrame, vectors: DataFrame) -> DataFrame:
     """probes(file_path, pos) with whether the file's vector has the position."""
-    rows = probes.select("file_path", "pos").distinct()
-    return _within(rows, vectors, "left_semi").withColumn("deleted", F.lit(True)).union(_within(rows, vectors, "left_anti").withColumn("deleted", F.lit(False)))
+    return _covered(probes.select("file_path", "pos"), vectors).filter("NOT _again").select("file_path", "pos", F.col("_in").alias("deleted"))
 
 
 def coalesced(positions: DataFrame) -> DataFrame:

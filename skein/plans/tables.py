@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import transforms as X
 from skein.operators import table as T
 from skein.registry import query
+from skein.sources.session import sorted_ranges
 
 #: lineitem as the rows of 8 data files: position within the file by order key and line.
 LINES = """
@@ -18,12 +19,22 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: The order of a file's rows, nulls last as in SQL.
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def _lines(spark, sf):
+    """A range sort by file and order, written once: a row's position is its place among its file's rows in its range, after
+    the file's rows in earlier ranges. No task has a whole file."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("file_path").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    df = _table(spark, sf, "lineitem").withColumn("file_path", F.concat(F.lit("f"), (F.col("l_orderkey") % 8).cast("string")))
-    return df.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("data_sequence", F.col("l_orderkey") % 8).withColumn("partition", F.col("l_returnflag"))
+    df = _table(spark, sf, "lineitem").select(*ORDER, "l_returnflag", F.concat(F.lit("f"), (F.col("l_orderkey") % 8).cast("string")).alias("file_path"))
+    placed = sorted_ranges(df, F.col("file_path").asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ORDER))
+    before = F.sum("n").over(Window.partitionBy("_f").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    parts = placed.groupBy(F.col("_p").alias("_q"), F.col("file_path").alias("_f")).agg(F.min("_i").alias("first"), F.count("*").alias("n"))
+    base = F.broadcast(parts.select("_q", "_f", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_base")))  # a row for each range and file
+    rows = placed.join(base, (F.col("_p") == F.col("_q")) & F.col("file_path").eqNullSafe(F.col("_f"))).withColumn("pos", F.col("_i") + F.col("_base"))
+    return rows.drop("_p", "_i", "_q", "_f", "_base").withColumn("data_sequence", F.col("l_orderkey") % 8).withColumn("partition", F.col("l_returnflag"))
 
 
 OUT = ["l_orderkey", "l_linenumber", "file_path", "pos"]

@@ -72,6 +72,16 @@ def test_vectors(spark):
     assert [(r.start, r.end) for r in T.coalesced(pos).collect()] == [(2**32 - 1, 2**32 + 1)]
 
 
+def test_vector_contains_without_pairs(spark):
+    ranges = vector(spark, [(3, 5), (4, 9), (T.BLOCK - 1, 3 * T.BLOCK + 1), (7, 7), (8, 2)])
+    probes = spark.createDataFrame([("f", p) for p in (2, 3, 8, 8, 9, T.BLOCK - 2, T.BLOCK - 1, 2 * T.BLOCK, 3 * T.BLOCK, 3 * T.BLOCK + 1)] + [("g", 3), (None, 3), ("f", None), ("f", None)], "file_path string, pos long")
+    out = T.contains(probes, ranges)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # a block's positions were paired with all its ranges
+    got = sorted(((r.file_path or "", -1 if r.pos is None else r.pos, r.deleted) for r in out.collect()))
+    yes = {3, 8, T.BLOCK - 1, 2 * T.BLOCK, 3 * T.BLOCK}
+    assert got == [("", 3, False)] + [("f", p, p in yes) for p in (-1, 2, 3, 8, 9, T.BLOCK - 2, T.BLOCK - 1, 2 * T.BLOCK, 3 * T.BLOCK, 3 * T.BLOCK + 1)] + [("g", 3, False)]
+
+
 def test_vector_blobs():
     r = np.random.default_rng(1)
     for p in (np.zeros(0, np.int64), np.array([0, 5, 2**32, 2**40 + 7]), r.integers(0, 200_000, 60_000), np.arange(70_000)):
