@@ -89,7 +89,7 @@ def _within(rows: DataFrame, vectors: DataFrame, how: str) -> DataFrame:
 
 def vector_deleted(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """rows without the positions of their file's deletion vector."""
-    return _within(rows, vectors, "left_anti")
+    return _covered(rows, vectors).filter("NOT _in").drop("_in", "_again")
 
 
 def equality_deleted(rows: DataFrame, deletes: DataFrame, columns: list[str]) -> DataFrame:

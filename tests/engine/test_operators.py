@@ -82,6 +82,13 @@ def test_vector_contains_without_pairs(spark):
     assert got == [("", 3, False)] + [("f", p, p in yes) for p in (-1, 2, 3, 8, 9, T.BLOCK - 2, T.BLOCK - 1, 2 * T.BLOCK, 3 * T.BLOCK, 3 * T.BLOCK + 1)] + [("g", 3, False)]
 
 
+def test_vector_deletes_without_pairs(spark):
+    rows = spark.createDataFrame([("f", p, f"{p}") for p in (0, 1, T.BLOCK, T.BLOCK, T.BLOCK + 5)] + [(None, 1, "n")], "file_path string, pos long, x string")
+    out = T.vector_deleted(rows, vector(spark, [(1, 2), (T.BLOCK + 2, T.BLOCK + 9)]))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == rows.columns
+    assert sorted(r.x for r in out.collect()) == ["0", f"{T.BLOCK}", f"{T.BLOCK}", "n"]
+
+
 def test_vector_blobs():
     r = np.random.default_rng(1)
     for p in (np.zeros(0, np.int64), np.array([0, 5, 2**32, 2**40 + 7]), r.integers(0, 200_000, 60_000), np.arange(70_000)):
