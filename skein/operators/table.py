@@ -80,13 +80,6 @@ def _covered(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.filter("_row").select(*rows.columns, "_in", "_again")
 
 
-def _within(rows: DataFrame, vectors: DataFrame, how: str) -> DataFrame:
-    """rows(file_path, pos, ...) with or without the positions in their file's ranges: a join by file and block on sorted
-    runs that do not overlap, so that a position meets the ranges of its block only."""
-    match = (F.col("file_path") == F.col("_f")) & (_block(F.col("pos")) == F.col("_b")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
-    return rows.join(_blocked(vectors), match, how)
-
-
 def vector_deleted(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """rows without the positions of their file's deletion vector."""
     return _covered(rows, vectors).filter("NOT _in").drop("_in", "_again")
@@ -114,10 +107,15 @@ def coalesced(positions: DataFrame) -> DataFrame:
 
 
 def uncovered(previous: DataFrame, replacement: DataFrame, surviving: DataFrame | None = None) -> DataFrame:
-    """Positions of previous vectors that their replacements do not have: must be none for surviving files."""
+    """Positions of previous vectors that their replacements do not have: must be none for surviving files. The ranges' ends
+    are swept in each block, and only what is not covered becomes positions."""
     old = previous if surviving is None else previous.join(surviving.select("file_path").distinct(), "file_path", "left_semi")
-    rows = old.select("file_path", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    return _within(rows, replacement, "left_anti")
+    ends = [_blocked(v).select("_f", "_b", F.explode(F.array(*(F.struct(F.col(c).alias("at"), F.lit(n if mine else 0).alias("old"), F.lit(0 if mine else n).alias("new")) for c, n in (("_from", 1), ("_to", -1))))).alias("e")) for v, mine in ((old, True), (replacement.filter("file_path IS NOT NULL"), False))]
+    w = Window.partitionBy("_f", "_b").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = _dealt(ends[0].union(ends[1]).select("_f", "_b", "e.*"), "_f", "_b").select("_f", "at", F.lead("at").over(w).alias("next"), F.sum("old").over(upto).alias("old"), F.sum("new").over(upto).alias("new"))
+    bare = swept.filter("old > 0 AND new = 0 AND next > at")
+    return bare.select(F.col("_f").alias("file_path"), F.explode(F.sequence("at", F.col("next") - 1)).alias("pos"))
 
 
 def partition_key(columns: dict[str, str]) -> Column:

@@ -89,6 +89,12 @@ def test_vector_deletes_without_pairs(spark):
     assert sorted(r.x for r in out.collect()) == ["0", f"{T.BLOCK}", f"{T.BLOCK}", "n"]
 
 
+def test_vectors_compare_by_ranges(spark):
+    n = 1 << 33  # more positions than an array can have
+    old, new = vector(spark, [(0, n)]), vector(spark, [(0, 10), (8, n - 2), (n - 1, n + 5)])
+    assert [(r.file_path, r.pos) for r in T.uncovered(old, new).collect()] == [("f", n - 2)]
+
+
 def test_vector_blobs():
     r = np.random.default_rng(1)
     for p in (np.zeros(0, np.int64), np.array([0, 5, 2**32, 2**40 + 7]), r.integers(0, 200_000, 60_000), np.arange(70_000)):
