@@ -95,6 +95,13 @@ def test_vectors_compare_by_ranges(spark):
     assert [(r.file_path, r.pos) for r in T.uncovered(old, new).collect()] == [("f", n - 2)]
 
 
+def test_surviving_vectors_compare_by_ranges(spark):
+    n = 1 << 33
+    old, new = vector(spark, [(0, n)]).union(spark.sql("SELECT 'gone', 0L, 9L")), vector(spark, [(1, n)])
+    kept = spark.createDataFrame([("f",), ("f",), (None,)], "file_path string")
+    assert [(r.file_path, r.pos) for r in T.uncovered(old, new, kept).collect()] == [("f", 0)]
+
+
 def test_vector_blobs():
     r = np.random.default_rng(1)
     for p in (np.zeros(0, np.int64), np.array([0, 5, 2**32, 2**40 + 7]), r.integers(0, 200_000, 60_000), np.arange(70_000)):
