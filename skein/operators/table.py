@@ -100,10 +100,16 @@ def contains(probes: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def coalesced(positions: DataFrame) -> DataFrame:
-    """(file_path, start, end): positions as maximal half-open ranges."""
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("file_path").orderBy("pos"))
-    runs = positions.select("file_path", "pos").distinct().withColumn("_g", island).groupBy("file_path", "_g")
-    return runs.agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("_g")
+    """(file_path, start, end): positions as maximal half-open ranges. Runs are found in each block; those that touch a block's
+    edge, two in a block at most, are then joined in each file."""
+    island = F.col("pos") - F.dense_rank().over(Window.partitionBy("file_path", "_b").orderBy("pos"))
+    placed = _dealt(positions.select("file_path", "pos", _block(F.col("pos")).alias("_b")), "file_path", "_b")
+    runs = placed.withColumn("_g", island).groupBy("file_path", "_b", "_g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    edge = F.coalesce((F.col("start") == F.col("_b") * BLOCK) | (F.col("end") == (F.col("_b") + 1) * BLOCK), F.lit(False))
+    w = Window.partitionBy("file_path").orderBy("start")
+    begins = F.when(F.lag("end").over(w) == F.col("start"), 0).otherwise(1)
+    joined = runs.filter(edge).withColumn("_n", begins).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("file_path", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.filter(~edge).select("file_path", "start", "end").union(joined.select("file_path", "start", "end"))
 
 
 def uncovered(previous: DataFrame, replacement: DataFrame, surviving: DataFrame | None = None) -> DataFrame:

@@ -102,6 +102,15 @@ def test_surviving_vectors_compare_by_ranges(spark):
     assert [(r.file_path, r.pos) for r in T.uncovered(old, new, kept).collect()] == [("f", 0)]
 
 
+def test_a_file_coalesces_in_parts(spark):
+    b = T.BLOCK
+    pos = spark.range(0, 12 * b, 2).selectExpr("'f' AS file_path", "id AS pos").union(spark.range(2 * b - 1, 5 * b + 1).selectExpr("'f'", "id"))
+    out = T.coalesced(pos)
+    assert out.select(F.spark_partition_id()).distinct().count() > 2  # no task has a whole file
+    got = sorted((r.start, r.end) for r in out.collect())
+    assert got == [(p, p + 1) for p in range(0, 2 * b - 2, 2)] + [(2 * b - 2, 2 * b - 1 + 3 * b + 2)] + [(p, p + 1) for p in range(5 * b + 2, 12 * b, 2)]
+
+
 def test_vector_blobs():
     r = np.random.default_rng(1)
     for p in (np.zeros(0, np.int64), np.array([0, 5, 2**32, 2**40 + 7]), r.integers(0, 200_000, 60_000), np.arange(70_000)):
