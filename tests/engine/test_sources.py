@@ -62,3 +62,23 @@ def test_avro_round_trip_writes_every_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(avro, "write", lambda df, at: (written.append(df.count()), write(df, at)))
     got = registry.queries()["src_avro_round_trip"](spark, str(tmp_path)).collect()
     assert written == [300] and sorted(r.o_orderkey for r in got) == list(range(1, 301))
+
+
+def test_avro_holds_a_block(monkeypatch):
+    import io
+
+    from skein.sources import avro
+
+    made = []
+    rows = ({"a": made.append(k) or k, "b": None if k % 2 else "x" * (k % 9)} for k in range(30_000))
+    parts, pending = [], []
+    for part in avro.pieces(rows, [("a", "long"), ("b", "string")]):
+        parts.append(part)
+        pending.append(len(made))
+    assert max(b - a for a, b in zip(pending, pending[1:], strict=False)) <= avro.ROWS  # rows are asked for as blocks are written
+    got = list(avro.blocks(io.BytesIO(b"".join(parts))))
+    assert max(map(len, got)) <= avro.ROWS and [r for b in got for r in b] == [{"a": k, "b": None if k % 2 else "x" * (k % 9)} for k in range(30_000)]
+    monkeypatch.setattr(avro, "ROWS", 1 << 20)
+    one = avro.container([{"a": k} for k in range(9000)], [("a", "long")])
+    monkeypatch.undo()
+    assert [len(b) for b in avro.blocks(io.BytesIO(one))] == [4096, 4096, 808]
